@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontam, langid, minhash, mixing, seedextend
+from .shared import fold_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +18,71 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1 over all documents; 150 % of all words, at most twice a source."""
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned where crc32(doc_id) mod 4 is not 2, predicted for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    profiles = langid.learn_profiles(docs.select("doc_id", "text", "lang").where(~held_out))
+    return langid.predict_language(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 50 words or more over all documents."""
+    out = seedextend.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op7_rank_order_langid, op10_seed_extend)}
+
+
+_BLANK = r"[\x20\x09-\x0D]+"
+
+OP2_SQL = rf"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), lambda x: x <> '') w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end s
+  from words),
+sh as (select doc_id, len(s) n, unnest(s) g from sets),
+links as (
+  select a.doc_id x, b.doc_id y from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id, doc_id root from documents
+  union
+  select r.doc_id, l.y from reach r join links l on r.root = l.x)
+select s.doc_id, len(s.s)::bigint n_shingles, r.component_id, s.doc_id = r.component_id as kept
+from sets s join (select doc_id, min(root) component_id from reach group by doc_id) r using (doc_id)
+"""
+
+OP10_SQL = rf"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') w from documents),
+win as (
+  select doc_id, i, array_to_string(w[i:i + 49], ' ') t from (select doc_id, w, unnest(range(1, len(w) - 48)) i from words)),
+dup as (select doc_id, i from win join (select t, min(doc_id) lo from win group by t) f using (t) where doc_id > lo),
+gone as (select doc_id, list(distinct j) js from (select doc_id, unnest(range(i, i + 50)) j from dup) group by doc_id),
+kept as (
+  select doc_id, len(w) n, coalesce(len(js), 0) r,
+    case when js is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda j: not list_contains(js, j)), lambda j: w[j]) end k
+  from words left join gone using (doc_id))
+select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op10_seed_extend": OP10_SQL}
