@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     drop(slots)
     # texts of the classes that share a bucket with another
     wanted = edges.select(F.col("rep").alias("doc_id")).union(edges.select("hub")).distinct()
-    texts = keep(docs.join(wanted, "doc_id", "left_semi"), "minhash-texts")
+    # a merge join at every size: the id list grows with the corpus and is never broadcast
+    texts = keep(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
     free(spark)
 
     # 1. stars: each member against its hub, which is copied once per STAR_MEMBERS members
