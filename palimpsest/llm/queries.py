@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, seedextend
+from . import decontam, langid, minhash, mixing, nbsvm, seedextend
 from .shared import fold_of
 
 
@@ -29,6 +29,17 @@ def op4_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels.quality learned where crc32(doc_id) mod 5 is not 0, scored for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where((fold_of(F.col("doc_id"), 5) != 0) & F.col("label").isNotNull())
+    # labels grow with the corpus: a merge join at every size
+    model = nbsvm.fit(docs.select("doc_id", "text").where(~held_out).join(labels.hint("merge"), "doc_id"))
+    out = nbsvm.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op7_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned where crc32(doc_id) mod 4 is not 2, predicted for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -44,7 +55,7 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op7_rank_order_langid, op10_seed_extend)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op7_rank_order_langid, op10_seed_extend)}
 
 
 _BLANK = r"[\x20\x09-\x0D]+"
