@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, nbsvm, seedextend
+from . import decontam, langid, linechunks, minhash, mixing, nbsvm, preference, seedextend
 from .shared import fold_of
 
 
@@ -40,6 +40,14 @@ def op5_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) of the whole table."""
+    conversations = table(spark, sf_dir, "conversations")
+    out = preference.preference_rows(conversations, preference.adjacent_pairs(conversations))
+    spans = [preference.spans_text(F.col(c)).alias(c) for c in ("chosen_spans", "rejected_spans")]
+    return out.select("pair_id", "chosen_id", "rejected_id", "n_common", "prompt", "chosen", "rejected", *spans)
+
+
 def op7_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned where crc32(doc_id) mod 4 is not 2, predicted for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -48,6 +56,12 @@ def op7_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks of all documents."""
+    out = linechunks.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 50 words or more over all documents."""
     out = seedextend.substring_dedup(table(spark, sf_dir, "documents"))
@@ -55,7 +69,7 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op7_rank_order_langid, op10_seed_extend)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op9_line_chunks, op10_seed_extend)}
 
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -80,6 +94,54 @@ select s.doc_id, len(s.s)::bigint n_shingles, r.component_id, s.doc_id = r.compo
 from sets s join (select doc_id, min(root) component_id from reach group by doc_id) r using (doc_id)
 """
 
+OP6_SQL = r"""
+with t as (
+  select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn, role, text) t
+  from conversations where conv_id is not null group by conv_id),
+p as (
+  select conv_id // 2 pair_id, max(case when conv_id % 2 = 0 then conv_id end) chosen_id, max(case when conv_id % 2 = 1 then conv_id end) rejected_id
+  from t group by 1),
+b as (
+  select p.*, coalesce(c.t, []) c, coalesce(r.t, []) r
+  from p left join t c on c.conv_id = chosen_id left join t r on r.conv_id = rejected_id),
+n as (
+  select *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role <> r[i].role or c[i].text <> r[i].text)[1] - 1, least(len(c), len(r))) n_common
+  from b),
+s as (
+  select *, c[1:n_common] pt, c[n_common + 1:len(c)] ct, r[n_common + 1:len(r)] rt from n),
+sides as (
+  select pair_id, 'c' side, ct turns from s union all select pair_id, 'r', rt from s union all select pair_id, 'p', pt from s),
+flat as (
+  select pair_id, side, i, turns[i].role role, turns[i].text txt from (select *, unnest(range(1, len(turns) + 1)) i from sides)),
+placed as (
+  select *, sum(length(role) + length(txt) + 13) over (partition by pair_id, side order by i) - length(txt) - 8 head from flat),
+done as (
+  select pair_id, side, string_agg('<|' || role || '|>' || chr(10) || txt || '<|end|>' || chr(10), '' order by i) body,
+    string_agg(case when role = 'assistant' then head::bigint::varchar || '-' || (head + length(txt))::bigint::varchar end, ';' order by i) spans
+  from placed group by pair_id, side)
+select s.pair_id, s.chosen_id, s.rejected_id, s.n_common::int n_common, coalesce(p.body, '') prompt, coalesce(c.body, '') chosen, coalesce(r.body, '') rejected,
+  coalesce(c.spans, '') chosen_spans, coalesce(r.spans, '') rejected_spans
+from s left join done p on p.pair_id = s.pair_id and p.side = 'p' left join done c on c.pair_id = s.pair_id and c.side = 'c'
+left join done r on r.pair_id = s.pair_id and r.side = 'r'
+"""
+
+OP9_SQL = r"""
+with l as (select doc_id, text, string_split(text, chr(10)) ls from documents),
+h as (select *, list_transform(ls, lambda x: ('0x' || md5(x)[1:8])::bigint) hs from l),
+e as (select *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) or (hs[i] * 31 + coalesce(hs[i - 1], 0) * 17) % 3 = 0) es from h),
+c as (
+  select doc_id, start_, end_, array_to_string(ls[start_:end_], chr(10)) body
+  from (select doc_id, ls, es[j] end_, coalesce(es[j - 1] + 1, 1) start_ from (select *, unnest(range(1, len(es) + 1)) j from e))
+  where end_ > start_),
+gone as (
+  select doc_id, list(distinct i) js
+  from (select doc_id, unnest(range(start_, end_ + 1)) i from (select *, row_number() over (partition by body order by doc_id, start_) rn from c) where rn > 1)
+  group by doc_id)
+select doc_id, coalesce(len(ls), 0)::bigint n_lines, coalesce(len(js), 0)::bigint n_removed,
+  sha256(case when js is null then text else array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: not list_contains(js, i)), lambda i: ls[i]), chr(10)) end) kept_sha256
+from l left join gone using (doc_id)
+"""
+
 OP10_SQL = rf"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') w from documents),
@@ -96,4 +158,4 @@ select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(k,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op10_seed_extend": OP10_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op6_preference_format": OP6_SQL, "op9_line_chunks": OP9_SQL, "op10_seed_extend": OP10_SQL}
