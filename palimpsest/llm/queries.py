@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linechunks, minhash, mixing, nbsvm, preference, seedextend
+from . import decontam, langid, linechunks, minhash, mixing, nbsvm, ordermin, preference, seedextend
 from .shared import fold_of
 
 
@@ -56,6 +56,11 @@ def op7_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    return ordermin.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks of all documents."""
     out = linechunks.line_dedup(table(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op9_line_chunks, op10_seed_extend)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op8_order_minhash, op9_line_chunks, op10_seed_extend)}
 
 
 _BLANK = r"[\x20\x09-\x0D]+"
