@@ -1,24 +1,58 @@
-"""A corpus pipeline over ``documents`` made of the llm operators."""
+"""A corpus pipeline over ``documents`` made of the llm operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
+the last return the columns of ``documents``.  No SQL states the rows of run(): rank-order
+language profiles, MinHash links over 64-bit hashes, SimHash windows and seeded rounding
+have none.  tests/llm/test_pipeline.py holds every stage against a plain model instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import minhash
+from palimpsest.llm import decontam, langid, linechunks, minhash, mixing
+from palimpsest.llm.shared import keep
 
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or out of place in every learned language, go."""
+    profiles = langid.learn_profiles(docs.select("doc_id", "text", "lang"))
+    return langid.accepted(docs, profiles)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go, and documents of which nothing else is left."""
+    out = linechunks.line_dedup(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    out = out.where(~emptied)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with the copies that the mix takes of it; documents it leaves out go."""
+    return mixing.apply_mix(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

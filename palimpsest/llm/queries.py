@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linechunks, minhash, mixing, nbsvm, ordermin, preference, seedextend
+from . import decontam, gru, langid, linechunks, minhash, mixing, nbsvm, ordermin, preference, seedextend
 from .shared import fold_of
 
 
@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned where crc32(doc_id) mod 5 is not 1, scored for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 1
+    model = gru.fit(docs.select("doc_id", "text").where(~held_out))
+    out = gru.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
@@ -74,7 +83,7 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op8_order_minhash, op9_line_chunks, op10_seed_extend)}
+    return {f.__name__: f for f in (op1_gru_lm, op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op8_order_minhash, op9_line_chunks, op10_seed_extend)}
 
 
 _BLANK = r"[\x20\x09-\x0D]+"
