@@ -49,7 +49,7 @@ def last_boxed_from_brace(t) -> Column:
     start = F.coalesce(_last_place(t, "\\boxed"), _last_place(t, "\\fbox"))
 
     def cut(s):
-        brace = F.locate("{", t, s + 1) - 1
+        brace = F.position(F.lit("{"), t, s + 1) - 1
         return let(brace, lambda b: F.when(b >= 0, let(_balanced_end(t, b), lambda e: F.when(e.isNotNull(), F.substring(t, s + 1, e - s + 1)))))
 
     return F.when(start.isNotNull(), let(start, cut))
