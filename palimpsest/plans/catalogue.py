@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import analytics, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**texts.QUERIES, **analytics.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**texts.SQL, **analytics.SQL}
