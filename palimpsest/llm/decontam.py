@@ -14,7 +14,6 @@ Candidates are then compared by the exact weighted Jaccard similarity of their s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,39 +44,50 @@ class Index:
     """Fingerprints of items by block value; looking up finds all within the radius."""
 
     def __init__(self, prints: list[int], radius: int, blocks: int):
-        self.prints, self.radius = np.array(prints, dtype=U64), radius
+        self.prints, self.radius, self.near = np.array(prints, dtype=U64), radius, radius // blocks
         self.width = 64 // blocks
-        near = radius // blocks
-        self.flips = [sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(self.width), r)]
-        self.blocks: list[dict[int, list[int]]] = []
-        mask = (1 << self.width) - 1
-        for b in range(blocks):
-            table: dict[int, list[int]] = {}
-            for i, p in enumerate(prints):
-                table.setdefault((p >> (b * self.width)) & mask, []).append(i)
-            self.blocks.append(table)
-
-    def within(self, p: int) -> list[int]:
-        """Items whose fingerprints differ from p in at most radius bits."""
-        mask, found = (1 << self.width) - 1, set()
-        for b, table in enumerate(self.blocks):
-            v = (p >> (b * self.width)) & mask
-            if len(table) < len(self.flips):  # fewer values than neighbours: test the values
-                near = self.radius // len(self.blocks)
-                hits = [i for key, items in table.items() if (key ^ v).bit_count() <= near for i in items]
-            else:
-                hits = [i for f in self.flips for i in table.get(v ^ f, ())]
-            found.update(hits)
-        return sorted(i for i in found if (int(self.prints[i]) ^ p).bit_count() <= self.radius)
-
-
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of lesser over sum of greater multiplicities."""
-    va, na = np.unique(a, return_counts=True)
-    vb, nb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    low = int(np.minimum(na[ia], nb[ib]).sum())
-    return low / max(1, len(a) + len(b) - low)
+        self.blocks = [np.unique(self._block(self.prints, b), return_inverse=True) for b in range(blocks)]
+
+    def _block(self, p: np.ndarray, b: int) -> np.ndarray:
+        return (p >> U64(b * self.width)) & U64((1 << self.width) - 1)
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) places of all pairs that differ in at most radius bits: items in the
+        neighbourhood of any block value, then the whole fingerprints."""
+        if not len(prints) or not len(self.prints):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        maybe = np.zeros((len(prints), len(self.prints)), dtype=bool)
+        for b, (values, owner) in enumerate(self.blocks):
+            mine, back = np.unique(self._block(prints, b), return_inverse=True)
+            near = np.bitwise_count(mine[:, None] ^ values[None, :]) <= self.near
+            maybe |= near[back][:, owner]
+        q, i = np.nonzero(maybe)
+        good = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
+        return q[good], i[good]
+
+
+def window_prints(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of windows of ``counts`` shingles from ``starts``, by prefix sums of their bits."""
+    lo, hi = int(starts.min()), int((starts + counts).max())
+    bits = np.unpackbits(grams[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((hi - lo + 1, 64), dtype=np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:])
+    most = 2 * (sums[starts - lo + counts] - sums[starts - lo]) > counts[:, None]
+    return np.packbits(most, axis=1).view(U64).ravel()
+
+
+def counted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and their multiplicities."""
+    s = np.sort(shingles)
+    edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return s[edge], np.diff(np.append(edge, len(s)))
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of lesser over sum of greater multiplicities of two counted() sets."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    low = int(np.where(b[0][at] == a[0], np.minimum(a[1], b[1][at]), 0).sum())
+    return low / max(1, int(a[1].sum() + b[1].sum()) - low)
 
 
 def _scan(items: list[tuple[int, str]], k: int, similarity: float, radius: int, blocks: int):
@@ -88,6 +98,7 @@ def _scan(items: list[tuple[int, str]], k: int, similarity: float, radius: int,
             h, _ = word_hashes(raw, np.array([0, len(raw)]), lower=True)
             if len(h):
                 sets.append(shingles_of(h, k)), sizes.append(len(h)), ids.append(item_id)
+        known_sets = [counted(x) for x in sets]
         index = Index([simhash(s) for s in sets], radius, blocks)
         lengths = sorted(set(sizes))
         short = {n: np.array([s[0] for s, m in zip(sets, sizes) if m == n], dtype=U64) for n in lengths if n < k}
@@ -110,25 +121,30 @@ def _scan(items: list[tuple[int, str]], k: int, similarity: float, radius: int,
                 for i in docs:
                     lo, hi = int(first[i]), int(first[i + 1])
                     best: dict[int, tuple] = {}
+                    found = []
                     for n in lengths:
                         if n > hi - lo:
                             break
-                        g = min(n, k)
-                        starts = np.arange(lo, hi - n + 1)
+                        starts = np.arange(lo, hi - n + 1) if n >= k else brief[n][(brief[n] >= lo) & (brief[n] <= hi - n)]
                         if n >= k:
                             held = total[starts + n - k + 1] - total[starts]
                             starts = starts[held >= similarity * (n - k + 1)]
-                        else:
-                            starts = brief[n][(brief[n] >= lo) & (brief[n] <= hi - n)]
-                        for s in starts.tolist():
-                            own = shingles_of(h[s : s + n], g)
-                            p = simhash(own)
-                            for j in index.within(p):
-                                if min(sizes[j], k) != g:
+                        if len(starts):
+                            found.append((n, starts))
+                    for n, starts in found:
+                        g = min(n, k)
+                        own = grams if g == k else ngrams(h, g)
+                        for at in range(0, len(starts), 4096):
+                            some = starts[at : at + 4096]
+                            prints = window_prints(own, some, np.full(len(some), n - g + 1))
+                            for q, j in zip(*(x.tolist() for x in index.within(prints))):
+                                # set sizes alone bound the similarity
+                                if min(sizes[j], k) != g or min(n - g, sizes[j] - g) + 1 < similarity * (max(n, sizes[j]) - g + 1):
                                     continue
-                                sim = weighted_jaccard(own, sets[j])
+                                s = int(some[q])
+                                sim = weighted_jaccard(counted(own[s : s + n - g + 1]), known_sets[j])
                                 if sim >= similarity and (j not in best or sim > best[j][3]):
-                                    best[j] = (s - lo, n, (int(index.prints[j]) ^ p).bit_count(), sim)
+                                    best[j] = (s - lo, n, int(np.bitwise_count(index.prints[j] ^ prints[q])), sim)
                     out += [(i, ids[j], *v) for j, v in best.items()]
                 at = pa.array([r[0] for r in out], pa.int64())
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
