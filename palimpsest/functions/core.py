@@ -6,6 +6,8 @@ separators U+001C..U+001F) is spelled out in WS; plain ``\\s`` in Java is ASCII
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bound(texts: int = 1):
+    """Decorator: the first ``texts`` arguments are evaluated once a row, also where the function
+    uses them several times or inside lambdas, so functions can be composed freely."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def one(a, *rest, **kw):
+            return let(col(a), lambda x: f(x, *rest, **kw))
+
+        @functools.wraps(f)
+        def two(a, b, *rest, **kw):
+            return let(col(a), lambda x: let(col(b), lambda y: f(x, y, *rest, **kw)))
+
+        return one if texts == 1 else two
+
+    return wrap
+
+
 def chars(t) -> Column:
     """Code points of a text; none for an empty one."""
     return F.when(F.length(t) > 0, F.split(t, "")).otherwise(F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import chars, col, let, strip, words
+from .core import bound, chars, col, let, strip, words
 
 #: Names that open an answer box.
 BOXES = ("boxed", "fbox")
@@ -32,6 +32,7 @@ def _last_place(t: Column, what: str) -> Column:
     return F.when(at > 0, F.length(t) - at - len(what) + 1)
 
 
+@bound()
 def last_boxed(t) -> Column:
     """The last \\boxed (else the last \\fbox) with its balanced braces; null if unbalanced."""
     t = col(t)
@@ -43,6 +44,7 @@ def last_boxed(t) -> Column:
     return F.when(start.isNotNull(), let(start, cut))
 
 
+@bound()
 def last_boxed_from_brace(t) -> Column:
     """X01, passive variant: the scan starts at the first brace after the command."""
     t = col(t)
@@ -68,6 +70,7 @@ def all_boxed(t) -> Column:
     return F.regexp_extract_all(col(t), F.lit(r"((?:\\boxed|\\fbox)\s*" + _nested(_DEPTH) + ")"), F.lit(1))
 
 
+@bound()
 def remove_boxed(t) -> Column:
     """What a box holds; null for anything else."""
     t = col(t)
@@ -75,6 +78,7 @@ def remove_boxed(t) -> Column:
     return F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1))
 
 
+@bound()
 def simple_answer(t) -> Column:
     """The last flat box, else the last number that a statement of the answer gives."""
     t = col(t)
@@ -92,6 +96,7 @@ def bold_candidate(t) -> Column:
 OPEN, CLOSE = "<RECOVERED_PROBLEM>", "</RECOVERED_PROBLEM>"
 
 
+@bound()
 def recovered_text(t) -> Column:
     """struct<text, tagged>: the last tagged piece, else the whole; both stripped."""
     t = F.coalesce(col(t), F.lit(""))
@@ -100,6 +105,7 @@ def recovered_text(t) -> Column:
     return F.struct(strip(F.coalesce(last, t)).alias("text"), last.isNotNull().alias("tagged"))
 
 
+@bound()
 def python_code(t, unclosed: bool = True) -> Column:
     """The first fenced Python block, else (unclosed) an open one to the end; null if none."""
     t = col(t)
@@ -119,6 +125,7 @@ def problem_markers(t) -> Column:
     return F.transform(F.regexp_extract_all(col(t), F.lit(r"Problem\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
 
 
+@bound()
 def marker_segments(t) -> Column:
     """array<struct<num, start, length>> of the pieces that start at a marker, in order;
     start is a 0-based character place.  Text before the first marker is in none."""

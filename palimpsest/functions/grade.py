@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import extract as X
-from .core import WS, col, let, strip, words
+from .core import WS, bound, col, let, strip, words
 
 ERROR = "ERROR"
 
@@ -31,7 +31,10 @@ def canonical_answer(t) -> Column:
 
 def numeric_value(t) -> Column:
     """Integers, decimals, a/b and \\frac{a}{b} as a double; null for anything else."""
-    x = canonical_answer(t)
+    return let(canonical_answer(t), _numeric)
+
+
+def _numeric(x: Column) -> Column:
     frac = r"\A(-?)\\frac\{(-?\d+(?:\.\d+)?)\}\{(-?\d+(?:\.\d+)?)\}\z"
     ratio = r"\A(-?\d+(?:\.\d+)?)/(-?\d+(?:\.\d+)?)\z"
     d = lambda c: c.try_cast("double")
@@ -43,6 +46,7 @@ def numeric_value(t) -> Column:
     )
 
 
+@bound(2)
 def answer_equiv(a, b) -> Column:
     """Equal as numbers within 1e-9, else as canonical strings."""
     na, nb = numeric_value(a), numeric_value(b)

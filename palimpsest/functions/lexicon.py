@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import WS, choice, col, let, strip
+from .core import WS, bound, choice, col, let, strip
 
 TAGS = ("ADJ", "NUM", "VERB", "NOUN", "PROPN", "MATH", "SPACE", "PUNCT", "OTHER")
 
@@ -54,6 +54,7 @@ def rule_tag(x: Column) -> Column:
     )
 
 
+@bound()
 def not_not(t, k: int = 2, tag=rule_tag) -> Column:
     """T01: "not not " before the first adjective and every k-th adjective or number; math blocks
     are one token, never tagged."""
@@ -161,6 +162,7 @@ def definitions(t) -> Column:
     return F.when(col(t).rlike(_BLOCK), let(F.arrays_zip(new.alias("k"), old.alias("v")), lambda z: F.map_from_entries(F.array_distinct(z))))
 
 
+@bound()
 def undo_opposites(t) -> Column:
     """The block removed, white space collapsed, every defined word put back at once (words and
     words before n't alike are tokens here)."""
@@ -169,6 +171,7 @@ def undo_opposites(t) -> Column:
     return F.when(definitions(t).isNull(), col(t)).otherwise(let(definitions(t), back))
 
 
+@bound()
 def undo_wrappers(t) -> Column:
     """The block removed, defined N(word) forms unwrapped, runs of three newlines shortened, stripped."""
     clean = F.regexp_replace(col(t), _BLOCK, "")
@@ -246,6 +249,7 @@ def static_distractors(spark, bins: int = 20, per_domain: int = 60) -> DataFrame
     return rows.select(F.pmod(nth, F.lit(bins)).cast("int").alias("bin"), F.col("id").alias("pos"), "domain", "variable", "text")
 
 
+@bound()
 def swap_variables(t, seed: int = 42, key=None) -> Column:
     """T19, the native subset: single letters inside $...$ are renamed by a seeded one-to-one map, case kept;
     text outside math is left alone."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import WS, ceil_div, chars, col, let, rstrip, span, strip, words
+from .core import WS, bound, ceil_div, chars, col, let, rstrip, span, strip, words
 
 TAG_A, TAG_B = "<Problem A> ", "<Problem B> "
 GRID_START, GRID_END = "GRID START", "GRID END"
@@ -47,37 +47,44 @@ def _line_pieces(t) -> Column:
     return let(flat, lambda f: F.transform(span(ceil_div(F.length(f), F.lit(LINE_WIDTH))), lambda i: F.substring(f, i * LINE_WIDTH + 1, F.lit(LINE_WIDTH))))
 
 
+@bound(2)
 def interleave_lines(a, b) -> Column:
     """60-character pieces of two texts on alternate tagged lines, the shorter repeated."""
     return _interleave(_line_pieces(a), _line_pieces(b), "\n", TAG_A, TAG_B)
 
 
+@bound(2)
 def interleave_words(a, b) -> Column:
     """T05"""
     return _interleave(words(col(a)), words(col(b)), " ")
 
 
+@bound(2)
 def interleave_symbols(a, b) -> Column:
     """T06"""
     return _interleave(chars(col(a)), chars(col(b)), "")
 
 
+@bound()
 def deinterleave_lines(t) -> Column:
     """The lines tagged A, without their tags, joined."""
     kept = F.filter(F.split(col(t), "\n"), lambda x: x.startswith(TAG_A))
     return F.array_join(F.transform(kept, lambda x: F.substring(x, F.lit(len(TAG_A) + 1), F.length(x))), "")
 
 
+@bound()
 def deinterleave_words(t) -> Column:
     """R05"""
     return F.array_join(F.filter(words(col(t)), lambda _, i: i % 2 == 0), " ")
 
 
+@bound()
 def deinterleave_symbols(t) -> Column:
     """R06"""
     return F.array_join(F.filter(chars(col(t)), lambda _, i: i % 2 == 0), "")
 
 
+@bound()
 def reverse_sentences(t) -> Column:
     """Pieces between periods in reverse order; a piece that is empty in front moves to the end."""
     back = F.reverse(F.split(col(t), "\\."))
@@ -85,19 +92,20 @@ def reverse_sentences(t) -> Column:
     return F.array_join(let(back, moved), ".")
 
 
+@bound()
 def reverse_words(t) -> Column:
     """Words in reverse order, runs of white space where they were."""
     gaps = F.regexp_extract_all(col(t), F.lit(f"({WS}+)"), F.lit(1))
 
-    def rebuilt(own, ws, text):
-        lead = F.when((F.length(text) > 0) & text.rlike(f"^{WS}"), 1).otherwise(0)
+    def rebuilt(own, ws, lead):
         parts = F.transform(F.reverse(own), lambda w, i: F.concat(F.when(lead + i > 0, F.coalesce(F.get(ws, lead + i - 1), F.lit(""))).otherwise(F.lit("")), w))
         tail = F.when(F.size(ws) > F.size(own) - 1 + lead, F.get(ws, F.size(ws) - 1)).otherwise(F.lit(""))
         return F.concat(F.array_join(parts, ""), F.coalesce(tail, F.lit("")))
 
-    return let(words(col(t)), lambda own: let(gaps, lambda ws: rebuilt(own, ws, col(t))))
+    return let(words(col(t)), lambda own: let(gaps, lambda ws: let(F.when(col(t).rlike(f"^{WS}"), 1).otherwise(0), lambda lead: rebuilt(own, ws, lead))))
 
 
+@bound()
 def split_reverse(t, separator: str = " ", func: str = "reverse_string") -> Column:
     """Each piece between separators through a named function."""
     if not separator:
@@ -116,6 +124,7 @@ def _rail(c, rails: int) -> Column:
     return F.least(c % p, F.lit(p) - c % p)
 
 
+@bound()
 def rail_fence(t, rails: int = 3) -> Column:
     """A zigzag over rails, dots elsewhere; one rail or fewer leaves the text."""
     t = col(t)
@@ -130,6 +139,7 @@ def _marked_rows(t) -> Column:
     return F.filter(F.split(strip(col(t)), "\n"), lambda x: ~strip(x).isin(GRID_START, GRID_END, ""))
 
 
+@bound()
 def read_rail_fence(t) -> Column:
     """R10"""
     t = col(t)
@@ -142,6 +152,7 @@ def read_rail_fence(t) -> Column:
     return let(_marked_rows(t), lambda rows: F.when(F.size(rows) <= 1, F.replace(t, F.lit("\n"), F.lit(""))).otherwise(read(rows)))
 
 
+@bound()
 def rectangle_perimeter(t) -> Column:
     """Clockwise round a flat rectangle; blanks after the end, dots inside.
     The grid has about n * n / 25 cells: meant for problem-sized texts."""
@@ -167,6 +178,7 @@ def _padded(rows: Column) -> Column:
     return let(rows, lambda rs: let(F.coalesce(F.array_max(F.transform(rs, F.length)), F.lit(0)), lambda w: F.transform(rs, lambda x: let(chars(x), lambda ch: F.transform(span(w), lambda c: F.coalesce(F.get(ch, c), F.lit(" ")))))))
 
 
+@bound()
 def read_rectangle_perimeter(t) -> Column:
     """R11"""
     t = col(t)
@@ -198,11 +210,13 @@ def _snake(t, height: int, index) -> Column:
     return F.when(t == "", F.lit("")).otherwise(_grid(rows))
 
 
+@bound()
 def snake_vertical(t, height: int = 5) -> Column:
     """Down even columns, up odd ones."""
     return _snake(t, height, lambda r, c, w, h: c * h + F.when(c % 2 == 0, r).otherwise(h - 1 - r))
 
 
+@bound()
 def snake_horizontal(t, height: int = 5) -> Column:
     """Right along even rows, left along odd ones."""
     return _snake(t, height, lambda r, c, w, h: r * w + F.when(r % 2 == 0, c).otherwise(w - 1 - c))
@@ -224,6 +238,7 @@ def _read_snake(t, cells) -> Column:
     return let(_padded(_between_markers(col(t))), lambda g: F.when(F.size(g) == 0, F.lit("")).otherwise(cells(g)))
 
 
+@bound()
 def read_snake_vertical(t) -> Column:
     """R12; blanks may follow the text."""
     def cells(g):
@@ -234,6 +249,7 @@ def read_snake_vertical(t) -> Column:
     return _read_snake(t, cells)
 
 
+@bound()
 def read_snake_horizontal(t) -> Column:
     """R13; a partly filled odd row is read with its blanks first, as the forward grid has no fill."""
     def cells(g):
@@ -244,6 +260,7 @@ def read_snake_horizontal(t) -> Column:
     return _read_snake(t, cells)
 
 
+@bound()
 def read_snake_horizontal_exact(t) -> Column:
     """R13 without that: an odd row is read from its own right end, so every text without blanks at a row's end comes back."""
     rows = _between_markers(col(t))
@@ -271,11 +288,13 @@ def _swap_halves(t, first) -> Column:
     return F.array_join(F.transform(F.split(col(t), " "), lambda x: F.when((n(x) < 2) | (strip(x) == ""), x).otherwise(F.concat(F.substring(x, first(n(x)) + 1, n(x)), F.substring(x, F.lit(1), first(n(x)))))), " ")
 
 
+@bound()
 def word_split_swap(t) -> Column:
     """The halves of each word swapped, the first the shorter."""
     return _swap_halves(t, lambda n: F.floor(n / 2).cast("int"))
 
 
+@bound()
 def undo_word_split_swap(t) -> Column:
     """R17"""
     return _swap_halves(t, lambda n: n - F.floor(n / 2).cast("int"))
@@ -286,6 +305,7 @@ def undo_not_not(t) -> Column:
     return F.regexp_replace(col(t), f"not{WS}+not{WS}+".replace("(?U)", ""), "")
 
 
+@bound()
 def undo_context_saturation(t) -> Column:
     """The last paragraph without the two halves of the problem index."""
     last = F.element_at(F.split(col(t), "\n\n"), -1)
