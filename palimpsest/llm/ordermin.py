@@ -109,14 +109,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts are empty.  Texts without words have the same fingerprint.  Rows equal in
     doc_id and text count as one document in the order and get equal results; rows that
-    share a doc_id only follow each other by a hash of their texts; null ids come last.  A
-    single document follows itself.  Extra columns are ignored; an empty table gives none.
+    share a doc_id only follow each other by a hash of their texts; null ids come last
+    (2**63 - 1 counts as null).  A single document follows itself.  Extra columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64(text).alias("_row"), text.alias("text"))
+    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64(text).alias("_row"), text.alias("text"))
     order = keep(followers(t.select("_id", "_row", F.length("text").alias("n")).distinct()), "followers")
-    # the text is dealt out by key once, for the heads and for the edits alike
+    # the text is dealt out by key once, for the heads and for the edits alike: both read the
+    # same columns, so the exchange is reused
     dealt = t.repartition("_id", "_row")
     quarter = F.floor(F.col("n") / 4).cast("int")
     wanted = order.select(F.col("next_id").alias("_id"), F.col("next_row").alias("_row"), F.col("_id").alias("to_id"), F.col("_row").alias("to_row"), quarter.alias("q"))
@@ -124,16 +125,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads = heads.dropDuplicates(["to_id", "to_row"]).withColumnsRenamed({"to_id": "_id", "to_row": "_row"})
     cut = F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 4).cast("int"))
     both = dealt.join(heads.hint("merge"), ["_id", "_row"]).withColumn("edited", F.concat(cut, "head"))
+    # bytes, not hex digits, are what is written and moved
     made = both.select(
-        "doc_id", "_id", "_row", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        "_id", "_row", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"),
+        F.unhex(fingerprint(F.col("text"))).alias("fingerprint"), F.unhex(fingerprint(F.col("edited"))).alias("edited_fingerprint"),
     )
     made = keep(made, "fingerprints")
     free(spark)
     own = made.join(order.select("_id", "_row", "next_id", "next_row"), ["_id", "_row"])
     after = made.groupBy(F.col("_id").alias("next_id"), F.col("_row").alias("next_row")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    return own.join(after, ["next_id", "next_row"]).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    out = own.join(after, ["next_id", "next_row"]).withColumns({c: F.hex(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
+    return out.select(
+        F.when(F.col("_id") != _LAST, F.col("_id")).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
