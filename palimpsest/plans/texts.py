@@ -236,7 +236,7 @@ _WRAP = lambda rule, body: f"chr(10) || 'TRANSFORMATION RULE:' || chr(10) || {_q
 query("b01_solve_prompt", f"with {PAIR_SQL} select idx, 'split_reversal' technique, trim({_quoted(B.PROTOCOL_MODEL)} || chr(10) || chr(10) || {_WRAP(B.SOLVE_RULES['split_reversal'], 'array_to_string(list_transform(string_split(a, chr(32)), lambda w: ' + _CPREV('w').replace('lambda i:', 'lambda j:').replace('substring(w, i,', 'substring(w, j,') + '), chr(32))')}, chr(10)) prompt from q union all select idx, 'baseline', trim(a) from q union all select idx, 'compound', {_COMPOUND} from q")(
     lambda spark, sf: pairs(spark, sf).select("idx", "a", F.inline(F.array(*[F.struct(F.lit(t).alias("technique"), x.alias("x")) for t, x in (("split_reversal", P.split_reverse("a")), ("baseline", F.col("a")), ("compound", P.compound("a", F.array("b"))))]))).select("idx", "technique", B.solve_prompt("technique", "a", "x").alias("prompt"))
 )
-query("b02_decode_prompt", f"with {P_SQL} select idx, 'YOUR TASK:' || chr(10) || '1. Read the TRANSFORMATION RULE and the TRANSFORMED INPUT.' || chr(10) || '2. Reverse the transformation and recover the original target problem statement.' || chr(10) || '3. Do not solve the math problem.' || chr(10) || '4. Output only the recovered problem statement between <RECOVERED_PROBLEM> and </RECOVERED_PROBLEM>.' || chr(10) || trim({_WRAP(B.DECODE_RULES['word_reversal'], 'problem')} || 'x', 'x') x from p".replace("|| 'x', 'x')", ", '')").replace("trim(", "rtrim(", 1))(
+query("b02_decode_prompt", f"with {P_SQL} select idx, rtrim('YOUR TASK:' || chr(10) || '1. Read the TRANSFORMATION RULE and the TRANSFORMED INPUT.' || chr(10) || '2. Reverse the transformation and recover the original target problem statement.' || chr(10) || '3. Do not solve the math problem.' || chr(10) || '4. Output only the recovered problem statement between <RECOVERED_PROBLEM> and </RECOVERED_PROBLEM>.' || chr(10) || {_WRAP(B.DECODE_RULES['word_reversal'], 'problem')}, chr(10)) x from p")(
     _probs(B.decode_prompt(F.lit("word_reversal"), "problem"))
 )
 query("b03_passive_prompt", _pair_sql("'Take a look at this historical passage:' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'Solve the following problem:' || chr(10) || chr(10) || a"))(_pairs(B.passive_prompt("a", "b")))
@@ -269,7 +269,7 @@ query("x01_last_boxed_passive", _WO + r"select doc_id, regexp_extract(output, '.
 query("x02_all_boxed", _WO + r"select doc_id, array_to_string(regexp_extract_all(output, '\\boxed\{(?:[^{}]|\{[^{}]*\})*\}'), '#') x from o")(_outs(F.array_join(X.all_boxed("output"), "#").alias("x")))
 query("x03_remove_boxed", _WO + r"select doc_id, case when doc_id % 3 = 0 then 'a{b}' || doc_id % 7 else n_chars::varchar end x from o")(_outs(X.remove_boxed(X.last_boxed("output")).alias("x")))
 query("x04_simple_answer", _WO + r"select doc_id, trim(regexp_extract(case when doc_id % 3 = 0 then regexp_extract_all(output, '\\boxed\s*\{([^}]+)\}', 1)[-1] else n_chars::varchar end, '(?s).*')) x from o")(_outs(X.simple_answer("output").alias("x")))
-query("x05_bold", _WO + "select doc_id, doc_id::varchar x from o")(_outs(X.bold_candidate("output").alias("x")))
+query("x05_bold", _WO + r"select doc_id, list_filter(list_transform(regexp_extract_all(output, '\*\*([^*]{1,40})\*\*', 1), lambda x: rtrim(trim(x), '.')), lambda x: regexp_matches(x, '[0-9]') and not regexp_matches(x, '[A-Za-z]{4,}'))[-1] x from o")(_outs(X.bold_candidate("output").alias("x")))
 query("x06_recovered_text", "select doc_id, case when doc_id % 2 = 0 then trim(substring(text, 1, 30), ' ' || chr(10)) else trim(text, ' ' || chr(10)) end recovered, doc_id % 2 = 0 tagged from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.recovered_text(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <recovered_problem>"), F.substring("text", 1, 30), F.lit("</RECOVERED_PROBLEM> y"))).otherwise(F.col("text"))).alias("r")).select("doc_id", F.col("r.text").alias("recovered"), F.col("r.tagged").alias("tagged"))
 )
