@@ -6,6 +6,8 @@ are built from ``documents`` by one rule that the SQL side repeats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,20 +71,23 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "n_chars", "text", "lang", out.alias("output"), truth.alias("truth"))
 
 
-def _docs(expr: Column, name: str = "x"):
-    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", expr.alias(name))
+# expressions come as thunks: a Column needs a session, and this module must import without one
+
+
+def _docs(expr: Callable[[], Column], name: str = "x"):
+    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", expr().alias(name))
 
 
-def _outs(*exprs: Column):
-    return lambda spark, sf: outputs(spark, sf).select("doc_id", *exprs)
+def _outs(*exprs: Callable[[], Column]):
+    return lambda spark, sf: outputs(spark, sf).select("doc_id", *[e() for e in exprs])
 
 
-def _probs(expr: Column):
-    return lambda spark, sf: problems(spark, sf).select("idx", expr.alias("x"))
+def _probs(expr: Callable[[], Column]):
+    return lambda spark, sf: problems(spark, sf).select("idx", expr().alias("x"))
 
 
-def _pairs(expr: Column):
-    return lambda spark, sf: pairs(spark, sf).select("idx", expr.alias("x"))
+def _pairs(expr: Callable[[], Column]):
+    return lambda spark, sf: pairs(spark, sf).select("idx", expr().alias("x"))
 
 
 def _doc_sql(e: str) -> str:
@@ -118,22 +123,22 @@ query("s19_word_chunks", f"with w as (select doc_id, {WORDS('text')} w from docu
 
 # --- N01-N11 -----------------------------------------------------------------------------------
 
-query("n01_remove_latex_comments", _doc_sql(r"regexp_replace(text, '(\\\\|\\%)|%.*', '\1', 'g')"))(_docs(N.remove_latex_comments("text")))
+query("n01_remove_latex_comments", _doc_sql(r"regexp_replace(text, '(\\\\|\\%)|%.*', '\1', 'g')"))(_docs(lambda: N.remove_latex_comments("text")))
 query("n02_sanitize_inverted_escapes", r"with " + OUT_SQL + r" select doc_id, regexp_replace(output || 'n\x b\\y', '([bntafr])\\', '\1 \\', 'g') x from o")(
-    _outs(N.sanitize_inverted_escapes(F.concat(F.col("output"), F.lit("n\\x b\\\\y"))).alias("x"))
+    _outs(lambda: N.sanitize_inverted_escapes(F.concat(F.col("output"), F.lit("n\\x b\\\\y"))).alias("x"))
 )
-query("n03_flatten_text", _doc_sql("replace(coalesce(text, ''), chr(10), '; ')"))(_docs(N.flatten_text("text")))
-query("n04_sanitize_problem", f"select doc_id, {_SAN} x from documents")(_docs(N.sanitize_problem("text")))
+query("n03_flatten_text", _doc_sql("replace(coalesce(text, ''), chr(10), '; ')"))(_docs(lambda: N.flatten_text("text")))
+query("n04_sanitize_problem", f"select doc_id, {_SAN} x from documents")(_docs(lambda: N.sanitize_problem("text")))
 query("n05_drop_blank_lines", _doc_sql("array_to_string(list_filter(string_split(replace(text, '. ', chr(10) || ' ' || chr(10)), chr(10)), lambda l: trim(l) <> ''), chr(10))"))(
-    _docs(N.drop_blank_lines(F.replace(F.col("text"), F.lit(". "), F.lit("\n \n"))))
+    _docs(lambda: N.drop_blank_lines(F.replace(F.col("text"), F.lit(". "), F.lit("\n \n"))))
 )
-query("n06_normalize_text", _doc_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"))(_docs(N.normalize_text("text")))
+query("n06_normalize_text", _doc_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"))(_docs(lambda: N.normalize_text("text")))
 query(
     "n07_normalize_for_recovery",
     _doc_sql(r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), '\tfrac', '\frac'), '\dfrac', '\frac'), '\s+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([({\[])\s+', '\1', 'g'), '\s+([)}\]])', '\1', 'g'))"),
-)(_docs(N.normalize_for_recovery("text")))
+)(_docs(lambda: N.normalize_for_recovery("text")))
 query("n08_normalize_legacy", r"with " + OUT_SQL + r" select doc_id, trim(regexp_replace(replace(replace(regexp_replace(output, '\\boxed\{([^}]*)\}', '\1', 'g'), '$', ''), '\', ''), '\s+', ' ', 'g')) x from o")(
-    _outs(N.normalize_legacy("output").alias("x"))
+    _outs(lambda: N.normalize_legacy("output").alias("x"))
 )
 query("n09_strip_thinking_tags", r"select page_id, trim(regexp_replace('<think>' || url || '</Think> <reasoning a=1>' || page_id || '</reasoning>', '(?i)</?(think|thinking|reasoning|reflection|scratchpad)[^>]*>', '', 'g')) x from pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", N.strip_thinking_tags(F.concat(F.lit("<think>"), "url", F.lit("</Think> <reasoning a=1>"), F.col("page_id").cast("string"), F.lit("</reasoning>"))).alias("x"))
@@ -147,52 +152,52 @@ query("n11_labels", "select doc_id, case when n_chars >= 1000 then (n_chars // 1
 
 _LINES = lambda t: f"list_transform(range(0, ((length({t}) + 59) // 60)), lambda i: substring({t}, i * 60 + 1, 60))"
 _CYCLE = lambda x, y, f: f"list_transform(range(0, greatest(len({x}), len({y}))), lambda i: {f})"
-query("t04_interleave_lines", f"with {PAIR_SQL}, l as (select idx, {_LINES('trim(a)')} x, {_LINES('trim(b)')} y from q) select idx, array_to_string({_CYCLE('x', 'y', chr(39) + '<Problem A> ' + chr(39) + ' || x[i % len(x) + 1] || chr(10) || ' + chr(39) + '<Problem B> ' + chr(39) + ' || y[i % len(y) + 1]')}, chr(10)) x from l")(_pairs(P.interleave_lines("a", "b")))
-query("t05_interleave_words", f"with {PAIR_SQL}, l as (select idx, {WORDS('a')} x, {WORDS('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1] || chr(32) || y[i % len(y) + 1]')}, ' ') x from l")(_pairs(P.interleave_words("a", "b")))
-query("t06_interleave_symbols", f"with {PAIR_SQL}, l as (select idx, {CH('a')} x, {CH('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1] || y[i % len(y) + 1]')}, '') x from l")(_pairs(P.interleave_symbols("a", "b")))
-query("t07_sentence_reversal", "with r as (select doc_id, list_reverse(string_split(text, '.')) r from documents) select doc_id, array_to_string(case when r[1] = '' then r[2:] || [''] else r end, '.') x from r")(_docs(P.reverse_sentences("text")))
+query("t04_interleave_lines", f"with {PAIR_SQL}, l as (select idx, {_LINES('trim(a)')} x, {_LINES('trim(b)')} y from q) select idx, array_to_string({_CYCLE('x', 'y', chr(39) + '<Problem A> ' + chr(39) + ' || x[i % len(x) + 1] || chr(10) || ' + chr(39) + '<Problem B> ' + chr(39) + ' || y[i % len(y) + 1]')}, chr(10)) x from l")(_pairs(lambda: P.interleave_lines("a", "b")))
+query("t05_interleave_words", f"with {PAIR_SQL}, l as (select idx, {WORDS('a')} x, {WORDS('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1] || chr(32) || y[i % len(y) + 1]')}, ' ') x from l")(_pairs(lambda: P.interleave_words("a", "b")))
+query("t06_interleave_symbols", f"with {PAIR_SQL}, l as (select idx, {CH('a')} x, {CH('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1] || y[i % len(y) + 1]')}, '') x from l")(_pairs(lambda: P.interleave_symbols("a", "b")))
+query("t07_sentence_reversal", "with r as (select doc_id, list_reverse(string_split(text, '.')) r from documents) select doc_id, array_to_string(case when r[1] = '' then r[2:] || [''] else r end, '.') x from r")(_docs(lambda: P.reverse_sentences("text")))
 query("t08_word_reversal", r"""with l as (select doc_id, text, regexp_extract_all(text, '\S+') w, regexp_extract_all(text, '\s+') s from documents),
 m as (select *, case when regexp_matches(text, '^\s') then 1 else 0 end lead_ from l)
-select doc_id, case when len(w) = 0 then text else array_to_string(list_transform(range(1, len(w) + 1), lambda i: coalesce(case when lead_ + i > 1 then s[lead_ + i - 1] end, '') || w[len(w) + 1 - i]), '') || coalesce(case when len(s) > len(w) - 1 + lead_ then s[len(s)] end, '') end x from m""")(_docs(P.reverse_words("text")))
+select doc_id, case when len(w) = 0 then text else array_to_string(list_transform(range(1, len(w) + 1), lambda i: coalesce(case when lead_ + i > 1 then s[lead_ + i - 1] end, '') || w[len(w) + 1 - i]), '') || coalesce(case when len(s) > len(w) - 1 + lead_ then s[len(s)] end, '') end x from m""")(_docs(lambda: P.reverse_words("text")))
 _CPREV = lambda x: f"array_to_string(list_reverse({CH(x)}), '')"
-query("t09_split_reversal", f"select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: {_CPREV('w').replace('lambda i:', 'lambda j:').replace('substring(w, i,', 'substring(w, j,')}), ' ') x from documents")(_docs(P.split_reverse("text")))
-query("t10_rail_fence", f"with {P_SQL}, c as (select idx, {CH('problem')} ch from p) select idx, 'GRID START' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda r: array_to_string(list_transform(range(0, len(ch)), lambda k: case when least(k % 4, 4 - k % 4) = r then ch[k + 1] else '.' end), '')), chr(10)) || chr(10) || 'GRID END' x from c")(_probs(P.rail_fence("problem")))
+query("t09_split_reversal", f"select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: {_CPREV('w').replace('lambda i:', 'lambda j:').replace('substring(w, i,', 'substring(w, j,')}), ' ') x from documents")(_docs(lambda: P.split_reverse("text")))
+query("t10_rail_fence", f"with {P_SQL}, c as (select idx, {CH('problem')} ch from p) select idx, 'GRID START' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda r: array_to_string(list_transform(range(0, len(ch)), lambda k: case when least(k % 4, 4 - k % 4) = r then ch[k + 1] else '.' end), '')), chr(10)) || chr(10) || 'GRID END' x from c")(_probs(lambda: P.rail_fence("problem")))
 query("t11_rectangle_perimeter", f"""with {P_SQL}, c as (select idx, {CH('problem')} ch, length(problem) n, greatest(3, (length(problem) + 13) // 10)::bigint h from p),
 d as (select *, greatest(2, (n - 2 * h + 5) // 2)::bigint w from c)
 select idx, 'GRID START' || chr(10) || array_to_string(list_transform(range(0, h), lambda r: array_to_string(list_transform(range(0, w), lambda k:
-  case when r = 0 then coalesce(ch[k + 1], ' ') when k = w - 1 then coalesce(ch[w + r], ' ') when r = h - 1 then coalesce(ch[2 * w + h - 2 - k], ' ') when k = 0 then coalesce(ch[2 * w + 2 * h - 3 - r], ' ') else '.' end), '')), chr(10)) || chr(10) || 'GRID END' x from d""")(_probs(P.rectangle_perimeter("problem")))
+  case when r = 0 then coalesce(ch[k + 1], ' ') when k = w - 1 then coalesce(ch[w + r], ' ') when r = h - 1 then coalesce(ch[2 * w + h - 2 - k], ' ') when k = 0 then coalesce(ch[2 * w + 2 * h - 3 - r], ' ') else '.' end), '')), chr(10)) || chr(10) || 'GRID END' x from d""")(_probs(lambda: P.rectangle_perimeter("problem")))
 _SNAKE = lambda e: f"with {P_SQL}, c as (select idx, {CH('problem')} ch, ((length(problem) + 4) // 5)::bigint w from p) select idx, 'GRID START' || chr(10) || array_to_string(list_transform(range(0, 5), lambda r: array_to_string(list_transform(range(0, w), lambda k: coalesce(ch[{e} + 1], '')), '')), chr(10)) || chr(10) || 'GRID END' x from c"
-query("t12_snake_vertical", _SNAKE("k * 5 + (case when k % 2 = 0 then r else 4 - r end)"))(_probs(P.snake_vertical("problem")))
-query("t13_snake_horizontal", _SNAKE("r * w + (case when r % 2 = 0 then k else w - 1 - k end)"))(_probs(P.snake_horizontal("problem")))
+query("t12_snake_vertical", _SNAKE("k * 5 + (case when k % 2 = 0 then r else 4 - r end)"))(_probs(lambda: P.snake_vertical("problem")))
+query("t13_snake_horizontal", _SNAKE("r * w + (case when r % 2 = 0 then k else w - 1 - k end)"))(_probs(lambda: P.snake_horizontal("problem")))
 _COMPOUND = "'Solve these completely unrelated math problems. For each problem put your final answer within \\boxed{}.' || chr(10) || chr(10) || 'Problem 1:' || chr(10) || b || chr(10) || chr(10) || 'Problem 2:' || chr(10) || a"
-query("t14_compound", _pair_sql(_COMPOUND))(_pairs(P.compound("a", F.array("b"))))
-query("t15_baseline", _prob_sql("trim(problem)"))(_probs(P.baseline("problem")))
-query("t17_word_split_swap", _doc_sql("array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) < 2 or trim(w, ' ' || chr(10) || chr(9)) = '' then w else substring(w, length(w) // 2 + 1) || substring(w, 1, length(w) // 2) end), ' ')"))(_docs(P.word_split_swap("text")))
-query("t18_terms_prompt", _prob_sql("'" + L.TERMS_TEMPLATE.replace("'", "''").replace("{problem_text}", "' || problem || '") + "'"))(_probs(L.terms_prompt("problem")))
+query("t14_compound", _pair_sql(_COMPOUND))(_pairs(lambda: P.compound("a", F.array("b"))))
+query("t15_baseline", _prob_sql("trim(problem)"))(_probs(lambda: P.baseline("problem")))
+query("t17_word_split_swap", _doc_sql("array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) < 2 or trim(w, ' ' || chr(10) || chr(9)) = '' then w else substring(w, length(w) // 2 + 1) || substring(w, 1, length(w) // 2) end), ' ')"))(_docs(lambda: P.word_split_swap("text")))
+query("t18_terms_prompt", _prob_sql("'" + L.TERMS_TEMPLATE.replace("'", "''").replace("{problem_text}", "' || problem || '") + "'"))(_probs(lambda: L.terms_prompt("problem")))
 
 # perturbations behind a tagger: rows only, with their round trips
-query("t01_not_not")(_probs(L.not_not("problem")))
-query("t02_opposites")(_probs(L.opposites("problem", key="idx")))
-query("t03_wrappers")(_probs(L.wrappers("problem", key="idx")))
-query("t16_context_saturation")(_probs(L.context_saturation("problem", "idx")))
-query("t19_swap_variables")(_probs(L.swap_variables(F.concat("problem", F.lit(" $x + ab + \\frac{y}{Z}$")), key="idx")))
+query("t01_not_not")(_probs(lambda: L.not_not("problem")))
+query("t02_opposites")(_probs(lambda: L.opposites("problem", key="idx")))
+query("t03_wrappers")(_probs(lambda: L.wrappers("problem", key="idx")))
+query("t16_context_saturation")(_probs(lambda: L.context_saturation("problem", "idx")))
+query("t19_swap_variables")(_probs(lambda: L.swap_variables(F.concat("problem", F.lit(" $x + ab + \\frac{y}{Z}$")), key="idx")))
 query("t20_person_names")(lambda spark, sf: problems(spark, sf).select(F.explode(L.person_names("problem")).alias("name")).distinct().orderBy("name"))
 
-query("r01_undo_not_not", _prob_sql("problem"))(_probs(P.undo_not_not(L.not_not("problem"))))
-query("r02_undo_opposites", _prob_sql(r"trim(regexp_replace(problem, '\s+', ' ', 'g'))"))(_probs(L.undo_opposites(L.opposites("problem", key="idx"))))
-query("r03_undo_wrappers", _prob_sql(r"trim(regexp_replace(problem, '\s+', ' ', 'g'))"))(_probs(N.normalize_text(L.undo_wrappers(L.wrappers("problem", key="idx")))))
-query("r04_deinterleave_lines", f"with {PAIR_SQL}, l as (select idx, {_LINES('trim(a)')} x, {_LINES('trim(b)')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(P.deinterleave_lines(P.interleave_lines("a", "b"))))
-query("r05_deinterleave_words", f"with {PAIR_SQL}, l as (select idx, {WORDS('a')} x, {WORDS('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, ' ') x from l")(_pairs(P.deinterleave_words(P.interleave_words("a", "b"))))
-query("r06_deinterleave_symbols", f"with {PAIR_SQL}, l as (select idx, {CH('a')} x, {CH('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(P.deinterleave_symbols(P.interleave_symbols("a", "b"))))
+query("r01_undo_not_not", _prob_sql("problem"))(_probs(lambda: P.undo_not_not(L.not_not("problem"))))
+query("r02_undo_opposites", _prob_sql(r"trim(regexp_replace(problem, '\s+', ' ', 'g'))"))(_probs(lambda: L.undo_opposites(L.opposites("problem", key="idx"))))
+query("r03_undo_wrappers", _prob_sql(r"trim(regexp_replace(problem, '\s+', ' ', 'g'))"))(_probs(lambda: N.normalize_text(L.undo_wrappers(L.wrappers("problem", key="idx")))))
+query("r04_deinterleave_lines", f"with {PAIR_SQL}, l as (select idx, {_LINES('trim(a)')} x, {_LINES('trim(b)')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(lambda: P.deinterleave_lines(P.interleave_lines("a", "b"))))
+query("r05_deinterleave_words", f"with {PAIR_SQL}, l as (select idx, {WORDS('a')} x, {WORDS('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, ' ') x from l")(_pairs(lambda: P.deinterleave_words(P.interleave_words("a", "b"))))
+query("r06_deinterleave_symbols", f"with {PAIR_SQL}, l as (select idx, {CH('a')} x, {CH('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(lambda: P.deinterleave_symbols(P.interleave_symbols("a", "b"))))
 query("r07_sentence_reversal", "select doc_id, text x from documents where not starts_with(text, '.')")(lambda spark, sf: table(spark, sf, "documents").where("not startswith(text, '.')").select("doc_id", P.reverse_sentences(P.reverse_sentences("text")).alias("x")))
-query("r08_word_reversal", _doc_sql("text"))(_docs(P.reverse_words(P.reverse_words("text"))))
-query("r09_split_reversal", _doc_sql("text"))(_docs(P.split_reverse(P.split_reverse("text"))))
-query("r10_read_rail_fence", _prob_sql("problem"))(_probs(P.read_rail_fence(P.rail_fence("problem"))))
-query("r11_read_rectangle", _prob_sql("rtrim(problem)"))(_probs(P.read_rectangle_perimeter(P.rectangle_perimeter("problem"))))
-query("r12_read_snake_vertical", _prob_sql("rtrim(problem)"))(_probs(F.rtrim(P.read_snake_vertical(P.snake_vertical("problem")))))
-query("r13_read_snake_horizontal", _prob_sql("problem"))(_probs(P.read_snake_horizontal_exact(P.snake_horizontal("problem"))))
-query("r16_undo_context_saturation", _prob_sql(r"trim(regexp_replace(problem, '([.!?])\s+', '\1 ', 'g'))"))(_probs(P.undo_context_saturation(L.context_saturation("problem", "idx"))))
-query("r17_undo_word_split_swap", _doc_sql("text"))(_docs(P.undo_word_split_swap(P.word_split_swap("text"))))
+query("r08_word_reversal", _doc_sql("text"))(_docs(lambda: P.reverse_words(P.reverse_words("text"))))
+query("r09_split_reversal", _doc_sql("text"))(_docs(lambda: P.split_reverse(P.split_reverse("text"))))
+query("r10_read_rail_fence", _prob_sql("problem"))(_probs(lambda: P.read_rail_fence(P.rail_fence("problem"))))
+query("r11_read_rectangle", _prob_sql("rtrim(problem)"))(_probs(lambda: P.read_rectangle_perimeter(P.rectangle_perimeter("problem"))))
+query("r12_read_snake_vertical", _prob_sql("rtrim(problem)"))(_probs(lambda: F.rtrim(P.read_snake_vertical(P.snake_vertical("problem")))))
+query("r13_read_snake_horizontal", _prob_sql("problem"))(_probs(lambda: P.read_snake_horizontal_exact(P.snake_horizontal("problem"))))
+query("r16_undo_context_saturation", _prob_sql(r"trim(regexp_replace(problem, '([.!?])\s+', '\1 ', 'g'))"))(_probs(lambda: P.undo_context_saturation(L.context_saturation("problem", "idx"))))
+query("r17_undo_word_split_swap", _doc_sql("text"))(_docs(lambda: P.undo_word_split_swap(P.word_split_swap("text"))))
 
 
 def round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,18 +242,18 @@ query("b01_solve_prompt", f"with {PAIR_SQL} select idx, 'split_reversal' techniq
     lambda spark, sf: pairs(spark, sf).select("idx", "a", F.inline(F.array(*[F.struct(F.lit(t).alias("technique"), x.alias("x")) for t, x in (("split_reversal", P.split_reverse("a")), ("baseline", F.col("a")), ("compound", P.compound("a", F.array("b"))))]))).select("idx", "technique", B.solve_prompt("technique", "a", "x").alias("prompt"))
 )
 query("b02_decode_prompt", f"with {P_SQL} select idx, rtrim('YOUR TASK:' || chr(10) || '1. Read the TRANSFORMATION RULE and the TRANSFORMED INPUT.' || chr(10) || '2. Reverse the transformation and recover the original target problem statement.' || chr(10) || '3. Do not solve the math problem.' || chr(10) || '4. Output only the recovered problem statement between <RECOVERED_PROBLEM> and </RECOVERED_PROBLEM>.' || chr(10) || {_WRAP(B.DECODE_RULES['word_reversal'], 'problem')}, chr(10)) x from p")(
-    _probs(B.decode_prompt(F.lit("word_reversal"), "problem"))
+    _probs(lambda: B.decode_prompt(F.lit("word_reversal"), "problem"))
 )
-query("b03_passive_prompt", _pair_sql("'Take a look at this historical passage:' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'Solve the following problem:' || chr(10) || chr(10) || a"))(_pairs(B.passive_prompt("a", "b")))
-query("b04_messages", _prob_sql(f"{_quoted(B.SYSTEM_PROMPT)} || chr(10) || problem"))(_probs(B.render_messages(B.messages("problem"))))
-query("b05_passive_body", f"with w as (select doc_id, {WORDS('text')} w from documents), o as (select *, {_CHOICE('greatest(len(w), 1)', chr(39) + '9' + chr(39), 'doc_id::varchar')} o from w) select doc_id, case when len(w) = 0 then '' else array_to_string(list_transform(range(0, 50), lambda i: w[(i + o) % len(w) + 1]), ' ') end x from o")(_docs(B.passive_body("text", F.lit(50), 9, F.col("doc_id"))))
-query("b06_matched_body", f"with {PAIR_SQL} select idx, greatest(100 - len({WORDS('a')}) - len({WORDS('b')}), 0)::int x from q")(_pairs(B.matched_body_words(F.lit(100), "a", "b")))
+query("b03_passive_prompt", _pair_sql("'Take a look at this historical passage:' || chr(10) || chr(10) || b || chr(10) || chr(10) || 'Solve the following problem:' || chr(10) || chr(10) || a"))(_pairs(lambda: B.passive_prompt("a", "b")))
+query("b04_messages", _prob_sql(f"{_quoted(B.SYSTEM_PROMPT)} || chr(10) || problem"))(_probs(lambda: B.render_messages(B.messages("problem"))))
+query("b05_passive_body", f"with w as (select doc_id, {WORDS('text')} w from documents), o as (select *, {_CHOICE('greatest(len(w), 1)', chr(39) + '9' + chr(39), 'doc_id::varchar')} o from w) select doc_id, case when len(w) = 0 then '' else array_to_string(list_transform(range(0, 50), lambda i: w[(i + o) % len(w) + 1]), ' ') end x from o")(_docs(lambda: B.passive_body("text", F.lit(50), 9, F.col("doc_id"))))
+query("b06_matched_body", f"with {PAIR_SQL} select idx, greatest(100 - len({WORDS('a')}) - len({WORDS('b')}), 0)::int x from q")(_pairs(lambda: B.matched_body_words(F.lit(100), "a", "b")))
 _CONV = f"c as (select conv_id, turn, text, len({WORDS('text')}) n from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) - n b from c)"
 query("b07_trim_to_budget", f"with {_CONV} select conv_id, turn, case when b + n <= 60 then text else array_to_string({WORDS('text')}[1:(60 - b)::bigint], ' ') end kept from r where b < 60")(lambda spark, sf: B.trim_to_budget(table(spark, sf, "conversations"), 60).select("conv_id", "turn", "kept"))
 query("b08_tolerance", f"with {_CONV}, t as (select conv_id, sum(n) n from c group by conv_id) select conv_id, abs(n - 200) <= 0.01 * 200 near, abs(n - 200) <= 0.02 * 200 passes from t")(
     lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(B.token_count("text")).alias("n")).select("conv_id", B.within_tolerance("n", F.lit(200), 0.01).alias("near"), B.within_tolerance("n", F.lit(200), 0.02).alias("passes"))
 )
-query("b10_judge", "select doc_id, contains(upper(text), 'YES') yes from documents")(_docs(B.judge_verdict("text"), "yes"))
+query("b10_judge", "select doc_id, contains(upper(text), 'YES') yes from documents")(_docs(lambda: B.judge_verdict("text"), "yes"))
 query("b11_distractors")(lambda spark, sf: problems(spark, sf).select("idx", L.distractor(5, F.col("idx")).alias("x")))
 query("b12_static_bins")(lambda spark, sf: L.static_distractors(spark))
 query("b13_fill_context", "with c as (select conv_id, turn, length(text) // 4 n from conversations where conv_id < 40), r as (select *, sum(n) over (order by conv_id, turn) s from c) select conv_id, turn, s::bigint total from r where s - n < 2000")(
@@ -264,25 +269,25 @@ query("s20_context_messages", f"with m as (select conv_id, list({{'role': role,
 # --- X01-X14 -----------------------------------------------------------------------------------
 
 _WO = "with " + OUT_SQL + " "
-query("x01_last_boxed", _WO + r"select doc_id, regexp_extract(output, '.*(\\boxed\{(?:[^{}]|\{[^{}]*\})*\})', 1, 's') x from o")(_outs(X.last_boxed("output").alias("x")))
-query("x01_last_boxed_passive", _WO + r"select doc_id, regexp_extract(output, '.*(\\boxed\{(?:[^{}]|\{[^{}]*\})*\})', 1, 's') x from o")(_outs(X.last_boxed_from_brace("output").alias("x")))
-query("x02_all_boxed", _WO + r"select doc_id, array_to_string(regexp_extract_all(output, '\\boxed\{(?:[^{}]|\{[^{}]*\})*\}'), '#') x from o")(_outs(F.array_join(X.all_boxed("output"), "#").alias("x")))
-query("x03_remove_boxed", _WO + r"select doc_id, case when doc_id % 3 = 0 then 'a{b}' || doc_id % 7 else n_chars::varchar end x from o")(_outs(X.remove_boxed(X.last_boxed("output")).alias("x")))
-query("x04_simple_answer", _WO + r"select doc_id, trim(regexp_extract(case when doc_id % 3 = 0 then regexp_extract_all(output, '\\boxed\s*\{([^}]+)\}', 1)[-1] else n_chars::varchar end, '(?s).*')) x from o")(_outs(X.simple_answer("output").alias("x")))
-query("x05_bold", _WO + r"select doc_id, list_filter(list_transform(regexp_extract_all(output, '\*\*([^*]{1,40})\*\*', 1), lambda x: rtrim(trim(x), '.')), lambda x: regexp_matches(x, '[0-9]') and not regexp_matches(x, '[A-Za-z]{4,}'))[-1] x from o")(_outs(X.bold_candidate("output").alias("x")))
+query("x01_last_boxed", _WO + r"select doc_id, regexp_extract(output, '.*(\\boxed\{(?:[^{}]|\{[^{}]*\})*\})', 1, 's') x from o")(_outs(lambda: X.last_boxed("output").alias("x")))
+query("x01_last_boxed_passive", _WO + r"select doc_id, regexp_extract(output, '.*(\\boxed\{(?:[^{}]|\{[^{}]*\})*\})', 1, 's') x from o")(_outs(lambda: X.last_boxed_from_brace("output").alias("x")))
+query("x02_all_boxed", _WO + r"select doc_id, array_to_string(regexp_extract_all(output, '\\boxed\{(?:[^{}]|\{[^{}]*\})*\}'), '#') x from o")(_outs(lambda: F.array_join(X.all_boxed("output"), "#").alias("x")))
+query("x03_remove_boxed", _WO + r"select doc_id, case when doc_id % 3 = 0 then 'a{b}' || doc_id % 7 else n_chars::varchar end x from o")(_outs(lambda: X.remove_boxed(X.last_boxed("output")).alias("x")))
+query("x04_simple_answer", _WO + r"select doc_id, trim(regexp_extract(case when doc_id % 3 = 0 then regexp_extract_all(output, '\\boxed\s*\{([^}]+)\}', 1)[-1] else n_chars::varchar end, '(?s).*')) x from o")(_outs(lambda: X.simple_answer("output").alias("x")))
+query("x05_bold", _WO + r"select doc_id, list_filter(list_transform(regexp_extract_all(output, '\*\*([^*]{1,40})\*\*', 1), lambda x: rtrim(trim(x), '.')), lambda x: regexp_matches(x, '[0-9]') and not regexp_matches(x, '[A-Za-z]{4,}'))[-1] x from o")(_outs(lambda: X.bold_candidate("output").alias("x")))
 query("x06_recovered_text", "select doc_id, case when doc_id % 2 = 0 then trim(substring(text, 1, 30), ' ' || chr(10)) else trim(text, ' ' || chr(10)) end recovered, doc_id % 2 = 0 tagged from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.recovered_text(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <recovered_problem>"), F.substring("text", 1, 30), F.lit("</RECOVERED_PROBLEM> y"))).otherwise(F.col("text"))).alias("r")).select("doc_id", F.col("r.text").alias("recovered"), F.col("r.tagged").alias("tagged"))
 )
 query("x07_python_code", "select doc_id, case doc_id % 3 when 0 then 'print(' || doc_id || ')' when 1 then 'open' || doc_id end code, case when doc_id % 3 = 0 then 'print(' || doc_id || ')' end closed from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("t ```python\nprint("), "doc_id", F.lit(")\n``` z"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```python\nopen"), "doc_id")).otherwise("none").alias("t")).select("doc_id", X.python_code("t").alias("code"), X.python_code("t", unclosed=False).alias("closed"))
 )
-query("x08_problem_count", _WO + r"select doc_id, greatest(len(regexp_extract_all(output, 'Problem \d+:')) - 1, 0)::int x from o")(_outs(X.problem_count("output").alias("x")))
+query("x08_problem_count", _WO + r"select doc_id, greatest(len(regexp_extract_all(output, 'Problem \d+:')) - 1, 0)::int x from o")(_outs(lambda: X.problem_count("output").alias("x")))
 query("x09_markers", _WO + r", m as (select doc_id, unnest(regexp_extract_all(output, 'Problem\s*(\d+)', 1))::bigint num from o) select doc_id, num, count(*) n from m group by all")(
     lambda spark, sf: outputs(spark, sf).select("doc_id", F.explode(X.problem_markers("output")).alias("num")).groupBy("doc_id", "num").agg(F.count("*").alias("n"))
 )
-query("x12_boundaries", _WO + "select doc_id, strpos(output, 'Problem 1') - 1 first_marker, strpos(output, 'Problem 2:') - 1 statement from o")(_outs(X.system_boundary("output").cast("bigint").alias("first_marker"), X.statement_boundary("output", F.lit(2)).cast("bigint").alias("statement")))
-query("x13_char_to_word", f"select doc_id, len({WORDS('substring(text, 1, 100)')})::int x from documents")(_docs(X.char_to_word("text", F.lit(100))))
-query("x14_transformed_input", _prob_sql("trim(problem)"))(_probs(X.transformed_input(F.concat(F.lit("RULE\nTRANSFORMED INPUT:\n"), "problem", F.lit("\n")))))
+query("x12_boundaries", _WO + "select doc_id, strpos(output, 'Problem 1') - 1 first_marker, strpos(output, 'Problem 2:') - 1 statement from o")(_outs(lambda: X.system_boundary("output").cast("bigint").alias("first_marker"), lambda: X.statement_boundary("output", F.lit(2)).cast("bigint").alias("statement")))
+query("x13_char_to_word", f"select doc_id, len({WORDS('substring(text, 1, 100)')})::int x from documents")(_docs(lambda: X.char_to_word("text", F.lit(100))))
+query("x14_transformed_input", _prob_sql("trim(problem)"))(_probs(lambda: X.transformed_input(F.concat(F.lit("RULE\nTRANSFORMED INPUT:\n"), "problem", F.lit("\n")))))
 
 # --- G01-G11, F1-F3 ----------------------------------------------------------------------------
 
@@ -301,17 +306,17 @@ _GA = lambda c: F.when(c % 5 == 0, F.lit(None).cast("string")).when(c % 5 == 1,
 query("g03_is_equiv", "select doc_id, case doc_id % 5 when 0 then false when 1 then true when 2 then true else doc_id % 5 = 3 end x from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", G.is_equiv(_GA(F.col("doc_id")), F.when(F.col("doc_id") % 5 == 1, (F.col("doc_id") / 2).cast("string")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))).alias("x"))
 )
-query("g05_error_value", "select doc_id, case when doc_id % 7 = 0 then 'ERROR: bad' else lang end x from documents")(_docs(G.graded_or_error("lang", F.when(F.col("doc_id") % 7 == 0, "bad"))))
+query("g05_error_value", "select doc_id, case when doc_id % 7 = 0 then 'ERROR: bad' else lang end x from documents")(_docs(lambda: G.graded_or_error("lang", F.when(F.col("doc_id") % 7 == 0, "bad"))))
 query("g06_failure_mode", f"""with w as (select doc_id, text, {WORDS('text')} w from documents), g as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) g from w),
-l as (select distinct doc_id from (select doc_id, g from g group by all having count(*) >= 3)) select doc_id, case when doc_id in (select doc_id from l) then 'loop' when contains(text, '\\boxed') then 'wrong_answer' else 'no_conclusion' end x from documents""")(_docs(G.failure_mode("text")))
+l as (select distinct doc_id from (select doc_id, g from g group by all having count(*) >= 3)) select doc_id, case when doc_id in (select doc_id from l) then 'loop' when contains(text, '\\boxed') then 'wrong_answer' else 'no_conclusion' end x from documents""")(_docs(lambda: G.failure_mode("text")))
 query("g08_refusal", "select event_id, event_type in ('content_filter', 'click') x from events where false union all select event_id, event_id % 3 = 0 from events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", G.is_refusal(F.lit("google"), F.when(F.col("event_id") % 3 == 0, "SAFETY").otherwise("STOP")).alias("x"))
 )
 query("g09_retry_class", "select event_id, ['quota', 'safety', 'cache_expired', 'other'][event_id % 4 + 1] x from events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", G.retry_class(F.element_at(F.array(*[F.lit(m) for m in ("HTTP 429 Quota", "blocked for Safety", "Cache expired", "timeout")]), (F.col("event_id") % 4 + 1).cast("int"))).alias("x"))
 )
-query("g10_truncation", r"select doc_id, trim(text, ' ' || chr(10)) <> '' and (regexp_matches(text, '\\boxed\{[^}]*$') or right(trim(text, ' ' || chr(10)), 1) not in ('.', '!', '?', '}', '>', ']')) x from documents")(_docs(G.truncation_suspect("text", F.lit(False))))
-query("g11_cut_off", "select doc_id, n_chars >= 0.98 * 3000 x from documents")(_docs(G.cut_off("n_chars", F.lit("n/a"), F.lit("3000"))))
+query("g10_truncation", r"select doc_id, trim(text, ' ' || chr(10)) <> '' and (regexp_matches(text, '\\boxed\{[^}]*$') or right(trim(text, ' ' || chr(10)), 1) not in ('.', '!', '?', '}', '>', ']')) x from documents")(_docs(lambda: G.truncation_suspect("text", F.lit(False))))
+query("g11_cut_off", "select doc_id, n_chars >= 0.98 * 3000 x from documents")(_docs(lambda: G.cut_off("n_chars", F.lit("n/a"), F.lit("3000"))))
 query("f_failures", "select doc_id, e like 'ERROR%' f1, contains(e, 'ERROR') f2, e is null f3 from (select doc_id, case doc_id % 4 when 0 then 'ERROR: x' when 1 then 'my ERROR' when 2 then '' end e from documents)".replace("e like 'ERROR%' f1", "coalesce(e like 'ERROR%', false) f1").replace("contains(e, 'ERROR') f2", "coalesce(contains(e, 'ERROR'), false) f2"))(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "ERROR: x").when(F.col("doc_id") % 4 == 1, "my ERROR").when(F.col("doc_id") % 4 == 2, "").alias("e")).select("doc_id", G.failed_prefix("e").alias("f1"), G.failed_contains("e").alias("f2"), G.failed_missing("e", F.lit(False)).alias("f3"))
 )
