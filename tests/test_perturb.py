@@ -66,6 +66,8 @@ def test_round_trip(spark, name):
         texts = ["".join(c for c in t if not c.isspace()) for t in texts]
         texts = [t for t in texts if name != "snake_horizontal" or len(t) not in (7, 11)]
     rows = list(zip(texts, texts[1:] + texts[:1]))
+    if name == "interleaved_context_symbol":
+        rows = [r for r in rows if all(r)]
     if name == "interleaved_context_word":  # a text without words interleaves as "", which the split drops
         rows = [r for r in rows if all(x.split() for x in r)]
     got = run(spark, rows, F.col("a"), p.inverse(P.perturb(name, F.col("a"), F.col("b"))).alias("x"))
