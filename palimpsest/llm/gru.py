@@ -6,9 +6,9 @@ a softmax of their own inside each, and classes of all other words by their last
 bytes, inside which a word takes its share of the corpus counts.  Words never seen in
 training take, inside their class, the share of words seen once (Good-Turing).
 
-Word counts cover every training text.  The network is trained by truncated
-backpropagation on a fixed fraction of the training texts, so what it sees grows with the
-corpus: replicas train on parts of it from one start and are averaged.  Scoring carries
+Word counts cover every training text, and so does the network, trained by truncated
+backpropagation: replicas make a full pass over parts of the corpus, of the same length at
+every size, from one start and are averaged.  Scoring carries
 the state across windows, from the first word of a text to its end.
 """
 
@@ -29,8 +29,8 @@ HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 64
 HEAD = HEAD_CLASSES * CLASS_WORDS  # the end token is word 0
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 HIDDEN, WINDOW, LANES = 32, 24, 64
-#: Fraction of training texts that the network sees, and the least number of them; tokens of a replica.
-FRACTION, LEAST_TEXTS, REPLICA_TOKENS = 0.01, 400, 500_000
+#: Tokens of a replica, and the least number of its updates (a short stream is passed more than once).
+REPLICA_TOKENS, LEAST_UPDATES = 2_000_000, 600
 #: At most so many of the most frequent words travel to every task with their counts (16 bytes
 #: each); rarer words are joined.
 CARRIED = 1 << 18
@@ -186,7 +186,11 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         g = h @ self.U
-        rz = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+        rz = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
         s = g[:, 2 * HIDDEN :] + self.b
         n = np.tanh(x[:, 2 * HIDDEN :] + r * s)
@@ -198,11 +202,13 @@ class Network:
         head = ids < HEAD
         cls = np.where(head, ids // CLASS_WORDS, ids - HEAD + HEAD_CLASSES)
         rows = np.arange(len(ids))
-        logits = states @ self.C + self.c
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        norm = p.sum(axis=1)
-        out = logits[rows, cls] - np.log(norm)
+        p = states @ self.C
+        p += self.c
+        p -= p.max(axis=1, keepdims=True)
+        out = p[rows, cls]
+        np.exp(p, out=p)
+        norm = p @ np.ones(CLASSES, dtype=p.dtype)
+        out -= np.log(norm)
         dstates = None
         if grads is not None:
             p /= norm[:, None]
@@ -210,25 +216,29 @@ class Network:
             grads.C += states.T @ p
             grads.c += p.sum(axis=0)
             dstates = p @ self.C.T
-        order = np.argsort(np.where(head, cls, CLASSES), kind="stable")
-        edge = np.searchsorted(np.where(head, cls, CLASSES)[order], np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            i = order[edge[k] : edge[k + 1]]
-            if not len(i):
-                continue
-            x = states[i]
-            y = x @ self.W[k] + self.w[k]
-            y -= y.max(axis=1, keepdims=True)
-            q = np.exp(y)
-            total = q.sum(axis=1)
-            word = ids[i] % CLASS_WORDS
-            out[i] += y[np.arange(len(i)), word] - np.log(total)
-            if grads is not None:
-                q /= total[:, None]
-                q[np.arange(len(i)), word] -= 1
-                grads.W[k] += x.T @ q
-                grads.w[k] += q.sum(axis=0)
-                dstates[i] += q @ self.W[k].T
+        order = np.argsort(np.where(head, cls, CLASSES), kind="stable")[: int(head.sum())]
+        x, own, word = states[order], cls[order], ids[order] % CLASS_WORDS
+        edge = np.searchsorted(own, np.arange(HEAD_CLASSES + 1))
+        classes = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(np.diff(edge))]
+        rows = np.arange(len(order))
+        y = np.empty((len(order), CLASS_WORDS), dtype=np.result_type(states, self.W))
+        for k, i in classes:
+            np.matmul(x[i], self.W[k], out=y[i])
+        y += self.w[own]
+        y -= y.max(axis=1, keepdims=True)
+        picked = y[rows, word]
+        np.exp(y, out=y)
+        total = y @ np.ones(CLASS_WORDS, dtype=y.dtype)
+        out[order] += picked - np.log(total)
+        if grads is not None and classes:
+            y /= total[:, None]
+            y[rows, word] -= 1
+            dx = np.empty((len(order), HIDDEN), dtype=y.dtype)
+            for k, i in classes:
+                grads.W[k] += x[i].T @ y[i]
+                np.matmul(y[i], self.W[k].T, out=dx[i])
+            grads.w[[k for k, _ in classes]] += np.add.reduceat(y, [i.start for _, i in classes], axis=0)
+            dstates[order] += dx
         return out, dstates
 
     def window(self, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray, grads: Network) -> tuple[float, np.ndarray]:
@@ -236,90 +246,117 @@ class Network:
         and where a text begins.  Adds gradients of the summed loss; returns loss and state."""
         steps, lanes = ids.shape
         states = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
-        saved = []
+        r, z, n, s = (np.empty_like(states) for _ in range(4))
+        x, live = self.E[ids], ~fresh[:, :, None]
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            states[t] = h
-            h, *rest = self.step(self.E[ids[t]], h)
-            saved.append(rest)
+            states[t] = h * live[t]
+            h, r[t], z[t], n[t], s[t] = self.step(x[t], states[t])
         logp, d = self.output(states.reshape(-1, HIDDEN), ids.ravel(), grads)
         d = d.reshape(steps, lanes, HIDDEN)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
+        by_n = (1 - z) * (1 - n * n)
+        by_r = s * r * (1 - r)
+        by_z = (states - n) * z * (1 - z)
+        dg = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)  # by h @ U
+        dn = np.empty_like(states)
         dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
+        back = np.ascontiguousarray(self.U.T)
         for t in range(steps - 1, -1, -1):
-            r, z, n, s = saved[t]
-            before = states[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :HIDDEN] = dn * s * r * (1 - r)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dh * (before - n) * z * (1 - z)
-            dx[t, :, 2 * HIDDEN :] = dn
-            dg = dx[t].copy()
-            dg[:, 2 * HIDDEN :] = dn * r
-            grads.U += before.T @ dg
-            grads.b += dg[:, 2 * HIDDEN :].sum(axis=0)
-            dh = (dh * z + dg @ self.U.T + d[t]) * ~fresh[t][:, None]
-        flat, order = ids.ravel(), np.argsort(ids, axis=None, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-        grads.E[flat[order][first]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+            np.multiply(dh, by_n[t], out=dn[t], casting="same_kind")
+            np.multiply(dn[t], by_r[t], out=dg[t, :, :HIDDEN])
+            np.multiply(dh, by_z[t], out=dg[t, :, HIDDEN : 2 * HIDDEN], casting="same_kind")
+            np.multiply(dn[t], r[t], out=dg[t, :, 2 * HIDDEN :])
+            dh = (dh * z[t] + dg[t] @ back + d[t]) * live[t]
+        grads.U += states.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        grads.b += dg[:, :, 2 * HIDDEN :].sum(axis=(0, 1))
+        dx = dg
+        dx[:, :, 2 * HIDDEN :] = dn
+        order = np.argsort(ids, axis=None, kind="stable")
+        flat, dx = ids.ravel()[order], dx.reshape(-1, 3 * HIDDEN)[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] > flat[:-1])))
+        n = np.diff(np.append(first, len(flat)))
+        for i in range(min(4, int(n.max()))):  # the first rows of every word at once, the rest of frequent ones by word
+            at = first[n > i] + i
+            grads.E[flat[at]] += dx[at]
+        for at, k in zip(first[n > 4].tolist(), n[n > 4].tolist()):
+            grads.E[flat[at]] += np.ones(k - 4, dtype=dx.dtype) @ dx[at + 4 : at + k]
         return -float(logp.sum()), h
 
 
-def train(net: Network, stream: np.ndarray, updates: int, rate: float = 0.01) -> None:
-    """Adam over lanes of one token stream (texts end with word 0), passes until ``updates``."""
+def train(net: Network, stream: np.ndarray, least: int = LEAST_UPDATES, rate: float = 0.01) -> int:
+    """Adam over lanes of one token stream (texts end with word 0): one pass over all of it, or as
+    many as make ``least`` updates.  Returns the number of updates."""
     if len(stream) < 2:
-        return
+        return 0
     lanes = int(min(LANES, max(1, len(stream) // WINDOW)))
-    length = len(stream) // lanes
-    ids = stream[: lanes * length].reshape(lanes, length).T
+    length = -(-len(stream) // lanes)
+    ids = np.resize(stream, lanes * length).reshape(lanes, length).T  # the last lane ends with the stream's begin
     fresh = np.zeros(ids.shape, dtype=bool)
     fresh[1:] = ids[:-1] == 0
     fresh[0] = True
-    m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+    updates = max(least, -(-length // WINDOW))
+    m, v, by = np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat)
+    grads = Network(np.zeros_like(net.flat))
+    g = grads.flat
     done = 0
     while done < updates:
         h = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for at in range(0, length, WINDOW):
-            grads = Network()
-            part = ids[at : at + WINDOW]
+            g.fill(0)
+            part = ids[at : at + WINDOW].astype(np.int64)
             _, h = net.window(part, h, fresh[at : at + WINDOW], grads)
-            g = grads.flat / part.size
+            g /= part.size
             norm = float(np.sqrt(g @ g))
             if norm > 1:
                 g /= norm
             done += 1
             m *= 0.9
-            m += 0.1 * g
+            m += np.multiply(g, 0.1, out=by)
             v *= 0.99
-            v += 0.01 * g * g
+            np.multiply(g, g, out=by)
+            by *= 0.01
+            v += by
             pace = rate * min(1.0, 2 * (1 - done / (updates + 1)) + 0.02)
-            net.flat -= pace * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+            np.sqrt(v, out=by)
+            by *= 1 / np.sqrt(1 - 0.99**done).item()
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= pace / (1 - 0.9**done)
+            net.flat -= by
             if done >= updates:
                 break
+    return done
 
 
-def _stream(texts: list[pa.Array], v: Vocabulary) -> np.ndarray:
-    parts = []
-    for t in texts:
-        ids, _, first, _ = encode(t, v)
-        for i in range(len(t)):
-            parts += [ids[first[i] : first[i + 1]], np.zeros(1, dtype=np.int64)]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+def _encoded(v: Vocabulary):
+    """(text, o) -> (o, ids): the input numbers of each text and its end, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                ids, _, first, _ = encode(part.column(0), v)
+                ids = ids.astype(np.int16)
+                ends = np.zeros(1, dtype=np.int16).tobytes()
+                data = [ids[first[i] : first[i + 1]].tobytes() + ends for i in range(part.num_rows)]
+                yield pa.record_batch([part.column(1), pa.array(data, pa.binary())], names=["o", "ids"])
+
+    return run
 
 
 _PARTS = 16
 
 
-def _replica(start: np.ndarray, v: Vocabulary):
-    """(text) -> the replica's parameters in parts, with its number of tokens."""
+def _replica(start: np.ndarray):
+    """(ids) -> the replica's parameters in parts, with its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, texts = Network(start.copy()), []
+        net, held = Network(start.copy()), []
         for batch in batches:
-            texts.append(batch.column(0))
-        stream = _stream(texts, v)
-        if not len(stream):
+            held += [np.frombuffer(x.as_buffer(), dtype=np.int16) for x in batch.column(0)]
+        if not held:
             return
-        train(net, stream, updates=max(600, min(4000, len(stream) // (LANES * WINDOW))))
+        stream = np.concatenate(held)
+        held.clear()
+        train(net, stream)
         parts = [p.tobytes() for p in np.array_split(net.flat, _PARTS)]
         yield pa.record_batch([pa.array(range(_PARTS), pa.int32()), pa.array([len(stream)] * _PARTS, pa.int64()), pa.array(parts, pa.binary())], names=["part", "n", "data"])
 
@@ -340,6 +377,16 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "data"])
 
 
+def replicas(texts: DataFrame, v: Vocabulary, start: Network) -> DataFrame:
+    """(part, n, data): the parameters of every replica, in parts, with its number of tokens.  All
+    of ``texts(doc_id, text)`` are dealt out to them."""
+    # a fixed order within a replica: the same rows give the same model
+    rows = texts.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(1)).alias("o"))
+    rows = rows.mapInArrow(_encoded(v), "o long, ids binary")
+    rows = rows.repartition(max(1, round(v.total / REPLICA_TOKENS)), "o").sortWithinPartitions("o", "ids").select("ids")
+    return rows.mapInArrow(_replica(start.flat), "part int, n long, data binary")
+
+
 def fit(texts: DataFrame, seed: int = 5) -> tuple[Vocabulary, Network, DataFrame]:
     """(vocabulary, network, counts) from ``texts(doc_id, text)``; counts is (h, suffix, n), a kept
     table.  Null texts are empty.  Without texts the model knows nothing and every word is unseen."""
@@ -348,19 +395,10 @@ def fit(texts: DataFrame, seed: int = 5) -> tuple[Vocabulary, Network, DataFrame
     counts = keep(counts, "lm-counts")
     free(texts.sparkSession)
     v = vocabulary(counts)
-    n_texts = int(v.head_n[0]) if len(v.head_n) else 0
     net = Network.start(v, seed)
-    if n_texts:
-        part = min(1.0, max(FRACTION, LEAST_TEXTS / n_texts))
-        cut = 2**63 - 1 if part == 1 else int(-(2**63) + part * (2**64 - 1))
-        sample = texts.where(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)) <= F.lit(cut))
-        replicas = max(1, round(part * v.total / REPLICA_TOKENS))
-        # a fixed order within a replica: the same rows give the same model
-        rows = sample.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(1)).alias("o"))
-        rows = rows.repartition(replicas, "o").sortWithinPartitions("o", "text").select("text")
-        schema = "part int, n long, data binary"
-        trained = rows.mapInArrow(_replica(net.flat, v), schema).repartition(min(_PARTS, 4 * replicas), "part").mapInArrow(_average, schema)
-        got = sorted((r["part"], bytes(r["data"])) for r in trained.collect())
+    if v.total:
+        trained = replicas(texts, v, net)
+        got = sorted((r["part"], bytes(r["data"])) for r in trained.repartition(_PARTS, "part").mapInArrow(_average, trained.schema).collect())
         if got:
             net = Network(np.concatenate([np.frombuffer(d, dtype=np.float32) for _, d in got]).copy())
     return v, net, counts
@@ -390,7 +428,7 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
             filled += b
             h[:b] = net.step(net.E[ids[t, :b]], h[:b])[0]
         flat = np.concatenate(used)
-        logp, _ = net.output(states, flat)
+        logp = np.concatenate([net.output(states[i : i + 2048], flat[i : i + 2048])[0] for i in range(0, len(flat), 2048)])
         who = np.concatenate([np.arange(len(u)) for u in used])
         out[order[:live]] += np.bincount(who, weights=logp, minlength=live)
         at += width

@@ -335,3 +335,20 @@ def test_state_is_carried():
             total += float(net.output(h, np.array([w]))[0][0])
             h = net.step(net.E[[w]], h)[0]
         assert g == pytest.approx(total, rel=1e-4)
+
+
+def test_network_sees_every_text(spark):
+    texts = spark.createDataFrame([(i, f"a b w{i}") for i in range(1000)] + [(None, "a b x")] * 3, "doc_id long, text string")
+    v, net, _ = gru.fit(texts)
+    out = gru.replicas(texts, v, net).where("part = 0").collect()
+    assert sum(r.n for r in out) == v.total == 1003 * 4
+
+
+def test_training_passes_over_all_tokens(monkeypatch):
+    seen = []
+    monkeypatch.setattr(gru.Network, "window", lambda net, ids, h, *a: seen.append(ids.ravel()) or (0.0, h))
+    for size, updates in ((1499, 2), (64 * 24 * 20 + 7, 21), (64 * 24 * 4001, 4001)):
+        stream = np.resize(np.arange(gru.HEAD, dtype=np.int16), size)
+        seen.clear()
+        assert gru.train(gru.Network(), stream, least=1) == updates
+        assert (np.bincount(np.concatenate(seen), minlength=gru.HEAD) >= np.bincount(stream, minlength=gru.HEAD)).all()
