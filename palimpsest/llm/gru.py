@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,23 +100,26 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From ``counts(h, suffix, n)``, one row a word.  What comes to the driver is bounded:
-    CARRIED words and 65536 suffixes."""
+    CARRIED words (and what of the head is not among them) and 65536 suffixes."""
     # a histogram of some hundred bins tells the least count that CARRIED words reach, so no
     # partition sends its own top words
     bin_ = F.floor(F.log2(F.col("n")) * 16)
+    words = counts.where(F.col("h") != _END)
     room, floor = CARRIED, 0
-    for r in sorted(counts.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r["b"]):
+    for r in sorted(words.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r["b"]):
         room -= r["count"]
         if room < 0:
             floor = r["b"] + 1
             break
-    top = counts.where(bin_ >= floor).select("h", "n").toPandas().sort_values(["n", "h"], ascending=[False, True])
+    top = words.where(bin_ >= floor).select("h", "n").toPandas()
+    if floor and len(top) < HEAD - 1:  # the next bin alone holds more than CARRIED words: its most frequent ones
+        top = pd.concat([top, words.where(bin_ == floor - 1).select("h", "n").orderBy(F.desc("n"), "h").limit(HEAD - 1 - len(top)).toPandas()])
+    end = counts.where(F.col("h") == _END).select("h", "n").toPandas()  # word 0, however rare
+    top = pd.concat([end, top.sort_values(["n", "h"], ascending=[False, True])])
     total, types = counts.agg(F.sum("n"), F.count("*")).first()
     h = top["h"].to_numpy(dtype=np.int64).view(U64)
     n = top["n"].to_numpy(dtype=np.int64)
-    is_end = h == U64(_END)
-    order = np.concatenate((np.flatnonzero(is_end), np.flatnonzero(~is_end)))[:HEAD]  # the end is word 0
-    head_h, head_n = h[order], n[order]
+    head_h, head_n = h[:HEAD], n[:HEAD]
     s = np.argsort(head_h)
     c = np.argsort(h)
     tail = counts.where(~F.col("h").isin([int(x) for x in head_h.view(np.int64)]))

@@ -352,3 +352,17 @@ def test_training_passes_over_all_tokens(monkeypatch):
         seen.clear()
         assert gru.train(gru.Network(), stream, least=1) == updates
         assert (np.bincount(np.concatenate(seen), minlength=gru.HEAD) >= np.bincount(stream, minlength=gru.HEAD)).all()
+
+
+def test_head_and_end_beside_many_words(spark, monkeypatch):
+    """More than CARRIED words at least as frequent as there are texts, and a topmost bin beyond CARRIED."""
+    monkeypatch.setattr(gru, "CARRIED", 8)
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40)) + " often" * 9 * i) for i in range(2)], "doc_id long, text string")
+    for rows, top in ((texts, 9), (texts.where("doc_id = 0"), 1)):
+        v, net, counts = gru.fit(rows)
+        assert v.head_n.tolist() == [rows.count()] + [top] * (top > 1) + [rows.count()] * (len(v.head_n) - 1 - (top > 1)) and len(v.head_n) == 41 + (top > 1)
+        n, types = v.total, v.types
+        for r in gru.score(rows, (v, net, counts)).collect():
+            count = [rows.count()] * 41 + [9] * 9 * r.doc_id
+            assert r.n_known == r.n_tokens == len(count)
+            assert r.base_score == pytest.approx(sum(math.log10((c + 0.5) / (n + 0.5 * (types + 1))) for c in count))
