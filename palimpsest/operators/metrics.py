@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import grade as G
 from ..functions.core import col
-from .stats import wilson_interval
+from .stats import bootstrap_mean, wilson_interval
 
 
 def count_if(c) -> Column:
@@ -101,16 +101,19 @@ def with_success(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("success", F.coalesce(F.when(has, F.col("recovered")).otherwise(F.col("correct")), F.lit(False)))
 
 
-def summarize_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A07 without the bootstrap (stats.bootstrap_mean adds it): successes, rate, Wilson interval,
-    mean over problems, samples a problem, failures and cut-offs."""
+def summarize_runs(rows: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Successes, rate, Wilson interval, mean over problems with its bootstrap interval (low, high),
+    samples a problem, failures and cut-offs."""
     per = rows.groupBy(*keys, "id").agg(F.count("*").alias("n"), count_if(F.col("success")).alias("s"), count_if(G.failed_missing("extracted", "correct")).alias("f"))
     out = per.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum("s").alias("successes"), F.count("*").alias("n_problems"), F.avg(F.col("s") / F.col("n")).alias("problem_mean"),
         F.min("n").alias("min_samples"), F.max("n").alias("max_samples"), F.avg("n").alias("mean_samples"), F.sum("f").alias("failures"),
     )
     low, high = wilson_interval("successes", "total")
-    return out.withColumn("rate", ratio("successes", "total")).withColumn("wilson_low", low).withColumn("wilson_high", high)
+    out = out.withColumn("rate", ratio("successes", "total")).withColumn("wilson_low", low).withColumn("wilson_high", high)
+    boot = bootstrap_mean(problem_scores(rows, keys), keys, draws, seed).select(*[F.col(k).alias(f"_{k}") for k in keys], "low", "high")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return out.join(boot, same).drop(*[f"_{k}" for k in keys])
 
 
 def problem_scores(rows: DataFrame, keys: list[str]) -> DataFrame:

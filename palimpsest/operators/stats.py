@@ -38,12 +38,13 @@ def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 1000, seed:
     return out.select(*keys, n.alias("n"), mean.alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def paired_comparison(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """On common ids of ``(keys, id, score)``: mean difference a - b and how many ids are better,
-    the same or worse."""
+def paired_comparison(a: DataFrame, b: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """On common ids of ``(keys, id, score)``: mean difference a - b, its bootstrap interval
+    (low, high) over the ids, and how many ids are better, the same or worse."""
     both = a.select(*keys, "id", F.col("score").alias("_a")).join(b.select(*keys, "id", F.col("score").alias("_b")), [*keys, "id"])
     d = F.col("_a") - F.col("_b")
-    return both.groupBy(*keys).agg(F.count("*").alias("n_common"), F.avg(d).alias("mean_diff"), F.count_if(d > 0).alias("better"), F.count_if(d == 0).alias("same"), F.count_if(d < 0).alias("worse"))
+    out = both.groupBy(*keys).agg(F.count("*").alias("n_common"), F.avg(d).alias("mean_diff"), F.count_if(d > 0).alias("better"), F.count_if(d == 0).alias("same"), F.count_if(d < 0).alias("worse"))
+    return out.join(bootstrap_mean(both.withColumn("score", d), keys, draws, seed).select(*keys, "low", "high"), keys)
 
 
 #: Q04: (label, what is compared, its reference condition).

@@ -76,10 +76,12 @@ query("a05_decode_summary", WG + f", s as (select *, ['{_STATUS[0]}', '{_STATUS[
 query("a06_passive_summary", WG + f"select model, {_R('count(*) filter (correct)', 'count(*)')} accuracy, round(avg(tokens), 4) avg_tokens from g group by model")(
     lambda spark, sf: rounded(rounded(A.passive_summary(graded(spark, sf), ["model"], ["tokens"]), "accuracy"), "avg_tokens", digits=4)
 )
+_summary = lambda spark, sf: rounded(A.summarize_runs(graded(spark, sf).withColumn("success", F.col("correct")), KEYS), "problem_mean", "mean_samples", "rate", "wilson_low", "wilson_high", "low", "high")
 _WIL = lambda s, n, sign: f"round(case when {n} >= 1 then {'greatest(0' if sign == '-' else 'least(1'}, (({s} / {n} + 1.9208 / {n}) {sign} 1.96 * sqrt(({s} / {n}) * (1 - {s} / {n}) / {n} + 3.8416 / (4.0 * {n} * {n}))) / (1 + 3.8416 / {n})) end, 6)"
 query("a07_summarize_runs", WG + f", p as (select technique, model, id, count(*) n, count(*) filter (correct) s, count(*) filter (extracted is null and not correct) f from g group by all), r as (select technique, model, sum(n)::bigint total, sum(s)::bigint successes, count(*) n_problems, round(avg(s / n), 6) problem_mean, min(n) min_samples, max(n) max_samples, round(avg(n), 6) mean_samples, sum(f)::bigint failures from p group by all) select *, round(successes / total, 6) rate, {_WIL('successes', 'total', '-')} wilson_low, {_WIL('successes', 'total', '+')} wilson_high from r")(
-    lambda spark, sf: rounded(A.summarize_runs(graded(spark, sf).withColumn("success", F.col("correct")), KEYS), "problem_mean", "mean_samples", "rate", "wilson_low", "wilson_high")
+    lambda spark, sf: _summary(spark, sf).drop("low", "high")
 )
+query("a07_summarize_runs_interval")(lambda spark, sf: _summary(spark, sf))
 query("a08_conditions", "select page_id, case page_id % 4 when 0 then 'baseline:compound' when 1 then 'baseline:unknown' when 2 then 'decode_recovery:rail_fence' else 'passive_context:d3' end condition from pages")(
     lambda spark, sf: table(spark, sf, "pages").select(
         "page_id",
@@ -165,10 +167,12 @@ t as (select model, any_value(s) s, list_sort(list(v)) v from m group by model)
 select model, len(s)::int n, round(list_sum(s) / len(s), 6) mean, round(case when len(s) > 1 then v[5] else s[1] end, 6) low, round(case when len(s) > 1 then v[195] else s[1] end, 6) high from t"""
 query("q02_bootstrap", _BOOT)(lambda spark, sf: rounded(Q.bootstrap_mean(A.problem_scores(graded(spark, sf).withColumn("success", F.col("correct")), ["model"]), ["model"], draws=200), "mean", "low", "high"))
 _TS = WG + ", s as (select technique, model, id, avg(correct::int) score from g group by all) "
+_paired = lambda spark, sf: rounded(Q.paired_comparison(_score(spark, sf).where("technique = 'src1'"), _score(spark, sf).where("technique = 'src0'"), ["model"]), "mean_diff", "low", "high")
 _score = lambda spark, sf: A.problem_scores(graded(spark, sf).withColumn("success", F.col("correct")), KEYS)
 query("q03_paired", _TS + "select a.model, count(*) n_common, round(avg(a.score - b.score), 6) mean_diff, count(*) filter (a.score > b.score) better, count(*) filter (a.score = b.score) same, count(*) filter (a.score < b.score) worse from s a join s b on a.model = b.model and a.id = b.id where a.technique = 'src1' and b.technique = 'src0' group by a.model")(
-    lambda spark, sf: rounded(Q.paired_comparison(_score(spark, sf).where("technique = 'src1'"), _score(spark, sf).where("technique = 'src0'"), ["model"]), "mean_diff")
+    lambda spark, sf: _paired(spark, sf).drop("low", "high")
 )
+query("q03_paired_interval")(lambda spark, sf: _paired(spark, sf))
 _COND = ["baseline:perturb", "baseline:compound", "compound", "passive_context:d3", "rail_fence"]
 query("q04_plan", f"with r as (select distinct lang model, 'd' dataset, {_COND}[doc_id % 5 + 1] condition from documents where not (lang = 'es' and doc_id % 5 = 0)), p as (select *, unnest(case condition when 'rail_fence' then [{{'l': 'perturbation_vs_baseline', 'r': 'baseline:perturb'}}] when 'compound' then [{{'l': 'compound_vs_baseline', 'r': 'baseline:compound'}}] when 'passive_context:d3' then [{{'l': 'passive_vs_baseline', 'r': 'baseline:compound'}}, {{'l': 'passive_vs_compound', 'r': 'compound'}}] else [] end) u from r) select model, dataset, condition, u.l as label, u.r as reference, exists (select 1 from r where r.model = p.model and r.condition = p.u.r) as found from p")(
     lambda spark, sf: Q.plan_comparisons(table(spark, sf, "documents").where("not (lang = 'es' and doc_id % 5 = 0)").select(F.col("lang").alias("model"), F.lit("d").alias("dataset"), F.element_at(F.array(*[F.lit(c) for c in _COND]), (F.col("doc_id") % 5 + 1).cast("int")).alias("condition")))

@@ -1,6 +1,7 @@
 """A few registered queries against DuckDB on the smallest tables, and the sources and loops that no query shows."""
 
 import json
+from hashlib import md5
 from pathlib import Path
 
 import duckdb
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicon as L
 from palimpsest.functions import perturb as P
+from palimpsest.operators import metrics, stats
 from palimpsest.plans import catalogue
 from palimpsest.sources import problems, results
 from palimpsest.streaming import recorded
@@ -82,6 +84,24 @@ def test_poll_results(spark, tmp_path):
     assert seen == ["1"]
 
 
+def drawn_interval(scores, draws, seed=42):
+    pick = lambda d, i: int(md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:8], 16) % len(scores)
+    means = sorted(sum(scores[pick(d, i)] for i in range(len(scores))) / len(scores) for d in range(draws))
+    return means[int(0.025 * (draws - 1))], means[int(0.975 * (draws - 1))]
+
+
+def test_paired_and_run_intervals(spark):
+    a, b = [1.0, 0.5, 0.0, 1.0, 0.25], [0.0, 0.5, 1.0, 0.5, 0.0]
+    side = lambda x: spark.createDataFrame([("m", i, v) for i, v in enumerate(x)], "model string, id long, score double")
+    r = stats.paired_comparison(side(a), side(b), ["model"], draws=300).first()
+    assert (r.n_common, r.better, r.same, r.worse) == (5, 3, 1, 1) and r.low < r.mean_diff < r.high
+    assert (r.low, r.high) == pytest.approx(drawn_interval([x - y for x, y in zip(a, b)], 300))
+    rows = spark.createDataFrame([(None, i, v, None, v) for i in range(4) for v in (True, i > 1)], "model string, id long, success boolean, extracted string, correct boolean")
+    r = metrics.summarize_runs(rows, ["model"], draws=300).first()
+    assert r.n_problems == 4 and (r.low, r.high) == pytest.approx(drawn_interval([0.5, 0.5, 1.0, 1.0], 300))
+    assert {"a07_summarize_runs_interval", "q03_paired_interval"} <= set(catalogue.queries())
+
+
 def test_problem_sources(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "idx long, problem string")
     assert df.where(problems.range_filter("2:4")).count() == 2 and df.where(problems.range_filter("all")).count() == 12
