@@ -102,6 +102,15 @@ def test_paired_and_run_intervals(spark):
     assert {"a07_summarize_runs_interval", "q03_paired_interval"} <= set(catalogue.queries())
 
 
+def test_queries_read_whole_tables(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([(0, ". Led by a full stop. Then more."), (1, "One. Two.")], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 0, "user", "abcd") for i in range(100)], "conv_id long, turn int, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    queries = catalogue.queries()
+    assert {r.doc_id for r in queries["r07_sentence_reversal"](spark, at).collect()} == {0, 1}
+    assert sorted((r.conv_id, r.total) for r in queries["b13_fill_context"](spark, at).collect()) == [(i, i + 1) for i in range(100)]
+
+
 def test_problem_sources(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "idx long, problem string")
     assert df.where(problems.range_filter("2:4")).count() == 2 and df.where(problems.range_filter("all")).count() == 12
