@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, drop, free, keep
+from .shared import components, drop, keep
 from .textscan import U64, chunks, doc_shingles, mix, text_buffers, word_hashes
 
 U32 = np.uint32
@@ -191,7 +191,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     wanted = edges.select(F.col("rep").alias("doc_id")).union(edges.select("hub")).distinct()
     # a merge join at every size: the id list grows with the corpus and is never broadcast
     texts = keep(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
-    free(spark)
 
     # 1. stars: each member against its hub, which is copied once per STAR_MEMBERS members
     fans = edges.groupBy("hub").agg(F.ceil(F.count("*") / STAR_MEMBERS).alias("fans"), F.sum("n_shingles").alias("total"))
@@ -204,7 +203,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     star = star.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
     links = keep(star.mapInArrow(_stars(k, percent), "u long, v long"), "minhash-links")
     label = components(links)
-    free(spark)
 
     # 2. what stands apart from its hub against the hub's whole group, in blocks
     comp = lambda c: F.coalesce(c, F.col("rep"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linechunks import let
-from .shared import BLANK, free, keep
+from .shared import BLANK, keep
 
 #: Coordinates (a power of two), k-mers in a coordinate's tuple, words in a k-mer.
 COORDINATES, PICK, K = 32, 2, 2
@@ -131,7 +131,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.unhex(fingerprint(F.col("text"))).alias("fingerprint"), F.unhex(fingerprint(F.col("edited"))).alias("edited_fingerprint"),
     )
     made = keep(made, "fingerprints")
-    free(spark)
     own = made.join(order.select("_id", "_row", "next_id", "next_row"), ["_id", "_row"])
     after = made.groupBy(F.col("_id").alias("next_id"), F.col("_row").alias("next_row")).agg(F.first("fingerprint").alias("next_fingerprint"))
     out = own.join(after, ["next_id", "next_row"]).withColumns({c: F.hex(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})

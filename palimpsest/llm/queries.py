@@ -17,8 +17,7 @@ def op1_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned where crc32(doc_id) mod 5 is not 1, scored for all documents."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 5) == 1
-    model = gru.fit(docs.select("doc_id", "text").where(~held_out))
-    out = gru.score(docs, model)
+    out = gru.learn_and_score(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
