@@ -366,3 +366,21 @@ def test_head_and_end_beside_many_words(spark, monkeypatch):
             count = [rows.count()] * 41 + [9] * 9 * r.doc_id
             assert r.n_known == r.n_tokens == len(count)
             assert r.base_score == pytest.approx(sum(math.log10((c + 0.5) / (n + 0.5 * (types + 1))) for c in count))
+
+
+def test_minhash_texts_that_share_an_id(spark):
+    """Each text of an id is compared; ids join what their texts are linked with."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    data = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, "other words " * 3), (11, ""), (12, "other words " * 3)]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 11)}
+
+
+def test_minhash_large_groups_without_a_centre(spark, monkeypatch):
+    """Texts that share half their shingles fall into common buckets; only true copies link."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    rng, common = random.Random(6), [f"c{i}" for i in range(120)]
+    data = [(i, " ".join(common + [f"o{i // 2}_{j}" for j in range(50)] + ([f"x{i}"] if i % 2 else []))) for i in range(40)]
+    rng.shuffle(data)
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == links(data, 3, 85) and len({v[1] for v in got.values()}) == 20
