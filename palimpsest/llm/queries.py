@@ -138,13 +138,21 @@ from s left join done p on p.pair_id = s.pair_id and p.side = 'p' left join done
 left join done r on r.pair_id = s.pair_id and r.side = 'r'
 """
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 with l as (select doc_id, text, string_split(text, chr(10)) ls from documents),
-h as (select *, list_transform(ls, lambda x: ('0x' || md5(x)[1:8])::bigint) hs from l),
-e as (select *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) or (hs[i] * 31 + coalesce(hs[i - 1], 0) * 17) % 3 = 0) es from h),
+h as (select *, list_transform(ls, lambda x: ('0x' || md5(x)[1:8])::bigint % {linechunks.PRIME}) hs from l),
+g as (
+  select *, list_transform(range(1, len(ls) + 1),
+    lambda i: (case when i > 2 then hs[i - 2] else 0 end * {linechunks.FACTORS[0]} + case when i > 1 then hs[i - 1] else 0 end * {linechunks.FACTORS[1]} + hs[i]) % {linechunks.PRIME}) gs from h),
+line as (select doc_id, i, hs[i] x, hs[i - 1] y, gs[i - 1] b, gs[i] m, gs[i + 1] a, len(ls) n from (select *, unnest(range(1, len(ls) + 1)) i from g)),
+run as (select *, sum(case when i = 1 or x <> y then 1 else 0 end) over (partition by doc_id order by i) r from line),
+at_ as (select *, row_number() over (partition by doc_id, r order by i) j, count(*) over (partition by doc_id, r) len_ from run),
+e as (
+  select doc_id, list(i order by i) es from at_
+  where i = n or (m < b and m < a) or (len_ >= {linechunks.RUN} and j % 2 = 0) group by doc_id),
 c as (
   select doc_id, start_, end_, array_to_string(ls[start_:end_], chr(10)) body
-  from (select doc_id, ls, es[j] end_, coalesce(es[j - 1] + 1, 1) start_ from (select *, unnest(range(1, len(es) + 1)) j from e))
+  from (select doc_id, ls, es[j] end_, coalesce(es[j - 1] + 1, 1) start_ from (select *, unnest(range(1, len(es) + 1)) j from e join l using (doc_id)))
   where end_ > start_),
 gone as (
   select doc_id, list(distinct i) js
