@@ -6,7 +6,7 @@ its shingles.  Over each document slide windows of the items' own sizes.  A wind
 can reach the similarity at all holds that share of its shingles in the benchmark; the
 others are passed over without loss, so fingerprints are made for few.  The index cuts a
 fingerprint into blocks: two within the radius agree to within radius // blocks bits in at
-least one block, so looking up each block's neighbourhood finds every item within it.
+least one block, so probing a block's table with its neighbours finds every item within it.
 Candidates are then compared by the exact weighted Jaccard similarity of their shingles
 (weights are multiplicities).
 """
@@ -14,18 +14,20 @@ Candidates are then compared by the exact weighted Jaccard similarity of their s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep, without
 from .textscan import U64, chunks, ngrams, text_buffers, word_hashes
 
 #: SimHash radius: similarity 0.8 means some 10 of 64 bits on average; 20 leaves 3.5 deviations.
 RADIUS, BLOCKS = 20, 4
-#: Items in one pass over the documents.
-ITEMS_A_PASS = 5000
+#: Words of the items in one pass over the documents: some 20,000 items.
+WORDS_A_PASS = 1 << 20
 _OUT = "doc_id long, item_id long, start int, n_words int, distance int, similarity double"
 
 
@@ -41,29 +43,39 @@ def shingles_of(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of items by block value; looking up finds all within the radius."""
+    """Fingerprints of items by block value.  Two fingerprints within the radius agree to within
+    radius // blocks bits in one block at least, so probing a block's table with every value
+    that near finds all of them, at a cost that does not depend on the number of items."""
 
     def __init__(self, prints: list[int], radius: int, blocks: int):
-        self.prints, self.radius, self.near = np.array(prints, dtype=U64), radius, radius // blocks
+        self.prints, self.radius = np.array(prints, dtype=U64), radius
         self.width = 64 // blocks
-        self.blocks = [np.unique(self._block(self.prints, b), return_inverse=True) for b in range(blocks)]
+        bits = (sum(1 << i for i in c) for n in range(radius // blocks + 1) for c in combinations(range(self.width), n))
+        self.masks = np.fromiter(bits, dtype=np.int64)
+        self.tables = []
+        for b in range(blocks):
+            own = self._block(self.prints, b)
+            self.tables.append((np.concatenate(([0], np.cumsum(np.bincount(own, minlength=1 << self.width)))), np.argsort(own, kind="stable")))
 
     def _block(self, p: np.ndarray, b: int) -> np.ndarray:
-        return (p >> U64(b * self.width)) & U64((1 << self.width) - 1)
+        return ((p >> U64(b * self.width)) & U64((1 << self.width) - 1)).astype(np.int64)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) places of all pairs that differ in at most radius bits: items in the
-        neighbourhood of any block value, then the whole fingerprints."""
-        if not len(prints) or not len(self.prints):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        maybe = np.zeros((len(prints), len(self.prints)), dtype=bool)
-        for b, (values, owner) in enumerate(self.blocks):
-            mine, back = np.unique(self._block(prints, b), return_inverse=True)
-            near = np.bitwise_count(mine[:, None] ^ values[None, :]) <= self.near
-            maybe |= near[back][:, owner]
-        q, i = np.nonzero(maybe)
-        good = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
-        return q[good], i[good]
+        """(query, item) places of all pairs that differ in at most radius bits, sorted."""
+        found, n = [np.zeros(0, dtype=np.int64)], len(self.prints)
+        for at in range(0, len(prints) if n else 0, 64):
+            some = prints[at : at + 64]
+            for b, (start, items) in enumerate(self.tables):
+                values = (self._block(some, b)[:, None] ^ self.masks).ravel()
+                lo, size = start[values], start[values + 1] - start[values]
+                hit = np.flatnonzero(size)
+                lo, size, q = lo[hit], size[hit], at + hit // len(self.masks)
+                place = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(hit) else lo
+                q, i = np.repeat(q, size), items[place]
+                near = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
+                found.append(q[near] * n + i[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, n), pairs % max(1, n)
 
 
 def window_prints(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -162,27 +174,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity:
     order of size and place); distance is that of the fingerprints.
 
     Windows take the sizes of the items.  A shingle is k words, the whole item where it is
-    shorter.  The benchmark is the stated query set: it is read in passes of ITEMS_A_PASS
-    items, each pass over all documents, so what travels to the tasks is bounded whatever
-    its size.  Null or blank items match nothing; nor do null or blank texts.  Repeated
+    shorter.  The benchmark is the stated query set: it is read in passes of some
+    WORDS_A_PASS words of items, each over all documents, so what the driver holds and the
+    tasks are sent is bounded whatever its size; with several passes each writes its finds
+    to the shared folder.  Null or blank items match nothing; nor do null or blank texts.  Repeated
     items or rows are each reported.  Null ids stay null.  Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text")
-    out, items = None, []
-
-    def scan(some):
-        found = docs.mapInArrow(_scan(some, k, similarity, radius, blocks), _OUT)
-        return found if out is None else out.union(found)
-
+    scan = lambda some: docs.mapInArrow(_scan(some, k, similarity, radius, blocks), _OUT)
+    done, items, words = [], [], 0
     for row in rows.toLocalIterator():
+        if words > WORDS_A_PASS:
+            done.append(keep(scan(items), "contaminated"))
+            items, words = [], 0
         items.append((row["item_id"], row["text"]))
-        if len(items) == ITEMS_A_PASS:
-            out, items = scan(items), []
-    return scan(items) if items or out is None else out
+        words += row["text"].count(" ") + 1
+    out = scan(items)
+    for found in done:
+        out = out.union(found)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of docs without a contaminated window, all columns kept."""
-    lost = contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    """The rows of docs without a contaminated window, all columns kept.  Null ids stay."""
+    return without(docs, contaminated(docs, benchmark, **params))

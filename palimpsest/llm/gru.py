@@ -507,23 +507,26 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "data"])
 
 
-def fit(encoded: DataFrame, v: Vocabulary, seed: int = 5, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> Network:
-    """A network trained on all rows of the encoded table that are marked to learn from.
+def train_round(encoded: DataFrame, start: Network, i: int, rounds: int, replicas: int) -> DataFrame:
+    """(n, data): tokens and parameters of the average of all replicas of round i, at most one row.
 
-    Every text is in one round and one replica of it, by a hash of its id and place in the
-    table; a round's replicas are averaged by their tokens, in a tree of FAN_IN.  Without
-    such rows the network gives every word its share."""
-    net = Network.start(v, seed)
-    n = max(1, round(v.total / replica_tokens))
+    Every text that is marked to learn from is in one round and one replica of it, by a hash of
+    its id and place in the table; the average is weighted by tokens and made in a tree."""
     rows = encoded.where("train").select(F.xxhash64("doc_id", "key").alias("o"), "ids")
+    part = rows.where(F.pmod("o", F.lit(rounds)) == i).repartition(replicas, "o").sortWithinPartitions("o").select("ids")
+    made = part.mapInArrow(_replica(start.flat, (i / rounds, (i + 1) / rounds)), _PARAMS)
+    while replicas > 1:
+        replicas = -(-replicas // FAN_IN)
+        made = made.repartition(replicas).mapInArrow(_average, _PARAMS)
+    return made
+
+
+def fit(encoded: DataFrame, v: Vocabulary, seed: int = 5, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> Network:
+    """A network trained on all rows of the encoded table that are marked to learn from.  Without
+    such rows it gives every word its share."""
+    net = Network.start(v, seed)
     for i in range(rounds):
-        part = rows.where(F.pmod("o", F.lit(rounds)) == i).repartition(n, "o").sortWithinPartitions("o").select("ids")
-        made = part.mapInArrow(_replica(net.flat, (i / rounds, (i + 1) / rounds)), _PARAMS)
-        left = n
-        while left > 1:
-            left = -(-left // FAN_IN)
-            made = made.repartition(left).mapInArrow(_average, _PARAMS)
-        got = made.collect()
+        got = train_round(encoded, net, i, rounds, max(1, round(v.total / replica_tokens))).collect()
         if got:
             net = Network(np.frombuffer(bytes(got[0]["data"]), dtype=np.float32).copy())
     return net

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, n_words
+from .shared import free_name, keep, n_words
 
 FAN_IN = 64
 
@@ -155,16 +155,19 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
 
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
     """docs with a ``copies`` column (int, at least 1); rows that the mix leaves out are gone.
-    Null doc_ids and repeated rows get copies as mix_sources tells them apart."""
+    Null doc_ids and repeated rows get copies as mix_sources tells them apart: rows equal in
+    doc_id, source and size are numbered by a hash of their texts.  All other columns stay,
+    whatever their names."""
+    names = []
+    for stem in ("mix_doc", "mix_source", "mix_size", "mix_nth", "mix_copies"):
+        names.append(free_name(docs.columns + names, stem))
+    doc, source, size, nth, copies = names
     plan = mix_sources(docs, **params).where("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies")
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("nth").alias(nth), F.col("copies").alias(copies)
     )
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    sized = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_no", F.row_number().over(same))
-    on = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-        & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_n"))
-        & (F.col("_no") == F.col("_nth"))
-    )
-    return sized.join(plan, on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+    own = [F.col("doc_id").cast("long"), F.col("source"), n_words(F.col("text"))]
+    number = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64("text")))
+    mine = [free_name(docs.columns + names, x) for x in ("own_size", "own_nth")]
+    sized = docs.withColumns({mine[0]: own[2], mine[1]: number})
+    on = own[0].eqNullSafe(F.col(doc)) & own[1].eqNullSafe(F.col(source)) & (F.col(mine[0]) == F.col(size)) & (F.col(mine[1]) == F.col(nth))
+    return sized.join(plan, on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], F.col(copies).alias("copies"))

@@ -172,12 +172,13 @@ def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null")
     found = keep(known.mapInArrow(_anchors(size, k), "anchor long, around long, doc_id long, row long, place int"), "anchors")
     # anchors of several documents
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = keep(found.join(shared, "anchor", "left_semi"), "seeds")
-    drop(found)
+    # (the small sides are kept, so that the joins have plain exchanges on both sides, which are split where an anchor is hot)
+    shared = keep(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "seed-shared")
+    seeds = keep(found.join(shared.hint("merge"), "anchor", "left_semi"), "seeds")
+    drop(found, shared)
     classes = keep(seeds.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep")), "seed-classes")
-    split = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("split"))
-    placed = seeds.join(classes, ["anchor", "around"]).join(split, "anchor", "left")
+    split = keep(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("split")), "seed-split")
+    placed = seeds.join(classes.hint("merge"), ["anchor", "around"]).join(split.hint("merge"), "anchor", "left")
     placed = placed.withColumn("whole", F.col("doc_id") > F.col("rep")).where("whole or split")
     # of a class, rows other than the representative repeat as a whole
     marks = keep(
@@ -187,12 +188,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
         ),
         "seed-marks",
     )
-    drop(seeds, classes)
+    drop(seeds, classes, split)
     edges = docs.join(marks.where("size(edge) > 0").select("doc_id", "row", "edge"), ["doc_id", "row"]).select("doc_id", "row", "text", "edge")
     tried = keep(edges.mapInArrow(_edge_windows(size, k), "w1 long, w2 long, doc_id long, row long, start int"), "edge-windows")
-    least = tried.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    repeats = tried.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"))
+    least = keep(tried.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "seed-least")
+    repeats = tried.join(least.hint("merge"), ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"))
     cuts = keep(marks.where("size(whole) > 0").select("doc_id", "row", "whole").join(repeats, ["doc_id", "row"], "full"), "seed-cuts")
-    drop(tried, marks)
+    drop(tried, marks, least)
     out = docs.join(cuts, ["doc_id", "row"], "left").select("doc_id", "row", "text", "whole", "starts")
     return out.mapInArrow(_cut(size, k), _OUT)

@@ -125,4 +125,6 @@ def free_name(taken: list[str], stem: str) -> str:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not among ``ids(doc_id)``; null ids stay.  All columns stay."""
     lost = free_name(docs.columns, "lost")
-    return docs.join(ids.select(F.col("doc_id").alias(lost)).distinct(), F.col("doc_id").cast("long") == F.col(lost), "left_anti")
+    # kept, so that its size is known: a short list does not make all texts travel
+    gone = keep(ids.where("doc_id is not null").select(F.col("doc_id").alias(lost)).distinct(), "lost")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
