@@ -17,18 +17,41 @@ def levenshtein(a, b) -> Column:
     return F.levenshtein(col(a), col(b))
 
 
+#: Error rates of longer texts are estimated.
+MAX_EXACT = 6000
+
+
+def _unlike(a, b):
+    """Pandas: 1 - the ratio of difflib's sequence matcher."""
+    import difflib
+
+    import pandas as pd
+
+    return pd.Series([1.0 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+
+def is_estimated(original, other) -> Column:
+    """Whether the error rate of two texts is an estimate."""
+    o, x = F.coalesce(col(original), F.lit("")), F.coalesce(col(other), F.lit(""))
+    return (F.length(o) > MAX_EXACT) | (F.length(x) > MAX_EXACT)
+
+
 def char_error_rate(original, other) -> Column:
-    """Edits over the original's length (1 at least); exact at every length."""
+    """Edits over the original's length (1 at least), exact in the JVM up to MAX_EXACT characters
+    on both sides; beyond, where edits cost the product of the lengths, what a sequence matcher
+    finds unlike (Arrow batches of the long rows' texts only).  See is_estimated."""
     o, x = col(original), col(other)
-    return F.when(o == x, 0.0).otherwise(F.levenshtein(o, x) / F.greatest(F.length(o), F.lit(1)))
+    long = is_estimated(o, x) & (o != x)
+    # short rows send empty texts to the matcher
+    guess = F.pandas_udf(_unlike, "double")(F.when(long, o).otherwise(""), F.when(long, x).otherwise(""))
+    exact = F.levenshtein(F.when(long, "").otherwise(o), F.when(long, "").otherwise(x)) / F.greatest(F.length(o), F.lit(1))
+    return F.when(o == x, 0.0).when(long, guess).otherwise(exact)
 
 
 def recovered(original, other, threshold: float = RECOVERY_THRESHOLD) -> Column:
-    """Equal, or few enough edits.  Texts whose lengths alone differ by more are not compared."""
+    """Equal, or an error rate up to the threshold."""
     o, x = col(original), col(other)
-    limit = F.floor(F.greatest(F.length(o), F.lit(1)) * threshold)
-    far = F.abs(F.length(o) - F.length(x)) > limit
-    return F.when(o == x, True).when(far, False).otherwise(char_error_rate(o, x) <= threshold)
+    return F.when(o == x, True).otherwise(char_error_rate(o, x) <= threshold)
 
 
 def residual_status(original, transformed, other, tagged, is_recovered, threshold: float = RECOVERY_THRESHOLD) -> Column:
@@ -67,3 +90,28 @@ def cosine(a, b) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     a, b = col(a), col(b)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+# Fixed value: the least cosine that counts as a recovery in meaning.
+SEMANTIC_THRESHOLD = 0.90
+
+
+def semantic_recovery(targets, windows, threshold: float = SEMANTIC_THRESHOLD):
+    """(id, best, recovered) for each row of ``targets(id, embedding, correct)``: the greatest cosine to
+    its ``windows(id, embedding)``, recovered from the threshold on or where the answer was correct.
+    One aggregate over an equi-join; a target without windows has a null best."""
+    both = targets.select("id", F.col("embedding").alias("_t")).join(windows.select("id", F.col("embedding").alias("_w")), "id")
+    best = both.groupBy("id").agg(F.max(cosine("_t", "_w")).alias("best"))
+    out = targets.select("id", "correct").join(best, "id", "left")
+    return out.select("id", "best", (F.coalesce("correct", F.lit(False)) | F.coalesce(F.col("best") >= threshold, F.lit(False))).alias("recovered"))
+
+
+def judge_recovery(rows, generate):
+    """``rows(id, correct, ...)`` with ``recovered``: correct rows count as recovered and are not judged; the
+    others' prompts go through ``generate`` (a function of a DataFrame with id and prompt that adds
+    reply), and a reply that says yes counts."""
+    from .prompt import judge_verdict
+
+    judged = generate(rows.where(~F.coalesce("correct", F.lit(False))).select("id", "prompt")).select("id", judge_verdict("reply").alias("_v"))
+    out = rows.join(judged, "id", "left")
+    return out.withColumn("recovered", F.coalesce("correct", F.lit(False)) | F.coalesce("_v", F.lit(False))).drop("_v")

@@ -57,17 +57,36 @@ def last_boxed_from_brace(t) -> Column:
     return F.when(start.isNotNull(), let(start, cut))
 
 
-_DEPTH = 5
-
-
-def _nested(depth: int) -> str:
-    """A pattern for balanced braces nested up to depth."""
-    return r"\{[^{}]*\}" if depth == 1 else r"\{(?:[^{}]|" + _nested(depth - 1) + r")*\}"
+@bound()
+def all_boxed(t) -> Column:
+    """Every box in order, at any depth of braces.  A box runs from its command to the brace that
+    closes the first one after it; one that never closes is none, and boxes inside it count; boxes
+    inside another are part of that.
 
+    One pass over commands and braces: an open brace holds the commands that wait for it, and
+    closing it gives their boxes; then those that begin inside an earlier one are left out."""
+    t = col(t)
+    tokens = F.regexp_extract_all(t, F.lit(r"(?s)(\\boxed|\\fbox|[{}]|[^\\{}]+|\\)"), F.lit(1))
+    state = "struct<at:int,wait:array<int>,open:array<array<int>>,out:array<struct<start:int,end:int>>>"
+    none, nobody = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
 
-def all_boxed(t) -> Column:
-    """Every box in order, braces nested up to five deep."""
-    return F.regexp_extract_all(col(t), F.lit(r"((?:\\boxed|\\fbox)\s*" + _nested(_DEPTH) + ")"), F.lit(1))
+    def step(s, x):
+        at = s["at"]
+        command, opens = x.isin(*[f"\\{b}" for b in BOXES]), x == "{"
+        closes = (x == "}") & (F.size(s["open"]) > 0)
+        top = F.element_at(s["open"], -1)
+        made = F.transform(F.coalesce(top, none), lambda b: F.struct(b.alias("start"), (at + 1).alias("end")))
+        wait = F.when(command, F.concat(s["wait"], F.array(at))).when(opens, none).otherwise(s["wait"])
+        stack = F.when(opens, F.concat(s["open"], F.array(s["wait"]))).when(closes, F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"])
+        out = F.when(closes, F.concat(s["out"], made)).otherwise(s["out"])
+        return F.struct((at + F.length(x)).alias("at"), wait.alias("wait"), stack.alias("open"), out.alias("out")).cast(state)
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("wait"), nobody.alias("open"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>").alias("out")).cast(state)
+    boxes = F.array_sort(F.aggregate(tokens, start, step, lambda s: s["out"]))
+    kind = "struct<last:int,out:array<struct<start:int,end:int>>>"
+    first = F.struct(F.lit(0).alias("last"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>").alias("out")).cast(kind)
+    outer = lambda s, b: F.when(b["start"] >= s["last"], F.struct(b["end"].alias("last"), F.concat(s["out"], F.array(b)).alias("out")).cast(kind)).otherwise(s)
+    return F.transform(F.aggregate(boxes, first, outer, lambda s: s["out"]), lambda b: F.substring(t, b["start"] + 1, b["end"] - b["start"]))
 
 
 @bound()

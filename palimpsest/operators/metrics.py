@@ -62,14 +62,17 @@ def output_lengths(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, ratio("c", "total").alias("accuracy"), F.coalesce("length", F.lit(0.0)).alias("length"), ratio("f", "total").alias("failure_rate"), ratio("total", "ids").alias("n_samples"))
 
 
-def decode_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Recovery and exact rates, missing tags and the histogram of residual states (a map)."""
-    counts = rows.groupBy(*keys, "residual_status").agg(F.count("*").alias("n"), count_if(F.col("recovered")).alias("r"), count_if(F.col("exact_normalized_match")).alias("e"), count_if(~F.col("has_recovered_tags")).alias("m"))
+def decode_summary(rows: DataFrame, keys: list[str], limit=None) -> DataFrame:
+    """Recovery and exact rates, missing tags, estimated error rates, cut-offs (tokens against
+    ``limit``) and the histogram of residual states (a map)."""
+    cut = count_if(G.cut_off("tokens", limit if limit is not None else F.lit(None).cast("string")))
+    guessed = count_if(F.col("char_error_rate_estimated"))
+    counts = rows.groupBy(*keys, "residual_status").agg(F.count("*").alias("n"), count_if(F.col("recovered")).alias("r"), count_if(F.col("exact_normalized_match")).alias("e"), count_if(~F.col("has_recovered_tags")).alias("m"), guessed.alias("g"), cut.alias("k"))
     out = counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.sum("r").alias("r"), F.sum("e").alias("e"), F.sum("m").alias("missing_tags"),
+        F.sum("n").alias("total"), F.sum("r").alias("r"), F.sum("e").alias("e"), F.sum("m").alias("missing_tags"), F.sum("g").alias("estimated_cer_count"), F.sum("k").alias("max_token_cutoffs"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("residual_status", "n")))).alias("residual_status_counts"),
     )
-    return out.select(*keys, "total", ratio("r", "total").alias("recovery_rate"), ratio("e", "total").alias("exact_rate"), "missing_tags", "residual_status_counts")
+    return out.select(*keys, "total", ratio("r", "total").alias("recovery_rate"), ratio("e", "total").alias("exact_rate"), "missing_tags", "estimated_cer_count", "max_token_cutoffs", "residual_status_counts")
 
 
 def passive_summary(rows: DataFrame, keys: list[str], averages: list[str]) -> DataFrame:
@@ -101,14 +104,19 @@ def with_success(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("success", F.coalesce(F.when(has, F.col("recovered")).otherwise(F.col("correct")), F.lit(False)))
 
 
-def summarize_runs(rows: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+def summarize_runs(rows: DataFrame, keys: list[str], draws: int = 10000, seed: int = 42, limit=None, reported=None) -> DataFrame:
     """Successes, rate, Wilson interval, mean over problems with its bootstrap interval (low, high),
-    samples a problem, failures and cut-offs."""
-    per = rows.groupBy(*keys, "id").agg(F.count("*").alias("n"), count_if(F.col("success")).alias("s"), count_if(G.failed_missing("extracted", "correct")).alias("f"))
+    samples a problem, failures, and cut-offs: outputs of at least 98 % of ``limit`` tokens, or where
+    there is none the number that ``reported`` (a column, one value a run) holds."""
+    cut = G.cut_off("tokens", limit) if limit is not None else F.lit(False)
+    told = (reported if reported is not None else F.lit(0)).cast("bigint")
+    per = rows.groupBy(*keys, "id").agg(count_if(cut).alias("k"), F.max(told).alias("t"), F.count("*").alias("n"), count_if(F.col("success")).alias("s"), count_if(G.failed_missing("extracted", "correct")).alias("f"))
     out = per.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum("s").alias("successes"), F.count("*").alias("n_problems"), F.avg(F.col("s") / F.col("n")).alias("problem_mean"),
         F.min("n").alias("min_samples"), F.max("n").alias("max_samples"), F.avg("n").alias("mean_samples"), F.sum("f").alias("failures"),
+        F.sum("k").alias("cutoffs"), F.max("t").alias("_told"),
     )
+    out = out.withColumn("cutoffs", F.when(F.col("cutoffs") > 0, F.col("cutoffs")).otherwise(F.coalesce("_told", "cutoffs"))).drop("_told")
     low, high = wilson_interval("successes", "total")
     out = out.withColumn("rate", ratio("successes", "total")).withColumn("wilson_low", low).withColumn("wilson_high", high)
     boot = bootstrap_mean(problem_scores(rows, keys), keys, draws, seed).select(*[F.col(k).alias(f"_{k}") for k in keys], "low", "high")

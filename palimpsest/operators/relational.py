@@ -36,16 +36,13 @@ def pick_boundary(samples: DataFrame, options: DataFrame) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, tie: list[str]) -> DataFrame:
-    """The row of each key with the greatest ``order``, the first by ``tie`` of equals.  An
-    aggregate, so hot keys are reduced before the shuffle."""
+    """The row of each key with the greatest ``order`` (null is least), the first by ``tie`` of
+    equals.  Two aggregates, so hot keys are reduced before any shuffle; no key is lost."""
     rest = [c for c in df.columns if c not in keys]
-    most = F.max(order).alias("_most")
-    if not tie:
-        picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
-        return picked.select(*keys, "_r.*")
-    top = df.join(df.groupBy(*keys).agg(most), keys).where(F.col(order) == F.col("_most"))
-    picked = top.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*tie)).alias("_r"))
-    return picked.select(*keys, "_r.*")
+    row = F.struct(*rest)
+    picked = F.min_by(row, F.struct(*tie)) if tie else F.first(row)
+    equal = df.groupBy(*keys, F.col(order).alias("_o")).agg(picked.alias("_r"))
+    return equal.groupBy(*keys).agg(F.max_by("_r", F.struct(F.col("_o").isNotNull(), "_o")).alias("_r")).select(*keys, "_r.*")
 
 
 def number_samples(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -73,6 +70,12 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def ordered_summaries(df: DataFrame) -> DataFrame:
+    """Run summaries by model, dataset and condition, comparisons by their label first."""
+    first = ["comparison"] if "comparison" in df.columns else []
+    return df.orderBy(*first, "model", "dataset", "condition")
+
+
 def pool(*parts: DataFrame) -> DataFrame:
     """Union by name, missing columns null."""
     out = parts[0]

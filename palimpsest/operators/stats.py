@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import choice, col, let
+from ..functions.core import col, let
 
 
 def wilson_interval(successes, n, z: float = 1.96) -> tuple[Column, Column]:
@@ -17,10 +17,27 @@ def wilson_interval(successes, n, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(ok, F.greatest(F.lit(0.0), mid - half)), F.when(ok, F.least(F.lit(1.0), mid + half))
 
 
-def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42, score: str = "score", order: str = "id") -> DataFrame:
+#: A pick is made from one md5 a draw by two squarings modulo this prime.
+PRIME, STEP = 2147483647, 1640531527
+
+
+def draw_start(seed: int, d) -> Column:
+    """The number that the picks of draw d start from: 32 bits of the md5 of "seed|d"."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), d.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % PRIME
+
+
+def draw_pick(start, i, n) -> Column:
+    """Pick i of a draw, a place in 0 .. n-1; integer arithmetic that any engine can repeat."""
+    u = (start + i.cast("bigint") * STEP) % PRIME
+    v = (u * u + 1) % PRIME
+    return (((v * v + u) % PRIME) % n).cast("int")
+
+
+def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 10000, seed: int = 42, score: str = "score", order: str = "id") -> DataFrame:
     """Q02: (keys, n, mean, low, high): percentile bootstrap of the mean over a key's rows.
 
-    Pick i of draw d is row choice(n, seed, d, i) in order of ``order``; the interval takes the sorted
+    Pick i of draw d is row draw_pick(start of d, i, n) in order of ``order``; the interval takes the sorted
     means at int(0.025 (draws - 1)) and int(0.975 (draws - 1)).  One row: itself.  The scores of one
     key (the problems of a run) are an array of that row, so draws * n numbers never become rows.
     """
@@ -28,23 +45,27 @@ def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 1000, seed:
     arrays = arrays.select(*keys, F.transform("_a", lambda x: x["s"]).alias("_s"))
     n = F.size("_s")
 
-    def draw(s, d):
-        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(s, choice(F.size(s), seed, d, i)).cast("double")) / F.size(s)
+    def draw(s, start):
+        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(s, draw_pick(start, i, F.size(s))).cast("double")) / F.size(s)
 
-    means = F.array_sort(let(F.col("_s"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: draw(s, d))))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: draw_start(seed, d))
+    means = F.array_sort(let(F.col("_s"), lambda s: F.transform(starts, lambda d: draw(s, d))))
     out = arrays.withColumn("_m", F.when(n > 1, means))
     at = lambda share: F.coalesce(F.get("_m", int(share * (draws - 1))), F.get("_s", 0))
     mean = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / n
     return out.select(*keys, n.alias("n"), mean.alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def paired_comparison(a: DataFrame, b: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+def paired_comparison(a: DataFrame, b: DataFrame, keys: list[str], draws: int = 10000, seed: int = 42) -> DataFrame:
     """On common ids of ``(keys, id, score)``: mean difference a - b, its bootstrap interval
-    (low, high) over the ids, and how many ids are better, the same or worse."""
+    (low, high) over the ids, and how many ids are better, the same or worse; a_mean and b_mean
+    are the means over all ids of either side.  Sides without a common id have null differences."""
     both = a.select(*keys, "id", F.col("score").alias("_a")).join(b.select(*keys, "id", F.col("score").alias("_b")), [*keys, "id"])
     d = F.col("_a") - F.col("_b")
     out = both.groupBy(*keys).agg(F.count("*").alias("n_common"), F.avg(d).alias("mean_diff"), F.count_if(d > 0).alias("better"), F.count_if(d == 0).alias("same"), F.count_if(d < 0).alias("worse"))
-    return out.join(bootstrap_mean(both.withColumn("score", d), keys, draws, seed).select(*keys, "low", "high"), keys)
+    out = out.join(bootstrap_mean(both.withColumn("score", d), keys, draws, seed).select(*keys, "low", "high"), keys)
+    means = a.groupBy(*keys).agg(F.avg("score").alias("a_mean")).join(b.groupBy(*keys).agg(F.avg("score").alias("b_mean")), keys)
+    return means.join(out, keys, "left").fillna(0, ["n_common", "better", "same", "worse"])
 
 
 #: Q04: (label, what is compared, its reference condition).

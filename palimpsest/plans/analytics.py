@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 G_SQL = """g as (
   select d.doc_id, d.source technique, d.lang model, d.doc_id % 97 id, l.quality = 1 correct, l.toxic = 1 refusal, d.n_chars tokens,
-    case when d.n_chars % 7 = 0 then null when d.n_chars % 11 = 0 then 'ERROR: x' else 'v' end extracted, substring(d.text, 1, 200) output
+    case when d.n_chars % 7 = 0 then null when d.n_chars % 11 = 0 then 'ERROR: x' else 'v' end extracted, d.text output
   from documents d join labels l using (doc_id))"""
 
 
@@ -38,7 +38,7 @@ def graded(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_chars")
     extracted = F.when(n % 7 == 0, F.lit(None).cast("string")).when(n % 11 == 0, "ERROR: x").otherwise("v")
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return d.select("doc_id", F.col("source").alias("technique"), F.col("lang").alias("model"), (F.col("doc_id") % 97).alias("id"), (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 1).alias("refusal"), n.alias("tokens"), extracted.alias("extracted"), F.substring("text", 1, 200).alias("output"))
+    return d.select("doc_id", F.col("source").alias("technique"), F.col("lang").alias("model"), (F.col("doc_id") % 97).alias("id"), (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 1).alias("refusal"), n.alias("tokens"), extracted.alias("extracted"), F.col("text").alias("output"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -49,6 +49,19 @@ KEYS = ["technique", "model"]
 WG = "with " + G_SQL + " "
 _R = lambda a, b: f"round(coalesce({a} / nullif({b}, 0), 0), 6)"
 
+
+
+def _boot_sql(rows: str, keys: str, draws: int = 10000, seed: int = 42) -> str:
+    """CTE ``boot(keys, n, mean, low, high)`` from ``rows(keys, id, score)``, by the rule of Q.draw_pick."""
+    p, lo, hi = Q.PRIME, int(0.025 * (draws - 1)) + 1, int(0.975 * (draws - 1)) + 1
+    return f"""ba as (select {keys}, list(score order by id) s from {rows} group by all),
+bd as (select d, ('0x' || substring(md5('{seed}|' || d), 1, 8))::bigint % {p} b from (select unnest(range(0, {draws})) d)),
+bu as (select {keys}, s, d, list_transform(range(0, len(s)), lambda i: (b + i * {Q.STEP}) % {p}) us from ba, bd),
+bm as (select {keys}, s, d, list_sum(list_transform(us, lambda u: s[((((u * u + 1) % {p}) * ((u * u + 1) % {p}) + u) % {p}) % len(s) + 1])) / len(s) v from bu),
+bt as (select {keys}, any_value(s) s, list_sort(list(v)) v from bm group by all),
+boot as (select {keys}, len(s)::int n, list_sum(s) / len(s) mean, case when len(s) > 1 then v[{lo}] else s[1] end low, case when len(s) > 1 then v[{hi}] else s[1] end high from bt)"""
+
+
 query("a01_run_summary", WG + f"select technique, model, count(*) total, count(*) filter (correct) n_correct, count(*) filter (extracted like 'ERROR%') failures, count(*) filter (tokens >= 0.98 * 3000) cutoffs, {_R('count(*) filter (correct)', 'count(*)')} accuracy from g group by all")(
     lambda spark, sf: rounded(A.run_summary(graded(spark, sf), KEYS, F.lit("3000")), "accuracy")
 )
@@ -67,21 +80,21 @@ _STATUS = ["recovered", "partial_or_other", "missing_recovered_tags"]
 
 def _decoded(spark, sf):
     s = F.element_at(F.array(*[F.lit(x) for x in _STATUS]), (F.col("doc_id") % 3 + 1).cast("int"))
-    return graded(spark, sf).withColumn("residual_status", s).withColumns({"recovered": F.col("residual_status") == "recovered", "exact_normalized_match": F.col("doc_id") % 6 == 0, "has_recovered_tags": F.col("residual_status") != "missing_recovered_tags"})
+    return graded(spark, sf).withColumn("residual_status", s).withColumns({"recovered": F.col("residual_status") == "recovered", "exact_normalized_match": F.col("doc_id") % 6 == 0, "has_recovered_tags": F.col("residual_status") != "missing_recovered_tags", "char_error_rate_estimated": F.col("tokens") > 6000})
 
 
-query("a05_decode_summary", WG + f", s as (select *, ['{_STATUS[0]}', '{_STATUS[1]}', '{_STATUS[2]}'][doc_id % 3 + 1] s from g), c as (select model, s, count(*) n from s group by all) select model, sum(n)::bigint total, {_R('sum(n) filter (s = ' + chr(39) + 'recovered' + chr(39) + ')', 'sum(n)')} recovery_rate, (select {_R('count(*) filter (doc_id % 6 = 0)', 'count(*)')} from s where s.model = c.model) exact_rate, (coalesce(sum(n) filter (s = 'missing_recovered_tags'), 0))::bigint missing_tags, string_agg(s || '=' || n, ',' order by s) counts from c group by model")(
-    lambda spark, sf: rounded(A.decode_summary(_decoded(spark, sf), ["model"]), "recovery_rate", "exact_rate").withColumn("counts", F.array_join(F.transform(F.map_entries("residual_status_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")).drop("residual_status_counts")
+query("a05_decode_summary", WG + f", s as (select *, ['{_STATUS[0]}', '{_STATUS[1]}', '{_STATUS[2]}'][doc_id % 3 + 1] s from g), c as (select model, s, count(*) n from s group by all) select model, sum(n)::bigint total, {_R('sum(n) filter (s = ' + chr(39) + 'recovered' + chr(39) + ')', 'sum(n)')} recovery_rate, (select {_R('count(*) filter (doc_id % 6 = 0)', 'count(*)')} from s where s.model = c.model) exact_rate, (coalesce(sum(n) filter (s = 'missing_recovered_tags'), 0))::bigint missing_tags, (select count(*) filter (tokens > 6000) from s where s.model = c.model) estimated_cer_count, (select count(*) filter (tokens >= 2940) from s where s.model = c.model) max_token_cutoffs, string_agg(s || '=' || n, ',' order by s) counts from c group by model")(
+    lambda spark, sf: rounded(A.decode_summary(_decoded(spark, sf), ["model"], F.lit("3000")), "recovery_rate", "exact_rate").withColumn("counts", F.array_join(F.transform(F.map_entries("residual_status_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")).drop("residual_status_counts")
 )
 query("a06_passive_summary", WG + f"select model, {_R('count(*) filter (correct)', 'count(*)')} accuracy, round(avg(tokens), 4) avg_tokens from g group by model")(
     lambda spark, sf: rounded(rounded(A.passive_summary(graded(spark, sf), ["model"], ["tokens"]), "accuracy"), "avg_tokens", digits=4)
 )
-_summary = lambda spark, sf: rounded(A.summarize_runs(graded(spark, sf).withColumn("success", F.col("correct")), KEYS), "problem_mean", "mean_samples", "rate", "wilson_low", "wilson_high", "low", "high")
+_summary = lambda spark, sf: rounded(A.summarize_runs(graded(spark, sf).withColumn("success", F.col("correct")), KEYS, limit=F.lit("3000")), "problem_mean", "mean_samples", "rate", "wilson_low", "wilson_high", "low", "high")
 _WIL = lambda s, n, sign: f"round(case when {n} >= 1 then {'greatest(0' if sign == '-' else 'least(1'}, (({s} / {n} + 1.9208 / {n}) {sign} 1.96 * sqrt(({s} / {n}) * (1 - {s} / {n}) / {n} + 3.8416 / (4.0 * {n} * {n}))) / (1 + 3.8416 / {n})) end, 6)"
-query("a07_summarize_runs", WG + f", p as (select technique, model, id, count(*) n, count(*) filter (correct) s, count(*) filter (extracted is null and not correct) f from g group by all), r as (select technique, model, sum(n)::bigint total, sum(s)::bigint successes, count(*) n_problems, round(avg(s / n), 6) problem_mean, min(n) min_samples, max(n) max_samples, round(avg(n), 6) mean_samples, sum(f)::bigint failures from p group by all) select *, round(successes / total, 6) rate, {_WIL('successes', 'total', '-')} wilson_low, {_WIL('successes', 'total', '+')} wilson_high from r")(
-    lambda spark, sf: _summary(spark, sf).drop("low", "high")
+_A07 = WG + f", p as (select technique, model, id, count(*) n, count(*) filter (correct) s, count(*) filter (extracted is null and not correct) f from g group by all), r as (select technique, model, sum(n)::bigint total, sum(s)::bigint successes, count(*) n_problems, round(avg(s / n), 6) problem_mean, min(n) min_samples, max(n) max_samples, round(avg(n), 6) mean_samples, sum(f)::bigint failures from p group by all) select *, round(successes / total, 6) rate, {_WIL('successes', 'total', '-')} wilson_low, {_WIL('successes', 'total', '+')} wilson_high from r"
+query("a07_summarize_runs", f"with {_boot_sql('z', 'technique, model').replace('ba as', G_SQL + ', z as (select technique, model, id, avg(correct::int) score from g group by all), ba as', 1)}, k as (select technique, model, count(*) filter (tokens >= 0.98 * 3000) cutoffs from g group by all) select x.*, k.cutoffs, round(boot.low, 6) low, round(boot.high, 6) high from ({_A07}) x join k using (technique, model) join boot using (technique, model)")(
+    lambda spark, sf: _summary(spark, sf)
 )
-query("a07_summarize_runs_interval")(lambda spark, sf: _summary(spark, sf))
 query("a08_conditions", "select page_id, case page_id % 4 when 0 then 'baseline:compound' when 1 then 'baseline:unknown' when 2 then 'decode_recovery:rail_fence' else 'passive_context:d3' end condition from pages")(
     lambda spark, sf: table(spark, sf, "pages").select(
         "page_id",
@@ -128,7 +141,9 @@ query("a14_global_conditional", _REC + "select model, round(100 * coalesce(sum(n
 query("a15_by_position", WG + f", b as (select model, 1 as position, correct, tokens >= 2940 cut from g where technique = 'src0' union all select model, id % 4 + 1, correct, tokens >= 2940 from g where technique <> 'src0') select model, position::int as position, count(*) total, {_R('count(*) filter (correct)', 'count(*)')} accuracy, {_R('count(*) filter (cut)', 'count(*)')} cutoff_rate from b group by all")(
     lambda spark, sf: rounded(A.accuracy_by_position(graded(spark, sf).withColumn("cut", F.col("tokens") >= 2940).where("technique = 'src0'"), graded(spark, sf).withColumn("cut", F.col("tokens") >= 2940).withColumn("num_distractors", F.col("id") % 4).where("technique <> 'src0'")), "accuracy", "cutoff_rate")
 )
-_SEG = "with " + OUT_SQL + r""", n as (select doc_id, output, length(output) l, unnest(range(1, length(output) + 1)) i from o), s as (select doc_id, l, regexp_extract(substring(output, i), '^Problem\s*(\d+)', 1)::bigint num, i - 1 st from n where regexp_matches(substring(output, i), '^Problem\s*\d')),
+_SEG = "with " + OUT_SQL + r""", n as (select doc_id, length(output) l, string_split(regexp_replace(output, '(Problem\s*\d)', chr(1) || '\1', 'g'), chr(1)) ps from o),
+u as (select doc_id, l, unnest(ps) p, generate_subscripts(ps, 1) k from n), v as (select doc_id, l, p, sum(length(p)) over (partition by doc_id order by k) - length(p) st from u),
+s as (select doc_id, l, regexp_extract(p, '^Problem\s*(\d+)', 1)::bigint num, st from v where regexp_matches(p, '^Problem\s*\d')),
 f as (select doc_id, l, num, min(st) st from s group by all), e as (select *, coalesce(lead(st) over (partition by doc_id order by st), l) en from f) """
 query("x10_segments", _SEG + "select doc_id, num, st::int as start, en::int as \"end\", round((en - st) / l, 6) as share from e")(lambda spark, sf: rounded(A.section_shares(outputs(spark, sf), ["doc_id"]), "share"))
 query("a16_effort_ratio", _SEG + ", m as (select doc_id % 5 k, num, avg((en - st) / l) m from e group by all) select k, num, round(m, 6) mean_share, round(m / sum(m) over (partition by k), 6) effort from m")(
@@ -161,18 +176,18 @@ query("q01_wilson", f"select doc_id, {_WIL('(doc_id % 11)', '(doc_id % 11 + n_ch
     lambda spark, sf: rounded(table(spark, sf, "documents").select("doc_id", *[x.alias(n) for x, n in zip(Q.wilson_interval(F.col("doc_id") % 11, F.col("doc_id") % 11 + F.col("n_chars") % 5), ("low", "high"))]), "low", "high")
 )
 _SCORES = WG + ", s as (select model, id, avg(correct::int) score from g group by all) "
-_BOOT = _SCORES + """, a as (select model, list(score order by id) s from s group by model),
-m as (select model, s, d, list_sum(list_transform(range(0, len(s)), lambda i: s[('0x' || substring(md5('42|' || d || '|' || i), 1, 8))::bigint % len(s) + 1])) / len(s) v from a, (select unnest(range(0, 200)) d)),
-t as (select model, any_value(s) s, list_sort(list(v)) v from m group by model)
-select model, len(s)::int n, round(list_sum(s) / len(s), 6) mean, round(case when len(s) > 1 then v[5] else s[1] end, 6) low, round(case when len(s) > 1 then v[195] else s[1] end, 6) high from t"""
-query("q02_bootstrap", _BOOT)(lambda spark, sf: rounded(Q.bootstrap_mean(A.problem_scores(graded(spark, sf).withColumn("success", F.col("correct")), ["model"]), ["model"], draws=200), "mean", "low", "high"))
+_BOOT = _SCORES + ", " + _boot_sql("s", "model") + " select model, n, round(mean, 6) mean, round(low, 6) low, round(high, 6) high from boot"
+query("q02_bootstrap", _BOOT)(lambda spark, sf: rounded(Q.bootstrap_mean(A.problem_scores(graded(spark, sf).withColumn("success", F.col("correct")), ["model"]), ["model"]), "mean", "low", "high"))
 _TS = WG + ", s as (select technique, model, id, avg(correct::int) score from g group by all) "
 _paired = lambda spark, sf: rounded(Q.paired_comparison(_score(spark, sf).where("technique = 'src1'"), _score(spark, sf).where("technique = 'src0'"), ["model"]), "mean_diff", "low", "high")
 _score = lambda spark, sf: A.problem_scores(graded(spark, sf).withColumn("success", F.col("correct")), KEYS)
-query("q03_paired", _TS + "select a.model, count(*) n_common, round(avg(a.score - b.score), 6) mean_diff, count(*) filter (a.score > b.score) better, count(*) filter (a.score = b.score) same, count(*) filter (a.score < b.score) worse from s a join s b on a.model = b.model and a.id = b.id where a.technique = 'src1' and b.technique = 'src0' group by a.model")(
-    lambda spark, sf: _paired(spark, sf).drop("low", "high")
+query("q03_paired", _TS + f""", c as (select a.model, a.id, a.score - b.score score from s a join s b on a.model = b.model and a.id = b.id where a.technique = 'src1' and b.technique = 'src0'), {_boot_sql('c', 'model')},
+m as (select model, avg(score) filter (technique = 'src1') x, avg(score) filter (technique = 'src0') y from s group by model having x is not null and y is not null),
+d as (select model, count(*) n, avg(score) v, count(*) filter (score > 0) u, count(*) filter (score = 0) e, count(*) filter (score < 0) w from c group by model)
+select m.model, round(x, 6) a_mean, round(y, 6) b_mean, coalesce(d.n, 0) n_common, round(v, 6) mean_diff, coalesce(u, 0) better, coalesce(e, 0) same, coalesce(w, 0) worse, round(low, 6) low, round(high, 6) high
+from m left join d using (model) left join boot using (model)""")(
+    lambda spark, sf: rounded(_paired(spark, sf), "a_mean", "b_mean")
 )
-query("q03_paired_interval")(lambda spark, sf: _paired(spark, sf))
 _COND = ["baseline:perturb", "baseline:compound", "compound", "passive_context:d3", "rail_fence"]
 query("q04_plan", f"with r as (select distinct lang model, 'd' dataset, {_COND}[doc_id % 5 + 1] condition from documents where not (lang = 'es' and doc_id % 5 = 0)), p as (select *, unnest(case condition when 'rail_fence' then [{{'l': 'perturbation_vs_baseline', 'r': 'baseline:perturb'}}] when 'compound' then [{{'l': 'compound_vs_baseline', 'r': 'baseline:compound'}}] when 'passive_context:d3' then [{{'l': 'passive_vs_baseline', 'r': 'baseline:compound'}}, {{'l': 'passive_vs_compound', 'r': 'compound'}}] else [] end) u from r) select model, dataset, condition, u.l as label, u.r as reference, exists (select 1 from r where r.model = p.model and r.condition = p.u.r) as found from p")(
     lambda spark, sf: Q.plan_comparisons(table(spark, sf, "documents").where("not (lang = 'es' and doc_id % 5 = 0)").select(F.col("lang").alias("model"), F.lit("d").alias("dataset"), F.element_at(F.array(*[F.lit(c) for c in _COND]), (F.col("doc_id") % 5 + 1).cast("int")).alias("condition")))

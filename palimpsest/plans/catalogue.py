@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import analytics, texts
+from . import analytics, files, texts
 
 
 def queries() -> dict:
-    return {**texts.QUERIES, **analytics.QUERIES}
+    return {**texts.QUERIES, **analytics.QUERIES, **files.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**texts.SQL, **analytics.SQL}
+    return {**texts.SQL, **analytics.SQL, **files.SQL}

@@ -49,7 +49,7 @@ CH = lambda t: f"list_transform(range(1, length({t}) + 1), lambda i: substring({
 WORDS = lambda t: rf"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 OUT_SQL = r"""o as (
   select doc_id, n_chars, text, lang,
-    'Problem 1: ' || substring(text, 1, 40) || ' Problem 2: \boxed{' || n_chars || '} so **' || doc_id || '.** ' ||
+    'Problem 1: ' || text || ' Problem 2: \boxed{' || n_chars || '} so **' || doc_id || '.** ' ||
       case when doc_id % 3 = 0 then 'Problem 1 again \boxed{a{b}' || doc_id % 7 || '}' else 'The answer is ' || doc_id % 50 || '.' end output,
     case doc_id % 4 when 0 then n_chars::varchar when 1 then doc_id::varchar when 2 then (doc_id % 50)::varchar else '-1' end truth
   from documents)"""
@@ -66,7 +66,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     tail = F.when(d % 3 == 0, F.concat(F.lit("Problem 1 again \\boxed{a{b}"), (d % 7).cast("string"), F.lit("}"))).otherwise(F.concat(F.lit("The answer is "), (d % 50).cast("string"), F.lit(".")))
-    out = F.concat(F.lit("Problem 1: "), F.substring("text", 1, 40), F.lit(" Problem 2: \\boxed{"), F.col("n_chars").cast("string"), F.lit("} so **"), d.cast("string"), F.lit(".** "), tail)
+    out = F.concat(F.lit("Problem 1: "), F.col("text"), F.lit(" Problem 2: \\boxed{"), F.col("n_chars").cast("string"), F.lit("} so **"), d.cast("string"), F.lit(".** "), tail)
     truth = F.when(d % 4 == 0, F.col("n_chars")).when(d % 4 == 1, d).when(d % 4 == 2, d % 50).otherwise(-1).cast("string")
     return table(spark, sf, "documents").select("doc_id", "n_chars", "text", "lang", out.alias("output"), truth.alias("truth"))
 
@@ -144,8 +144,8 @@ query("n09_strip_thinking_tags", r"select page_id, trim(regexp_replace('<think>'
     lambda spark, sf: table(spark, sf, "pages").select("page_id", N.strip_thinking_tags(F.concat(F.lit("<think>"), "url", F.lit("</Think> <reasoning a=1>"), F.col("page_id").cast("string"), F.lit("</reasoning>"))).alias("x"))
 )
 query("n10_safe_name", "select page_id, translate(url, '/ ', '__') x from pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", N.safe_name("url").alias("x")))
-query("n11_labels", "select doc_id, case when n_chars >= 1000 then (n_chars // 1000)::varchar || 'K' else n_chars::varchar end size_label, case when n_chars >= 1000 then round(n_chars / 1000.0, 1)::decimal(18,1)::varchar || 'k' else n_chars::varchar end length_label from documents where n_chars % 100 <> 50")(
-    lambda spark, sf: table(spark, sf, "documents").where("n_chars % 100 <> 50").select("doc_id", N.size_label("n_chars").alias("size_label"), N.length_label("n_chars").alias("length_label"))
+query("n11_labels", "select doc_id, case when n_chars >= 1000 then (n_chars // 1000)::varchar || 'K' else n_chars::varchar end size_label, case when n_chars >= 1000 then round(n_chars / 1000.0, 1)::decimal(18,1)::varchar || 'k' else n_chars::varchar end length_label  from documents")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", N.size_label("n_chars").alias("size_label"), N.length_label("n_chars").alias("length_label"))
 )
 
 # --- T04-T18, R04-R20 --------------------------------------------------------------------------
@@ -275,8 +275,8 @@ query("x02_all_boxed", _WO + r"select doc_id, array_to_string(regexp_extract_all
 query("x03_remove_boxed", _WO + r"select doc_id, case when doc_id % 3 = 0 then 'a{b}' || doc_id % 7 else n_chars::varchar end x from o")(_outs(lambda: X.remove_boxed(X.last_boxed("output")).alias("x")))
 query("x04_simple_answer", _WO + r"select doc_id, trim(regexp_extract(case when doc_id % 3 = 0 then regexp_extract_all(output, '\\boxed\s*\{([^}]+)\}', 1)[-1] else n_chars::varchar end, '(?s).*')) x from o")(_outs(lambda: X.simple_answer("output").alias("x")))
 query("x05_bold", _WO + r"select doc_id, list_filter(list_transform(regexp_extract_all(output, '\*\*([^*]{1,40})\*\*', 1), lambda x: rtrim(trim(x), '.')), lambda x: regexp_matches(x, '[0-9]') and not regexp_matches(x, '[A-Za-z]{4,}'))[-1] x from o")(_outs(lambda: X.bold_candidate("output").alias("x")))
-query("x06_recovered_text", "select doc_id, case when doc_id % 2 = 0 then trim(substring(text, 1, 30), ' ' || chr(10)) else trim(text, ' ' || chr(10)) end recovered, doc_id % 2 = 0 tagged from documents")(
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.recovered_text(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <recovered_problem>"), F.substring("text", 1, 30), F.lit("</RECOVERED_PROBLEM> y"))).otherwise(F.col("text"))).alias("r")).select("doc_id", F.col("r.text").alias("recovered"), F.col("r.tagged").alias("tagged"))
+query("x06_recovered_text", "select doc_id, trim(text, ' ' || chr(10)) recovered, doc_id % 2 = 0 tagged from documents")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", X.recovered_text(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x <recovered_problem>"), F.col("text"), F.lit("</RECOVERED_PROBLEM> y"))).otherwise(F.col("text"))).alias("r")).select("doc_id", F.col("r.text").alias("recovered"), F.col("r.tagged").alias("tagged"))
 )
 query("x07_python_code", "select doc_id, case doc_id % 3 when 0 then 'print(' || doc_id || ')' when 1 then 'open' || doc_id end code, case when doc_id % 3 = 0 then 'print(' || doc_id || ')' end closed from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("t ```python\nprint("), "doc_id", F.lit(")\n``` z"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```python\nopen"), "doc_id")).otherwise("none").alias("t")).select("doc_id", X.python_code("t").alias("code"), X.python_code("t", unclosed=False).alias("closed"))
@@ -291,7 +291,7 @@ query("x14_transformed_input", _prob_sql("trim(problem)"))(_probs(lambda: X.tran
 
 # --- G01-G11, F1-F3 ----------------------------------------------------------------------------
 
-_CANDS = _WO + r""", c as (select doc_id, truth, case when doc_id % 3 = 0 then ['a{b}' || doc_id % 7] else [n_chars::varchar] end || [doc_id::varchar] ||
+_CANDS = _WO + r""", c as (select doc_id, truth, case when doc_id % 3 = 0 then ['a{b}' || doc_id % 7] else [n_chars::varchar] end || list_filter(list_transform(regexp_extract_all(output, '\*\*([^*]{1,40})\*\*', 1), lambda x: rtrim(trim(x), '.')), lambda x: regexp_matches(x, '[0-9]') and not regexp_matches(x, '[A-Za-z]{4,}'))[-1:] ||
   [regexp_extract_all(output, '(-?\d+(?:\.\d+)?)')[-1]] v from o)"""
 query("g01_extract_and_grade", _CANDS + " select doc_id, list_contains(v, truth) correct, coalesce(list_filter(v, lambda x: x = truth)[1], v[1]) extracted from c")(
     lambda spark, sf: outputs(spark, sf).select("doc_id", G.extract_and_grade("output", "truth").alias("g")).select("doc_id", F.col("g.correct").alias("correct"), F.col("g.extracted").alias("extracted"))
@@ -323,13 +323,23 @@ query("f_failures", "select doc_id, e like 'ERROR%' f1, contains(e, 'ERROR') f2,
 
 # --- M01-M06 (edit distance on ASCII words: the oracle's counts bytes) --------------------------
 
-_M = lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 120), "[^ -~]", "").alias("a"), F.regexp_replace(F.substring("text", 3, 118), "[^ -~]", "").alias("b"))
-_M_SQL = "with m as (select doc_id, regexp_replace(substring(text, 1, 120), '[^ -~]', '', 'g') a, regexp_replace(substring(text, 3, 118), '[^ -~]', '', 'g') b from documents) "
-query("m01_levenshtein", _M_SQL + "select doc_id, levenshtein(a, b)::int x from m")(lambda spark, sf: _M(spark, sf).select("doc_id", D.levenshtein("a", "b").alias("x")))
-query("m02_char_error_rate", _M_SQL + "select doc_id, round(levenshtein(a, b) / greatest(length(a), 1), 6) x from m")(lambda spark, sf: _M(spark, sf).select("doc_id", F.round(D.char_error_rate("a", "b"), 6).alias("x")))
-query("m03_recovered", _M_SQL + "select doc_id, levenshtein(a, b) <= 0.02 * greatest(length(a), 1) x from m")(lambda spark, sf: _M(spark, sf).select("doc_id", D.recovered("a", "b").alias("x")))
-query("m04_residual_status", _M_SQL + ", n as (select *, case doc_id % 6 when 0 then a when 1 then '' when 2 then b when 3 then 'GRID START' else substring(b, 10) end x from m) select doc_id, case when doc_id % 7 = 0 then 'missing_recovered_tags' when levenshtein(a, x) <= 0.02 * greatest(length(a), 1) then 'recovered' when x = '' then 'empty_recovered_text' when levenshtein(b, x) <= 0.02 * greatest(length(b), 1) then 'copied_transformed_input' when levenshtein(b, x) / greatest(length(b), 1) < levenshtein(a, x) / greatest(length(a), 1) then 'closer_to_transformed_than_original' when contains(x, 'GRID START') then 'contains_transformation_markers' else 'partial_or_other' end status from n")(
-    lambda spark, sf: _M(spark, sf).withColumn("x", F.when(F.col("doc_id") % 6 == 0, F.col("a")).when(F.col("doc_id") % 6 == 1, "").when(F.col("doc_id") % 6 == 2, F.col("b")).when(F.col("doc_id") % 6 == 3, "GRID START").otherwise(F.substring(F.col("b"), F.lit(10), F.length("b")))).select("doc_id", D.residual_status("a", "b", "x", F.col("doc_id") % 7 != 0, D.recovered("a", "x")).alias("status"))
+# whole problems and the ones that follow them
+_M = lambda spark, sf: pairs(spark, sf).select("idx", *[F.regexp_replace(c, "[^ -~]", "").alias(c) for c in ("a", "b")])
+_M_SQL = "with " + PAIR_SQL + ", m as (select idx, regexp_replace(a, '[^ -~]', '', 'g') a, regexp_replace(b, '[^ -~]', '', 'g') b from q), "
+_X_SQL = _M_SQL + "n as (select *, case idx % 6 when 0 then a when 1 then '' when 2 then b when 3 then 'GRID START' when 4 then replace(a, 'th', 't') else substring(b, 10) end x from m) "
+
+
+def _x(spark, sf):
+    k = F.col("idx") % 6
+    x = F.when(k == 0, F.col("a")).when(k == 1, "").when(k == 2, F.col("b")).when(k == 3, "GRID START").when(k == 4, F.replace("a", F.lit("th"), F.lit("t"))).otherwise(F.substring(F.col("b"), F.lit(10), F.length("b")))
+    return _M(spark, sf).withColumn("x", x)
+
+
+query("m01_levenshtein", _M_SQL[:-2] + " select idx, levenshtein(a, b)::int x from m")(lambda spark, sf: _M(spark, sf).select("idx", D.levenshtein("a", "b").alias("x")))
+query("m02_char_error_rate", _X_SQL + "select idx, round(levenshtein(a, x) / greatest(length(a), 1), 6) x, false estimated from n")(lambda spark, sf: _x(spark, sf).select("idx", F.round(D.char_error_rate("a", "x"), 6).alias("x"), D.is_estimated("a", "x").alias("estimated")))
+query("m03_recovered", _X_SQL + "select idx, levenshtein(a, x) <= 0.02 * greatest(length(a), 1) x from n")(lambda spark, sf: _x(spark, sf).select("idx", D.recovered("a", "x").alias("x")))
+query("m04_residual_status", _X_SQL + "select idx, case when idx % 7 = 0 then 'missing_recovered_tags' when levenshtein(a, x) <= 0.02 * greatest(length(a), 1) then 'recovered' when x = '' then 'empty_recovered_text' when levenshtein(b, x) <= 0.02 * greatest(length(b), 1) then 'copied_transformed_input' when levenshtein(b, x) / greatest(length(b), 1) < levenshtein(a, x) / greatest(length(a), 1) then 'closer_to_transformed_than_original' when contains(x, 'GRID START') then 'contains_transformation_markers' else 'partial_or_other' end status from n")(
+    lambda spark, sf: _x(spark, sf).select("idx", D.residual_status("a", "b", "x", F.col("idx") % 7 != 0, D.recovered("a", "x")).alias("status"))
 )
 query("m05_windows", f"with w as (select doc_id, {WORDS('text')} w from documents), s as (select doc_id, w, unnest([16, 20, 24]) n from w), i as (select doc_id, w, n, unnest(list_distinct(case when len(w) > n then range(0, len(w) - n + 1, 10) || [len(w) - n] else [0] end)) i from s), x as (select distinct doc_id, array_to_string(w[i + 1:i + n], ' ') x from i) select doc_id, count(*) n from x where x <> '' group by doc_id")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.size(D.sliding_windows("text", F.lit(20))).cast("bigint").alias("n")).where("n > 0")
@@ -337,3 +347,26 @@ query("m05_windows", f"with w as (select doc_id, {WORDS('text')} w from document
 query("m06_cosine", "select a.label, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 5) x, a.vec_id from embeddings a, embeddings b where b.vec_id = 0")(
     lambda spark, sf: table(spark, sf, "embeddings").crossJoin(F.broadcast(table(spark, sf, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("e")))).select("label", F.round(D.cosine("embedding", "e"), 5).alias("x"), "vec_id")
 )
+
+# every vector whose id is divisible by 50 is a target, the others of its label are its windows
+_COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double))))"
+query("m06_semantic_recovery", f"with c as (select a.vec_id id, max({_COS}) best from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by a.vec_id) select vec_id id, round(best, 5) best, vec_id % 4 = 0 or coalesce(best >= 0.9, false) recovered from embeddings left join c on id = vec_id where vec_id % 50 = 0")(
+    lambda spark, sf: _semantic(table(spark, sf, "embeddings"))
+)
+
+
+def _semantic(e):
+    targets = e.where("vec_id % 50 = 0")
+    windows = targets.select(F.col("vec_id").alias("id"), "label").join(e, "label").where("vec_id <> id").select("id", "embedding")
+    return D.semantic_recovery(targets.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 4 == 0).alias("correct")), windows).withColumn("best", F.round("best", 5))
+
+
+query("m07_judge_recovery", "select doc_id id, doc_id % 5 = 0 or contains(upper(text), 'YES') recovered from documents")(
+    lambda spark, sf: D.judge_recovery(
+        table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 0).alias("correct"), B.judge_prompt("text", "text").alias("prompt")),
+        lambda asked: asked.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("reply")), "id"),
+    ).select("id", "recovered")
+)
+query("g07_keyword_relevance", "with w as (select doc_id, text, list_distinct(regexp_extract_all(lower('alpha beta Gamma42 ' || lang || ' is the and words of ' || source || ' in one long last line'), '\\b([a-z0-9]{4,})\\b', 1)) ks from documents) select doc_id, round(len(list_filter(ks, lambda k: contains(lower(text), k))) / len(ks), 6) x from w")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.round(G.keyword_relevance(F.concat(F.lit("first line\nalpha beta Gamma42 "), "lang", F.lit(" is the and words of "), "source", F.lit(" in one long last line")), "text"), 6).alias("x"))
+)

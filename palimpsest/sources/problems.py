@@ -23,8 +23,8 @@ def normalise_problems(df: DataFrame, problem: str, answer: str | None = None, i
 
 
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows by idx: a filter where idx is dense, no sort."""
-    return df.where(F.col("idx") < n)
+    """The first n rows by idx, dense or not: every partition keeps its own first n."""
+    return df.orderBy("idx").limit(n)
 
 
 def range_filter(spec: str) -> Column:
@@ -38,19 +38,22 @@ def range_filter(spec: str) -> Column:
 
 
 def pick_rows(df: DataFrame, spec: str, n: int | None = None) -> DataFrame:
-    """S04: "5", "0-10" (end exclusive, clipped) and lists of them; duplicates are kept."""
+    """S04: "5", "0-10" (end exclusive, clipped) and lists of them, with ``pick``, the place in the list;
+    duplicates are kept.  A range is two bounds however long it is."""
     n = df.count() if n is None else n
-    wanted: list[int] = []
+    parts, at = [], 0
     for part in spec.split(","):
-        part = part.strip()
-        if "-" in part:
-            lo, hi = (int(x) for x in part.split("-"))
-            wanted += range(max(0, lo), min(hi, n))
-        elif part and 0 <= int(part) < n:
-            wanted.append(int(part))
-    # a list that the caller typed: a few rows
-    chosen = df.sparkSession.createDataFrame([(i, p) for p, i in enumerate(wanted)], "idx bigint, pick int")
-    return df.join(F.broadcast(chosen), "idx")
+        lo, dash, hi = part.strip().partition("-")
+        if not lo:
+            continue
+        low, high = (max(0, int(lo)), min(int(hi), n)) if dash else (int(lo), int(lo) + (int(lo) < n))
+        if high > low:
+            parts.append(F.struct(F.lit(low).cast("bigint").alias("lo"), F.lit(high).cast("bigint").alias("hi"), F.lit(at).cast("bigint").alias("at")))
+            at += high - low
+    if not parts:
+        return df.where(F.lit(False)).withColumn("pick", F.lit(0).cast("bigint"))
+    holds = F.filter(F.array(*parts), lambda p: (F.col("idx") >= p["lo"]) & (F.col("idx") < p["hi"]))
+    return df.withColumn("pick", F.explode(F.transform(holds, lambda p: p["at"] + F.col("idx") - p["lo"])))
 
 
 def inspect_row(df: DataFrame, idx: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from .scratch import delete, exists
 
 SUMMARY = (
     "STRUCT<accuracy:DOUBLE,accuracy_attempted:DOUBLE,correct:BIGINT,total:BIGINT,attempted:BIGINT,refusals:BIGINT,failures:BIGINT,max_token_cutoffs:BIGINT,"
@@ -86,9 +87,15 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def checkpoint(rows: DataFrame) -> DataFrame:
-    """Rows cut off from what made them, in the cluster's checkpoint folder."""
-    return rows.checkpoint(eager=True)
+def grade_from_checkpoint(raw: DataFrame, grade, raw_path: str, graded_path: str) -> DataFrame:
+    """Raw rows are written before they are graded (``grade`` is a function of a DataFrame), so a
+    failure while grading loses no output; once the graded rows are written the raw ones go."""
+    spark = raw.sparkSession
+    if not exists(spark, f"{raw_path}/_SUCCESS"):
+        raw.write.mode("overwrite").parquet(raw_path)
+    grade(spark.read.schema(raw.schema).parquet(raw_path)).write.mode("overwrite").parquet(graded_path)
+    delete(spark, raw_path)
+    return spark.read.parquet(graded_path)
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
@@ -206,6 +213,7 @@ def infer_provider(model) -> Column:
     return F.when(m.contains("gemini"), "google").when(m.contains("claude"), "anthropic").when(m.contains("gpt") | m.contains("o1"), "openai")
 
 
+# How a layer's line of the log reads.
 _LAYER = r"Layer\s+(\d+) Averages - System:\s*([\d.]+)%, DistractorPre:\s*([\d.]+)%, TargetStmt:\s*([\d.]+)%, DistractorPost:\s*([\d.]+)%, Target:\s*([\d.]+)%"
 REGIONS = ("system", "distractor_pre", "target_stmt", "distractor_post", "target")
 
@@ -234,6 +242,16 @@ def percent(x) -> Column:
     return F.coalesce(F.format_string("%.2f", 100 * col(x)), F.lit(""))
 
 
+def text_report(rows: DataFrame, widths: dict[str, int], order: str) -> DataFrame:
+    """(n, line) of a table in plain text: a head (n = 0) and one line a row in order; columns are
+    padded to their widths, to the left where negative.  For reports: one row a run or model."""
+    pad = lambda c, w: F.rpad(c, -w, " ") if w < 0 else F.lpad(c, w, " ")
+    cells = [pad(F.coalesce(F.col(c).cast("string"), F.lit("")), w) for c, w in widths.items()]
+    body = rows.select((F.row_number().over(Window.orderBy(order))).cast("bigint").alias("n"), F.concat_ws("  ", *cells).alias("line"))
+    head = "  ".join(c.ljust(-w) if w < 0 else c.rjust(w) for c, w in widths.items())
+    return rows.sparkSession.createDataFrame([(0, head)], "n bigint, line string").unionByName(body)
+
+
 def run_timestamp(name) -> Column:
     """The %Y%m%d_%H%M%S stamp at the end of a run's name."""
     return F.try_to_timestamp(F.regexp_extract(F.regexp_replace(col(name), r"\.json$", ""), r"(\d{8}_\d{6})$", 1), F.lit("yyyyMMdd_HHmmss"))

@@ -89,3 +89,8 @@ class MockGenerator:
 
     def __call__(self, agents: DataFrame) -> DataFrame:
         return agents.withColumn("reply", F.lit(self.reply))
+
+
+def cache_expired(age, ttl, share: float = 0.9) -> Column:
+    """Whether a context cache of ``age`` seconds must be made anew: past ``share`` of its time to live."""
+    return age > share * ttl

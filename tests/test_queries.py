@@ -85,11 +85,33 @@ def test_poll_results(spark, tmp_path):
 
 
 def drawn_interval(scores, draws, seed=42):
-    pick = lambda d, i: int(md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:8], 16) % len(scores)
+    def pick(d, i):
+        start = int(md5(f"{seed}|{d}".encode()).hexdigest()[:8], 16) % stats.PRIME
+        u = (start + i * stats.STEP) % stats.PRIME
+        v = (u * u + 1) % stats.PRIME
+        return (v * v + u) % stats.PRIME % len(scores)
+
     means = sorted(sum(scores[pick(d, i)] for i in range(len(scores))) / len(scores) for d in range(draws))
     return means[int(0.025 * (draws - 1))], means[int(0.975 * (draws - 1))]
 
 
+def test_draws_are_even():
+    """The picks of many draws take every place about equally often, alone and in pairs."""
+    import collections
+
+    n, draws = 7, 4000
+    starts = [int(md5(f"42|{d}".encode()).hexdigest()[:8], 16) % stats.PRIME for d in range(draws)]
+    rows = []
+    for s in starts:
+        us = [(s + i * stats.STEP) % stats.PRIME for i in range(n)]
+        rows.append([((u * u + 1) % stats.PRIME * ((u * u + 1) % stats.PRIME) + u) % stats.PRIME % n for u in us])
+    pairs = collections.Counter((r[0], r[3]) for r in rows)
+    assert all(abs(c - draws / n / n) < 5 * (draws / n / n) ** 0.5 for c in pairs.values()) and len(pairs) == n * n
+    means = [sum(r) / n for r in rows]
+    spread = sum((m - 3) ** 2 for m in means) / draws
+    assert spread == pytest.approx(4 / n, rel=0.1)  # the variance of a mean of n independent picks
+
+
 def test_paired_and_run_intervals(spark):
     a, b = [1.0, 0.5, 0.0, 1.0, 0.25], [0.0, 0.5, 1.0, 0.5, 0.0]
     side = lambda x: spark.createDataFrame([("m", i, v) for i, v in enumerate(x)], "model string, id long, score double")
@@ -99,7 +121,11 @@ def test_paired_and_run_intervals(spark):
     rows = spark.createDataFrame([(None, i, v, None, v) for i in range(4) for v in (True, i > 1)], "model string, id long, success boolean, extracted string, correct boolean")
     r = metrics.summarize_runs(rows, ["model"], draws=300).first()
     assert r.n_problems == 4 and (r.low, r.high) == pytest.approx(drawn_interval([0.5, 0.5, 1.0, 1.0], 300))
-    assert {"a07_summarize_runs_interval", "q03_paired_interval"} <= set(catalogue.queries())
+    limited = metrics.summarize_runs(rows.withColumn("tokens", F.lit(99)), ["model"], draws=9, limit=F.lit("100")).first()
+    told = metrics.summarize_runs(rows, ["model"], draws=9, reported=F.lit(5)).first()
+    assert (r.cutoffs, limited.cutoffs, told.cutoffs) == (0, 8, 5)
+    far = stats.paired_comparison(side(a), side(b).withColumn("id", F.col("id") + 50), ["model"], draws=9).first()
+    assert (far.n_common, far.mean_diff, far.a_mean) == (0, None, pytest.approx(0.55))
 
 
 def test_queries_read_whole_tables(spark, tmp_path):
@@ -115,3 +141,59 @@ def test_problem_sources(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "idx long, problem string")
     assert df.where(problems.range_filter("2:4")).count() == 2 and df.where(problems.range_filter("all")).count() == 12
     assert sorted(r.idx for r in problems.pick_rows(df, "1,3,3,10-99").collect()) == [1, 3, 3, 10, 11]
+
+
+def scanned_boxes(t):
+    """Boxes by scanning: a command, its first brace, the brace that closes it; on without one."""
+    out, at = [], 0
+    while True:
+        found = [i for i in (t.find("\\boxed", at), t.find("\\fbox", at)) if i >= 0]
+        if not found:
+            return out
+        start, depth, end = min(found), 0, None
+        for i in range(start, len(t)):
+            depth += {"{": 1, "}": -1 if depth else 0}.get(t[i], 0)
+            if t[i] == "}" and depth == 0 and "{" in t[start:i]:
+                end = i + 1
+                break
+        if end:
+            out.append(t[start:end])
+        at = end or start + 5
+
+
+def test_boxes_at_any_depth(spark):
+    from palimpsest.functions.extract import all_boxed
+
+    deep = "\\boxed" + "{" * 9 + "x" + "}" * 9
+    texts = [deep, f"a \\boxed{{1}} b {deep} \\fbox {{2}}", "\\boxed{ open \\fbox{3} and \\boxed{4", "\\boxed{a \\fbox b} \\boxed {c}", "} \\boxed x {y} }", "none", "", "\\boxed", "\\fbox{\\boxed{1}} \\boxed{\n}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string").select("i", all_boxed("t").alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: scanned_boxes(t) for i, t in enumerate(texts)} | {99: None}
+
+
+def test_long_error_rates_are_estimated(spark):
+    import difflib
+    import random
+
+    from palimpsest.functions import distance as D
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(7000))
+    data = [(0, "abc", "abd"), (1, long, long[:3000] + "X" + long[3000:]), (2, long, long), (3, "", ""), (4, "short", long)]
+    df = spark.createDataFrame(data, "i int, a string, b string")
+    out = {r.i: r for r in df.select("i", D.char_error_rate("a", "b").alias("e"), D.is_estimated("a", "b").alias("g"), D.recovered("a", "b").alias("r")).collect()}
+    assert out[0].e == pytest.approx(1 / 3) and out[3].e == 0 and out[2].r and [out[i].g for i in range(5)] == [False, True, True, False, True]
+    for i in (1, 4):
+        assert out[i].e == pytest.approx(1 - difflib.SequenceMatcher(None, data[i][1], data[i][2]).ratio())
+
+
+def test_rows_by_place(spark):
+    from palimpsest.operators.relational import latest_per_key
+
+    sparse = spark.createDataFrame([(i * 10, f"p{i}") for i in range(9)], "idx long, problem string")
+    assert sorted(r.idx for r in problems.limit_rows(sparse, 3).collect()) == [0, 10, 20]
+    dense = spark.range(20).withColumnRenamed("id", "idx")
+    picked = sorted((r.pick, r.idx) for r in problems.pick_rows(dense, "3, 0-1000000000,3,25", 20).collect())
+    assert picked == list(enumerate([3, *range(20), 3])) and problems.pick_rows(dense, "25-30").count() == 0
+    runs = spark.createDataFrame([(1, None, 5), (2, 3, 9), (2, 3, 8), (2, None, 1)], "k int, at int, id int")
+    assert sorted(tuple(r) for r in latest_per_key(runs, ["k"], "at", ["id"]).collect()) == [(1, None, 5), (2, 3, 8)]
+    assert sorted(r.k for r in latest_per_key(runs, ["k"], "at", []).collect()) == [1, 2]
