@@ -44,34 +44,44 @@ def shingles_of(h: np.ndarray, k: int) -> np.ndarray:
 
 class Index:
     """Fingerprints of items by block value.  Two fingerprints within the radius agree to within
-    radius // blocks bits in one block at least, so probing a block's table with every value
-    that near finds all of them, at a cost that does not depend on the number of items."""
+    radius // blocks bits in one block at least, so looking in a block's table for all values
+    that near finds all of them.  A table with fewer values than there are neighbours is gone
+    through; a larger one is probed with each neighbour, so a look-up never costs more than
+    those, however many items there are."""
 
     def __init__(self, prints: list[int], radius: int, blocks: int):
-        self.prints, self.radius = np.array(prints, dtype=U64), radius
+        self.prints, self.radius, self.near = np.array(prints, dtype=U64), radius, radius // blocks
         self.width = 64 // blocks
-        bits = (sum(1 << i for i in c) for n in range(radius // blocks + 1) for c in combinations(range(self.width), n))
+        bits = (sum(1 << i for i in c) for n in range(self.near + 1) for c in combinations(range(self.width), n))
         self.masks = np.fromiter(bits, dtype=np.int64)
         self.tables = []
         for b in range(blocks):
             own = self._block(self.prints, b)
-            self.tables.append((np.concatenate(([0], np.cumsum(np.bincount(own, minlength=1 << self.width)))), np.argsort(own, kind="stable")))
+            start = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=1 << self.width))))
+            self.tables.append((start, np.argsort(own, kind="stable"), np.unique(own)))
 
     def _block(self, p: np.ndarray, b: int) -> np.ndarray:
         return ((p >> U64(b * self.width)) & U64((1 << self.width) - 1)).astype(np.int64)
 
+    def _neighbours(self, mine: np.ndarray, start: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, value) of the table's values near each query's."""
+        if len(values) <= len(self.masks):
+            q, at = np.nonzero(np.bitwise_count(mine[:, None] ^ values) <= self.near)
+            return q, values[at]
+        near = (mine[:, None] ^ self.masks).ravel()
+        hit = np.flatnonzero(start[near + 1] > start[near])
+        return hit // len(self.masks), near[hit]
+
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) places of all pairs that differ in at most radius bits, sorted."""
         found, n = [np.zeros(0, dtype=np.int64)], len(self.prints)
-        for at in range(0, len(prints) if n else 0, 64):
-            some = prints[at : at + 64]
-            for b, (start, items) in enumerate(self.tables):
-                values = (self._block(some, b)[:, None] ^ self.masks).ravel()
-                lo, size = start[values], start[values + 1] - start[values]
-                hit = np.flatnonzero(size)
-                lo, size, q = lo[hit], size[hit], at + hit // len(self.masks)
-                place = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(hit) else lo
-                q, i = np.repeat(q, size), items[place]
+        some = max(64, (1 << 18) // max(1, min(n, len(self.masks))))
+        for at in range(0, len(prints) if n else 0, some):
+            for b, (start, items, values) in enumerate(self.tables):
+                q, value = self._neighbours(self._block(prints[at : at + some], b), start, values)
+                lo, size = start[value], start[value + 1] - start[value]
+                place = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                q, i = np.repeat(at + q, size), items[place]
                 near = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
                 found.append(q[near] * n + i[near])
         pairs = np.unique(np.concatenate(found))

@@ -190,13 +190,18 @@ def test_decontamination(spark, odd, none):
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench.limit(0)).count() == 0
 
 
-def test_simhash_index():
+@pytest.mark.parametrize("blocks, n", [(4, 200), (8, 3000)])
+def test_simhash_index(blocks, n):
+    """All pairs within the radius, where tables are gone through and where they are probed."""
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    prints = rng.integers(0, 1 << 63, n).astype(np.uint64)
     near = prints[:50] ^ np.uint64(0b1011)
-    q, i = decontam.Index([int(p) for p in prints], 20, 4).within(near)
-    want = {(a, b) for a in range(50) for b in range(200) if (int(near[a]) ^ int(prints[b])).bit_count() <= 20}
-    assert set(zip(q.tolist(), i.tolist())) == want
+    index = decontam.Index([int(p) for p in prints], 20, blocks)
+    assert (len(index.tables[0][2]) > len(index.masks)) == (blocks == 8)
+    q, i = index.within(near)
+    want = {(a, b) for a in range(50) for b in range(n) if (int(near[a]) ^ int(prints[b])).bit_count() <= 20}
+    assert set(zip(q.tolist(), i.tolist())) == want and len(index.within(prints[:0])[0]) == 0
+    assert len(decontam.Index([], 20, blocks).within(near)[0]) == 0
 
 
 def test_quality(spark, odd, none):
