@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gru, langid, linechunks, minhash, mixing, nbsvm, ordermin, preference, seedextend
+from . import balltree, decontam, gru, langid, linechunks, minhash, mixing, nbsvm, ordermin, preference, repair, seedextend, simhash
 from .shared import fold_of
 
 
@@ -81,8 +81,24 @@ def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, at most two differing bits, over all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters after three rounds, over all embeddings."""
+    return balltree.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of all conversations, damaged first."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gru_lm, op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op8_order_minhash, op9_line_chunks, op10_seed_extend)}
+    first = (op1_gru_lm, op2_minhash_near_dedup, op3_pivotal_mix, op4_simhash_decontam, op5_nb_svm_quality, op6_preference_format, op7_rank_order_langid, op8_order_minhash, op9_line_chunks, op10_seed_extend)
+    return {f.__name__: f for f in (*first, op11_simhash_tiles, op12_ball_tree_clusters, op13_conversation_repair)}
 
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -178,5 +194,107 @@ select doc_id, n::bigint n_words, r::bigint n_removed, sha256(array_to_string(k,
 """
 
 
+
+def _nearest(name: str, centroids: str) -> str:
+    return f"""{name} as materialized (
+  select rid, any_value(vec_id) vec_id, any_value(c) c, min({{'d': d, 'k': k}}) m from (
+    select rid, vec_id, v.c, k, list_sum(list_transform(range(1, 65), lambda i: (v.c[i] - z.c[i]) * (v.c[i] - z.c[i])))::bigint d from v, {centroids} z)
+  group by rid),"""
+
+
+def _moved(name: str, assigned: str, centroids: str) -> str:
+    return f"""{name} as materialized (
+  select z.k, coalesce(n.c, z.c) c from {centroids} z left join (
+    select k, list(q order by i) c from (
+      select k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint q
+      from (select m.k k, c[i] x, i from (select *, unnest(range(1, 65)) i from {assigned})) group by k, i)
+    group by k) n using (k)),"""
+
+
+OP12_SQL = "\n".join(
+    [
+        r"""
+with v as materialized (
+  select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) c from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+z0 as materialized (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), c) - 1 k, c from v qualify k < 16),""",
+        *[part for r in range(3) for part in (_nearest(f"a{r}", f"z{r}"), _moved(f"z{r + 1}", f"a{r}", f"z{r}"))],
+        _nearest("a3", "z3"),
+        r"""done as (select vec_id, m.k k, m.d d from a3)
+select vec_id, k::int as cluster, d distance, sum(d) over (partition by k)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha256(array_to_string(z3.c, ',')) centroid_sha256
+from done join z3 using (k)""",
+    ]
+)
+
+
+def _least(*options: str) -> str:
+    return "list_min([" + ", ".join(options) + "])"
+
+
+def _edit(letter: str, cost: str, rest: str) -> str:
+    return f"{{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a}}"
+
+
+def _row_edits(state: str, after: str, keeps: dict[str, str]) -> str:
+    """Cheapest edit of a row in a state, by the costs after it; ``keeps``: what rows may be kept as."""
+    kept = [f"case when ini = '{i}' and stays then {_edit('K', 'cut', to)} end" for i, to in keeps.items()]
+    return _least(_edit("D", "4", after), *kept, f"case when stays then {_edit('R', '3 + cut', list(keeps.values())[-1])} end")
+
+
+# an automaton over rows and inserts, from the last row back: another formulation than the operator's
+OP13_SQL = rf"""
+with recursive crc as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) bs
+  from conversations),
+kinds as (
+  select conv_id, turn, role, txt, xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, bs), lambda h, x:
+    list_reduce(list_prepend(xor(h, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda b, o: xor(b >> 1, (b & 1) * 3988292384::bigint)))) % 20 kind
+  from crc),
+hurt as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end role, case kind when 1 then '' when 2 then regexp_replace(txt, '[.!?]', '', 'g') else txt end txt,
+    unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) again
+  from kinds),
+placed as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, txt, again) i from hurt),
+faults as materialized (
+  select *, role[1] ini, row_number() over (partition by conv_id, role, txt order by i) > 1 twice, not regexp_matches(txt, '[^\x20\x09-\x0D]') bare,
+    regexp_matches(txt, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') cut_off
+  from placed),
+graded as materialized (
+  select conv_id, i, turn, role, txt, ini, bare, not bare and twice again, not bare and not twice and cut_off cut_off, not bare and not twice stays,
+    case when not bare and not twice and cut_off then 3 else 0 end cut, lag(ini) over (partition by conv_id order by i) before
+  from faults),
+go as (
+  select conv_id, max(i) i, {{'c': 0, 'a': ''}} g0, {{'c': 6, 'a': 'II'}} gs, {{'c': 3, 'a': 'I'}} gu, {{'c': 0, 'a': ''}} ga from graded group by conv_id
+  union all
+  select conv_id, i - 1, {_least('b0', _edit('I', '3', 'bu'), _edit('II', '6', 'ba'))}, {_least('bs', _edit('I', '3', 'bu'), _edit('II', '6', 'ba'))},
+    {_least('bu', _edit('I', '3', 'ba'))}, {_least('ba', _edit('I', '3', 'bu'))}
+  from (
+    select go.conv_id, go.i, {_row_edits('g0', 'g0', {'s': 'gs', 'u': 'gu'})} b0, {_row_edits('gs', 'gs', {'u': 'gu'})} bs,
+      {_row_edits('gu', 'gu', {'a': 'ga'})} bu, {_row_edits('ga', 'ga', {'u': 'gu'})} ba
+    from go join graded on go.conv_id is not distinct from graded.conv_id and go.i = graded.i)),
+best as materialized (select conv_id, g0.c as cost, g0.a as audit from go where i = 0),
+letters as (select conv_id, audit, unnest(range(1, len(audit) + 1)) k from best),
+steps as (
+  select conv_id, k, audit[k] l, sum(case when audit[k] <> 'I' then 1 else 0 end) over w i, sum(case when audit[k] <> 'D' then 1 else 0 end) over w p from letters
+  window w as (partition by conv_id order by k)),
+said as (
+  select s.conv_id, k, l, p, case when l = 'K' then role end kept_role, case when l = 'I' then '' else txt end txt,
+    coalesce(max(case when p = 1 and l = 'K' and ini = 's' then 1 end) over (partition by s.conv_id), 0) first_s
+  from steps s left join graded g on s.conv_id is not distinct from g.conv_id and s.i = g.i where l <> 'D'),
+texts as (
+  select conv_id, string_agg(coalesce(kept_role, case when (p - first_s) % 2 = 1 then 'user' else 'assistant' end) || ':' || txt, chr(10) order by k) body from said group by conv_id),
+counts as (
+  select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) gaps, sum(bare::int) blank, sum(again::int) duplicate, sum(cut_off::int) truncated,
+    sum(case when i > 1 and before || ini not in ('su', 'ua', 'au') then 1 else 0 end) illegal
+  from graded group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated,
+  coalesce(illegal, 0)::bigint illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') audit, sha256(coalesce(body, '')) repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id
+left join best b on o.conv_id is not distinct from b.conv_id left join texts t on o.conv_id is not distinct from t.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op6_preference_format": OP6_SQL, "op9_line_chunks": OP9_SQL, "op10_seed_extend": OP10_SQL}
+    out = {"op2_minhash_near_dedup": OP2_SQL, "op6_preference_format": OP6_SQL, "op9_line_chunks": OP9_SQL, "op10_seed_extend": OP10_SQL}
+    return out | {"op12_ball_tree_clusters": OP12_SQL, "op13_conversation_repair": OP13_SQL}
