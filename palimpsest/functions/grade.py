@@ -1,18 +1,18 @@
 """Grading (G01-G11) and failure predicates.
 
-Symbolic equivalence is a plug-in point: answer_equiv is a native approximation for
-integers, decimals, percentages and simple fractions, and string equality after
-canonicalising for the rest; pass another ``equiv`` (for example one backed by a pandas
-UDF around a computer algebra system) to any grader.
+answer_equiv compares integers, decimals, percentages and simple fractions, and other answers as
+canonical strings, in the JVM; with_symbolic_grade also compares them as expressions.  Another
+``equiv`` can be passed to any grader.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extract as X
 from .core import WS, bound, col, let, strip, words
+from .equivalence import symbolic_matches
 
 ERROR = "ERROR"
 
@@ -68,26 +68,43 @@ def _filled(c: Column) -> Column:
     return F.when(strip(c) != "", c)
 
 
-def extract_and_grade(output, truth, mode: str = "single", equiv=answer_equiv) -> Column:
-    """struct<extracted, correct>.  Candidates in order: the last box (every box in
-    "compound" mode), a bold number, the whole output; correct if any is.  The value is the
-    first correct candidate, else the first.  A null truth grades (null, false)."""
-    output, truth = col(output), col(truth).cast("string")
+def candidates(output, mode: str = "single") -> Column:
+    """Answers of an output in order: the last box (every box in "compound" mode), a bold number, the whole output."""
+    output = col(output)
     if mode == "compound":
         boxed = F.filter(F.transform(X.all_boxed(output), lambda b: X.remove_boxed(b)), lambda v: v.isNotNull() & (strip(v) != ""))
     else:
         boxed = F.array_compact(F.array(_filled(X.remove_boxed(X.last_boxed(output)))))
-    values = F.concat(boxed, F.array_compact(F.array(X.bold_candidate(output), last_number(output))))
+    return F.concat(boxed, F.array_compact(F.array(X.bold_candidate(output), last_number(output))))
+
+
+def extract_and_grade(output, truth, mode: str = "single", equiv=answer_equiv) -> Column:
+    """struct<extracted, correct>.  Candidates are tried in order and correct if any is.  The value is
+    the first correct candidate, else the first.  A null truth grades (null, false)."""
+    output, truth = col(output), col(truth).cast("string")
 
     def pick(cands):
         good = F.filter(cands, lambda c: c["ok"])
         return F.struct(F.coalesce(F.get(good, 0)["v"], F.get(cands, 0)["v"]).alias("extracted"), (F.size(good) > 0).alias("correct"))
 
-    graded = let(values, lambda vs: F.transform(vs, lambda v: F.struct(v.alias("v"), F.coalesce(equiv(v, truth), F.lit(False)).alias("ok"))))
+    graded = let(candidates(output, mode), lambda vs: F.transform(vs, lambda v: F.struct(v.alias("v"), F.coalesce(equiv(v, truth), F.lit(False)).alias("ok"))))
     nothing = F.struct(F.lit(None).cast("string").alias("extracted"), F.lit(False).alias("correct"))
     return F.when(truth.isNull() | output.isNull(), nothing).otherwise(let(graded, pick))
 
 
+def with_symbolic_grade(rows: DataFrame, output: str, truth: str, mode: str = "single") -> DataFrame:
+    """G01 with G04: ``rows`` with ``graded``, the struct of extract_and_grade, where answers are also compared
+    as expressions.  Only rows whose first candidate the JVM does not find equal reach Arrow batches,
+    with their candidates and not their outputs."""
+    t = F.col(truth).cast("string")
+    easy = F.transform("_values", lambda v: F.coalesce(answer_equiv(v, t), F.lit(False)))
+    rows = rows.withColumn("_values", F.when(t.isNotNull(), candidates(F.col(output), mode))).withColumn("_easy", easy)
+    rows = rows.withColumn("_hard", symbolic_matches(F.col("_values"), t, ~F.coalesce(F.get("_easy", 0), F.lit(True))))
+    first = F.array_position(F.zip_with("_easy", F.coalesce("_hard", "_easy"), lambda x, y: x | F.coalesce(y, F.lit(False))), True)
+    value = F.coalesce(F.when(first > 0, F.get("_values", (first - 1).cast("int"))), F.get("_values", 0))
+    return rows.withColumn("graded", F.struct(value.alias("extracted"), F.coalesce(first > 0, F.lit(False)).alias("correct"))).drop("_values", "_easy", "_hard")
+
+
 def extract_and_grade_passive(output, truth, equiv=answer_equiv) -> Column:
     """A box decides alone where there is one, else the whole output."""
     output, truth = col(output), col(truth).cast("string")

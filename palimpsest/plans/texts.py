@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..functions import equivalence as E
 from ..functions import extract as X
 from ..functions import grade as G
 from ..functions import lexicon as L
@@ -306,6 +307,30 @@ _GA = lambda c: F.when(c % 5 == 0, F.lit(None).cast("string")).when(c % 5 == 1,
 query("g03_is_equiv", "select doc_id, case doc_id % 5 when 0 then false when 1 then true when 2 then true else doc_id % 5 = 3 end x from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", G.is_equiv(_GA(F.col("doc_id")), F.when(F.col("doc_id") % 5 == 1, (F.col("doc_id") / 2).cast("string")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))).alias("x"))
 )
+# two ways to write an answer, by the document's id; whether they are equal hangs on its length.  SQL compares the numbers
+_ANSWERS_SQL = r"""with n as (select doc_id, text, doc_id % 8 k, n_chars % 9 + 2 a, doc_id % 5 + 1 b, (n_chars // 9) % 2 d from documents),
+w as (select *, case k when 0 then format('(x+{})(x-{})', a, b) when 1 then '\frac{' || a || '}{' || b || '}' when 2 then '\sqrt{' || a * a * b || '}' when 3 then '\{' || a || ', ' || b || ', ' || d || '\}'
+    when 4 then format('({}, {}]', a, b) when 5 then a || '^{' || b || '}' when 6 then 'x=' || a else a || ' \pm ' || b end answer,
+  case k when 0 then a - b + d = a - b when 1 then a * (3 * b + d) = 3 * a * b when 2 then a * a * b = a * a * (b + d) when 3 then d = a or d = b
+    when 4 then d = 0 when 5 then a ** b = a ** b + d when 6 then a = a + d else a - b = a - b - d end same,
+  case k when 1 then 3 * a = doc_id * (3 * b + d) when 2 then a * a * (b + d) = doc_id * doc_id when 3 then a = doc_id and b = doc_id when 5 then a ** b + d = doc_id when 6 then a + d = doc_id else false end by_id from n) """
+
+
+def _answers(spark, sf):
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, a, b, d = F.col("doc_id") % 8, F.col("n_chars") % 9 + 2, F.col("doc_id") % 5 + 1, F.floor(F.col("n_chars") / 9) % 2
+    left = [s("(x+", a, ")(x-", b, ")"), s("\\frac{", a, "}{", b, "}"), s("\\sqrt{", a * a * b, "}"), s("\\{", a, ", ", b, ", ", d, "\\}"), s("(", a, ", ", b, "]"), s(a, "^{", b, "}"), s("x=", a), s(a, " \\pm ", b)]
+    right = [s("x^2 + (", a - b + d, ")x - ", a * b), s("\\dfrac{", 3 * a, "}{", 3 * b + d, "}"), s(a, "\\sqrt{", b + d, "}"), s(b, ",", a), F.concat(s("\\left(", a, ",\\frac{", 2 * b, "}{2}"), F.when(d == 0, "\\right]").otherwise("\\right)"))]
+    right += [(F.pow(a, b) + d).cast("long").cast("string"), s(a + d, ".0"), s(a + b, ", ", a - b - d)]
+    pick = lambda options: F.element_at(F.array(*options), (k + 1).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", "text", pick(left).alias("answer"), pick(right).alias("truth"))
+    return rows.withColumn("output", s(F.col("text"), " \\boxed{", F.col("answer"), "} so **", F.col("doc_id"), ".**"))
+
+
+query("g04_symbolic_equiv", _ANSWERS_SQL + "select doc_id, answer, same x from w")(lambda spark, sf: _answers(spark, sf).select("doc_id", "answer", E.symbolic_equiv("answer", "truth").alias("x")))
+query("g04_symbolic_grade", _ANSWERS_SQL + "select doc_id, case when by_id and not same then doc_id::varchar else answer end extracted, same or by_id correct from w")(
+    lambda spark, sf: G.with_symbolic_grade(_answers(spark, sf), "output", "truth").select("doc_id", "graded.extracted", "graded.correct")
+)
 query("g05_error_value", "select doc_id, case when doc_id % 7 = 0 then 'ERROR: bad' else lang end x from documents")(_docs(lambda: G.graded_or_error("lang", F.when(F.col("doc_id") % 7 == 0, "bad"))))
 query("g06_failure_mode", f"""with w as (select doc_id, text, {WORDS('text')} w from documents), g as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) g from w),
 l as (select distinct doc_id from (select doc_id, g from g group by all having count(*) >= 3)) select doc_id, case when doc_id in (select doc_id from l) then 'loop' when contains(text, '\\boxed') then 'wrong_answer' else 'no_conclusion' end x from documents""")(_docs(lambda: G.failure_mode("text")))
