@@ -226,8 +226,9 @@ def close_links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = No
     placed = prints.select("fp", _tile(F.col("fp"), blocks).alias("tile"))
     tiles = keep(placed.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m")), "simhash-tiles")
     chunk = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-    packed = placed.join(tiles.hint("merge"), "tile").groupBy("tile", chunk.alias("i")).agg(F.collect_list("fp").alias("a"))
-    packed = keep(packed, "simhash-chunks")
+    # dealt by chunk, or a large tile would be grouped where the join has put it
+    dealt = placed.join(tiles.hint("merge"), "tile").select("tile", chunk.alias("i"), "fp").repartition("tile", "i")
+    packed = keep(dealt.groupBy("tile", "i").agg(F.collect_list("fp").alias("a")), "simhash-chunks")
     pairs = tile_pairs(tiles, blocks, radius).join(packed.hint("merge"), ["tile", "i"])
     others = packed.select(F.col("tile").alias("other"), F.col("i").alias("j"), F.col("a").alias("b"))
     pairs = pairs.join(others.hint("merge"), ["other", "j"])
