@@ -173,7 +173,7 @@ def statement_boundary(prompt, number) -> Column:
 
 
 def char_to_word(t, place) -> Column:
-    """Words in the first ``place`` characters, the fallback of a token index."""
+    """Words in the first ``place`` characters, the fallback of tokens.char_to_token."""
     return F.size(words(F.substring(col(t), F.lit(1), col(place))))
 
 

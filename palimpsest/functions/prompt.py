@@ -79,12 +79,14 @@ def passive_body(source, target_words, *seed) -> Column:
 
 
 def matched_body_words(wanted_tokens, skeleton, target) -> Column:
-    """Words of body that bring a prompt to wanted_tokens words; linear in word tokens, so one step."""
+    """B06 by words: how many of a body bring a prompt to wanted_tokens words; one step.  tokens.matched_prompt
+    corrects by the tokens of a vocabulary."""
     return F.greatest(col(wanted_tokens) - F.size(words(F.concat_ws(" ", col(skeleton), col(target)))), F.lit(0))
 
 
 def token_count(t, method: str = "words") -> Column:
-    """Words, words_1_3 (1.3 a word) or chars_4 (a quarter of the characters)."""
+    """B14 without a tokenizer: words, words_1_3 (1.3 a word) or chars_4 (a quarter of the characters).
+    tokens.exact_token_count counts by a vocabulary."""
     n = F.size(words(col(t)))
     if method == "words":
         return n

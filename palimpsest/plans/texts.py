@@ -19,6 +19,7 @@ from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import perturb as P
 from ..functions import prompt as B
+from ..functions import tokens as T
 from ..functions.core import words
 from ..operators import pairing
 from ..sources import problems as S
@@ -263,6 +264,22 @@ query("b13_fill_context", "with c as (select conv_id, turn, length(text) // 4 n
 query("b14_token_counts", f"select doc_id, len({WORDS('text')})::int w, floor(len({WORDS('text')}) * 1.3)::int w13, (length(text) // 4)::int c4 from documents")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", B.token_count("text").alias("w"), B.token_count("text", "words_1_3").alias("w13"), B.token_count("text", "chars_4").alias("c4"))
 )
+# byte-pair tokens have no SQL: tests compare them with a plain merge
+query("b14_exact_tokens")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", T.exact_token_count("text", T.Vocabulary(spark)).alias("n")))
+query("b05_tokens_body")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", T.tokens_body("text", F.lit(120), F.col("doc_id").cast("string"), T.Vocabulary(spark)).alias("body")))
+query("b06_matched_prompt")(
+    lambda spark, sf: pairs(spark, sf).select("idx", T.matched_prompt("a", "b", F.lit(400), F.concat_ws("|", F.lit("42"), "idx"), T.Vocabulary(spark)).alias("m")).select("idx", "m.*")
+)
+query("x13_char_to_token")(lambda spark, sf: _token_boundaries(spark, sf))
+
+
+def _token_boundaries(spark, sf):
+    """The tokens at which the first problem, the target's statement and the target's longest section begin."""
+    v, o = T.Vocabulary(spark), outputs(spark, sf)
+    places = F.array(X.system_boundary("output"), X.statement_boundary("output", F.lit(2)), F.length("output"))
+    return o.select("doc_id", T.char_to_token("output", places, v).alias("t")).select("doc_id", F.get("t", 0).alias("first_marker"), F.get("t", 1).alias("statement"), F.get("t", 2).alias("n_tokens"))
+
+
 query("s20_context_messages", f"with m as (select conv_id, list({{'role': role, 'text': text}} order by turn) m from conversations group by conv_id) select conv_id, {_quoted(B.SYSTEM_PROMPT)} || coalesce(chr(10) || array_to_string(list_transform(list_filter(m, lambda x: x.role <> 'system'), lambda x: x.text), chr(10)), '') x from m".replace("coalesce(chr(10) || array", "array").replace("|| array_to_string(list_transform(list_filter", "|| chr(10) || array_to_string(list_transform(list_filter").replace("chr(10)), '') x from m", "chr(10)) x from m"))(
     lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("m")).select("conv_id", B.render_messages(B.with_system("m")).alias("x"))
 )
