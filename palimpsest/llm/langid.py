@@ -89,19 +89,20 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def learn_profiles(labelled: DataFrame, most: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
     """{lang: its most frequent n-grams, in order} from ``labelled(doc_id, text, lang)``.
 
-    A classifier fit on a bounded sample: of each language the train_docs documents whose
-    doc_id hashes least.  The result holds ``most`` numbers a language.  Rows with a null
-    lang or text teach nothing.
+    A classifier fit on a bounded sample: of each language the train_docs documents (about)
+    whose doc_id and text hash least, at least the least of all; equal rows are in it together
+    or not at all.  The result holds ``most`` numbers a language.  Rows with a null lang or text
+    teach nothing.
     """
     # hashes are uniform, so a cut at a fraction of their range takes that fraction of a
     # language's rows, and no language is gathered in one task
     labelled = labelled.where("lang is not null and text is not null")
-    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(7))
-    counts = labelled.groupBy("lang").count().collect()
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit(7))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(h).alias("least")).collect()
     taught = F.lit(False)
     for row in counts:
         part = min(1.0, train_docs / row["count"])
-        cut = 2**63 - 1 if part == 1 else int(-(2**63) + part * (2**64 - 1))
+        cut = 2**63 - 1 if part == 1 else max(row["least"], int(-(2**63) + part * (2**64 - 1)))
         taught = taught | ((F.col("lang") == row["lang"]) & (h <= F.lit(cut)))
     grams = labelled.where(taught).select("lang", "text").mapInArrow(_count_partition, "lang string, gram long, n long")
     grams = keep(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-counts")

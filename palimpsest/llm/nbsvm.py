@@ -143,22 +143,24 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, c: float = 1.0, epochs: i
     """A model from ``labelled(doc_id, text, label)`` with label 0 or 1.
 
     The class counts behind the ratios are of all rows; the linear model is fit on a bounded
-    sample, the fit_rows rows (about) whose doc_id hashes least.  Rows with a null label are
-    left out; a null text is empty.  Without rows of both classes every score is the share of
-    label 1 (0.5 without rows).
+    sample, the fit_rows rows (about) whose doc_id and text hash least, at least the least of
+    all; rows with the same words and label count once there.  Rows with a null label are left
+    out; a null text is empty.  Without rows of both classes every score is the share of label 1
+    (0.5 without rows).
     """
     labelled = labelled.where("label in (0, 1)")
-    total = labelled.count()
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit(seed))
+    total, least = labelled.agg(F.count("*"), F.min(h)).first()
     part = min(1.0, fit_rows / max(1, total))
-    cut = 2**63 - 1 if part == 1 else int(-(2**63) + part * (2**64 - 1))
-    rows = labelled.select(F.col("label").cast("int").alias("label"), (F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)) <= F.lit(cut)).alias("fit"), "text")
+    cut = 2**63 - 1 if part == 1 else max(least, int(-(2**63) + part * (2**64 - 1)))
+    rows = labelled.select(F.col("label").cast("int").alias("label"), (h <= F.lit(cut)).alias("fit"), "text")
     gathered = keep(rows.mapInArrow(_gather, "block int, label int, data binary"), "nbsvm")
     schema = "block int, label int, data binary"
     sums = gathered.where("block >= 0").repartition("block", "label").mapInArrow(_sum_blocks, schema).collect()
     counts = np.zeros((2, FEATURES))
     for r in sums:
         counts[r["label"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(bytes(r["data"]), dtype=np.int64)
-    taken = gathered.where("block < 0").select("label", "data").collect()
+    taken = gathered.where("block < 0").select("label", "data").distinct().collect()
     drop(gathered)
     taken = sorted(((r["label"], bytes(r["data"])) for r in taken))
     y = np.array([2 * label - 1 for label, _ in taken], dtype=float)

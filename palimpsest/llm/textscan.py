@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -22,6 +23,7 @@ SAME = np.arange(256, dtype=np.uint8)
 
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _PIECE = 1 << 20
+_LONG = 64  # bytes; powers modulo 2**64 tell longer words apart less and less
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
@@ -130,6 +132,9 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndar
         np.cumsum(x, out=c[1:])
         a, b = s[lo:hi] - at, e[lo:hi] - at
         out[lo:hi] = mix((c[b] - c[a]) * q[a] + (b - a).astype(U64))
+    fold = LOWER if lower else SAME
+    for i in np.flatnonzero(e - s > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(fold[buf[s[i] : e[i]]].tobytes())
     return out, first
 
 

@@ -77,6 +77,25 @@ def test_word_hashes():
         assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words_of_two_letters_differ():
+    """The Thue-Morse words, which powers modulo 2**64 do not tell apart."""
+    for n in (6, 7, 10, 12):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        raw = f"{one} {two} {one.upper()}".encode()
+        h, _ = word_hashes(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), True)
+        assert h[0] != h[1] and h[0] == h[2]
+
+
+@pytest.mark.parametrize("ids", [[None] * 100, [4] * 100, range(100)])
+def test_samples_of_null_and_equal_ids(spark, ids):
+    """A bound below the rows leaves a sample, whatever the ids; and so do equal rows."""
+    for text in ("alpha beta gamma delta {}", "alpha beta gamma delta"):
+        rows = spark.createDataFrame([(d, text.format(i), "en", i % 2) for i, d in enumerate(ids)], "doc_id long, text string, lang string, label int")
+        assert langid.learn_profiles(rows, train_docs=10)["en"]
+        assert len(nbsvm.fit(rows, fit_rows=10)["w"]) > 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)]
