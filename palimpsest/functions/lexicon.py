@@ -1,10 +1,10 @@
 """Perturbations that need word classes (T01-T03, T16, T18-T20, B11, B12) and their inverses.
 
-Part-of-speech taggers, antonym dictionaries and entity recognisers are plug-ins: a tagger is
-a function from a token column to one of TAGS, an antonym source a map column.  The built-in
-ones are small rules and lists, so classes differ from a trained tagger's; what must hold for
-any tagger (round trip, well-formed definitions, untouched math, no doubled negation before
-"such") holds here and is tested.  All choices are seeded by md5, not by row order.
+Word classes come as a column of one tag a token, as the learned tagger of operators.tagging
+makes it, or else from a rule: closed classes and endings.  An antonym source is a map column.
+What must hold for any tagger (round trip, well-formed definitions, untouched math, no doubled
+negation before "such") holds here and is tested.  All choices are seeded by md5, not by row
+order.
 """
 
 from __future__ import annotations
@@ -19,9 +19,7 @@ TAGS = ("ADJ", "NUM", "VERB", "NOUN", "PROPN", "MATH", "SPACE", "PUNCT", "OTHER"
 _MATH = r"\$\$.*?\$\$|\$.*?\$|\\\[.*?\\\]|\\\(.*?\\\)|\[asy\].*?\[/asy\]"
 _TOKEN = rf"(?s)({_MATH}|\w+|\s+|[^\w\s])"
 
-# Small word lists of the built-in tagger.
-ADJECTIVES = "positive negative even odd prime real distinct equal large small long short high low good bad new old first last great right left open closed same different possible maximum minimum total".split()
-VERBS = "find add remove give take open close rise fall increase decrease win lose buy sell start stop begin end multiply divide subtract".split()
+# Closed classes.
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty hundred thousand".split()
 FUNCTION_WORDS = "the a an and or of to in on at by for from with is are was were be been it its this that these those as if then than not no such what which who how when where let we you they he she there their his her each every all any".split()
 ANTONYMS = {
@@ -39,7 +37,7 @@ def tokens(t) -> Column:
 
 
 def rule_tag(x: Column) -> Column:
-    """The built-in tagger: lists first, then suffixes."""
+    """The tag of one token by itself: closed classes, then endings and spelling."""
     low = F.lower(x)
     return (
         F.when(x.rlike(rf"(?s)\A({_MATH})\z"), "MATH")
@@ -47,19 +45,23 @@ def rule_tag(x: Column) -> Column:
         .when(x.rlike(r"\A\W\z"), "PUNCT")
         .when(x.rlike(r"\A\d+\z") | low.isin(NUMBERS), "NUM")
         .when(low.isin(FUNCTION_WORDS), "OTHER")
-        .when(low.isin(ADJECTIVES) | low.rlike("(ous|ful|able|ible|ive|less|ical)$"), "ADJ")
-        .when(low.isin(VERBS) | low.rlike("(ize|ify|ate)$"), "VERB")
+        .when(low.rlike("(ous|ful|able|ible|ive|less|ical|al|est|en)$"), "ADJ")
+        .when(low.rlike("(ize|ify|ate|ing|ed)$"), "VERB")
         .when(x.rlike("^[A-Z][a-z]+$"), "PROPN")
         .otherwise("NOUN")
     )
 
 
-@bound()
-def not_not(t, k: int = 2, tag=rule_tag) -> Column:
+def _tags(tok: Column, tag, tags) -> Column:
+    """One tag a token: the column given, or the rule's."""
+    return F.transform(tok, lambda x: tag(x)) if tags is None else col(tags)
+
+
+def not_not(t, k: int = 2, tag=rule_tag, tags=None) -> Column:
     """T01: "not not " before the first adjective and every k-th adjective or number; math blocks
     are one token, never tagged."""
     def insert(tok):
-        kinds = F.transform(tok, lambda x: F.when(F.lower(x) == "such", F.lit("OTHER")).otherwise(tag(x)))
+        kinds = F.zip_with(tok, _tags(tok, tag, tags), lambda x, g: F.when(F.lower(x) == "such", F.lit("OTHER")).otherwise(g))
         at = lambda ks, which: F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: F.get(ks, i).isin(*which))
 
         def places(ks):
@@ -96,7 +98,7 @@ def _antonyms() -> Column:
     return F.create_map(*[F.lit(x) for kv in ANTONYMS.items() for x in kv])
 
 
-def opposites(t, seed: int = 42, key=None, tag=rule_tag, antonyms=None) -> Column:
+def opposites(t, seed: int = 42, key=None, tag=rule_tag, antonyms=None, tags=None) -> Column:
     """Verbs and adjectives replaced by their antonym, else "anti" (or "anti_") and the word, all
     spellings of a word alike, with definitions at the middle.  Words claim in a seeded order and
     no replacement is a word already in use."""
@@ -106,7 +108,8 @@ def opposites(t, seed: int = 42, key=None, tag=rule_tag, antonyms=None) -> Colum
 
     def claim(tok):
         low = F.transform(tok, F.lower)
-        eligible = F.array_distinct(F.transform(F.filter(tok, lambda x: tag(x).isin("VERB", "ADJ") & x.rlike(r"\A[A-Za-z]+\z")), F.lower))
+        words = F.zip_with(tok, _tags(tok, tag, tags), lambda x, g: F.when(g.isin("VERB", "ADJ") & x.rlike(r"\A[A-Za-z]+\z"), F.lower(x)))
+        eligible = F.array_distinct(F.array_compact(words))
         order = F.transform(F.array_sort(F.transform(eligible, lambda w: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key, w).cast("binary")).alias("h"), w.alias("w")))), lambda s: s["w"])
 
         def step(s, w):
@@ -131,15 +134,16 @@ def opposites(t, seed: int = 42, key=None, tag=rule_tag, antonyms=None) -> Colum
     return let(tokens(t), lambda tok: let(claim(tok), lambda m: swap(tok, m)))
 
 
-def wrappers(t, seed: int = 42, key=None, tag=rule_tag) -> Column:
+def wrappers(t, seed: int = 42, key=None, tag=rule_tag, tags=None) -> Column:
     """Nouns, names and numbers as N(word), single letters but "a" too; N is 2 to 10, unused ones
     first; one definition an occurrence, at the middle."""
     key = col(t) if key is None else col(key)
     state = "struct<free:array<int>,defs:array<struct<new:string,old:string>>,out:array<string>>"
     order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(2), F.lit(10)), lambda n: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key, n.cast("string")).cast("binary")).alias("h"), n.alias("n")))), lambda s: s["n"])
 
-    def step(s, x):
-        wrapped = (tag(x).isin("NOUN", "NUM", "PROPN") & x.rlike(r"\A[A-Za-z0-9]+\z")) | (x.rlike(r"\A[B-Zb-z]\z"))
+    def step(s, pair):
+        x = pair["x"]
+        wrapped = (pair["tag"].isin("NOUN", "NUM", "PROPN") & x.rlike(r"\A[A-Za-z0-9]+\z")) | (x.rlike(r"\A[B-Zb-z]\z"))
         n = F.coalesce(F.get(s["free"], 0), choice(9, seed, key, F.size(s["out"])) + 2)
         new = F.concat(n.cast("string"), F.lit("("), x, F.lit(")"))
         yes = F.struct(F.slice(s["free"], 2, 9).alias("free"), F.concat(s["defs"], F.array(F.struct(new.alias("new"), x.alias("old")))).alias("defs"), F.concat(s["out"], F.array(new)).alias("out")).cast(state)
@@ -147,7 +151,8 @@ def wrappers(t, seed: int = 42, key=None, tag=rule_tag) -> Column:
         return F.when(wrapped, yes).otherwise(no)
 
     start = F.struct(order.alias("free"), F.array().cast(_PAIRS).alias("defs"), F.array().cast("array<string>").alias("out")).cast(state)
-    done = F.aggregate(tokens(t), start, step)
+    tagged = let(tokens(t), lambda tok: F.zip_with(tok, _tags(tok, tag, tags), lambda x, g: F.struct(x.alias("x"), g.alias("tag"))))
+    done = F.aggregate(tagged, start, step)
     return let(done, lambda d: F.when(F.size(d["defs"]) > 0, _insert_middle(F.array_join(d["out"], ""), _definitions(d["defs"]))).otherwise(F.array_join(d["out"], "")))
 
 

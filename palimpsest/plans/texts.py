@@ -22,6 +22,7 @@ from ..functions import prompt as B
 from ..functions import tokens as T
 from ..functions.core import words
 from ..operators import pairing
+from ..operators import tagging as tagger
 from ..sources import problems as S
 
 QUERIES: dict = {}
@@ -178,9 +179,22 @@ query("t17_word_split_swap", _doc_sql("array_to_string(list_transform(string_spl
 query("t18_terms_prompt", _prob_sql("'" + L.TERMS_TEMPLATE.replace("'", "''").replace("{problem_text}", "' || problem || '") + "'"))(_probs(lambda: L.terms_prompt("problem")))
 
 # perturbations behind a tagger: rows only, with their round trips
-query("t01_not_not")(_probs(lambda: L.not_not("problem")))
-query("t02_opposites")(_probs(lambda: L.opposites("problem", key="idx")))
-query("t03_wrappers")(_probs(lambda: L.wrappers("problem", key="idx")))
+
+
+def _tagged(expr: Callable[[], Column]):
+    """Problems tagged by a model that the problems themselves teach."""
+
+    def run(spark, sf):
+        p = problems(spark, sf)
+        return tagger.with_tags(p, "problem", tagger.learn(p, "problem")).select("idx", expr().alias("x"))
+
+    return run
+
+
+query("t01_not_not")(_tagged(lambda: L.not_not("problem", tags="tags")))
+query("t02_opposites")(_tagged(lambda: L.opposites("problem", key="idx", tags="tags")))
+query("t03_wrappers")(_tagged(lambda: L.wrappers("problem", key="idx", tags="tags")))
+query("t03_tag_shares")(lambda spark, sf: tagger.tag_shares(tagger.with_tags(table(spark, sf, "documents"), "text", tagger.learn(table(spark, sf, "documents")))).withColumn("share", F.round("share", 6)))
 query("t16_context_saturation")(_probs(lambda: L.context_saturation("problem", "idx")))
 query("t19_swap_variables")(_probs(lambda: L.swap_variables(F.concat("problem", F.lit(" $x + ab + \\frac{y}{Z}$")), key="idx")))
 query("t20_person_names")(lambda spark, sf: problems(spark, sf).select(F.explode(L.person_names("problem")).alias("name")).distinct().orderBy("name"))
