@@ -12,9 +12,12 @@ RECOVERY_THRESHOLD = 0.02
 MARKERS = ("defyn{", "GRID START", "<Problem A>", "<Problem B>")
 
 
-def levenshtein(a, b) -> Column:
-    """M01"""
-    return F.levenshtein(col(a), col(b))
+def levenshtein(a, b, most=None) -> Column:
+    """Edits between two texts; -1 where they are over ``most`` (a number or column), which costs
+    the length times ``most`` and not the product of the lengths."""
+    if most is None:
+        return F.levenshtein(col(a), col(b))
+    return F.call_function("levenshtein", col(a), col(b), F.lit(most) if isinstance(most, int) else most.cast("int"))
 
 
 #: Error rates of longer texts are estimated.
@@ -22,12 +25,12 @@ MAX_EXACT = 6000
 
 
 def _unlike(a, b):
-    """Pandas: 1 - the ratio of difflib's sequence matcher."""
+    """Pandas: 1 - the ratio of difflib's sequence matcher, which the estimate is defined by; null where either is."""
     import difflib
 
     import pandas as pd
 
-    return pd.Series([1.0 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    return pd.Series([None if x is None or y is None else 1.0 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=object)
 
 
 def is_estimated(original, other) -> Column:
@@ -36,36 +39,49 @@ def is_estimated(original, other) -> Column:
     return (F.length(o) > MAX_EXACT) | (F.length(x) > MAX_EXACT)
 
 
-def char_error_rate(original, other) -> Column:
-    """Edits over the original's length (1 at least), exact in the JVM up to MAX_EXACT characters
-    on both sides; beyond, where edits cost the product of the lengths, what a sequence matcher
-    finds unlike (Arrow batches of the long rows' texts only).  See is_estimated."""
+def char_error_rate(original, other, where=None) -> Column:
+    """M02, for reports: edits over the original's length (1 at least), exact in the JVM up to MAX_EXACT
+    characters on both sides; beyond, what a sequence matcher finds unlike (see is_estimated; only those
+    texts reach Arrow batches).  Null where ``where`` does not hold.  within_rate decides without it."""
     o, x = col(original), col(other)
-    long = is_estimated(o, x) & (o != x)
-    # short rows send empty texts to the matcher
-    guess = F.pandas_udf(_unlike, "double")(F.when(long, o).otherwise(""), F.when(long, x).otherwise(""))
-    exact = F.levenshtein(F.when(long, "").otherwise(o), F.when(long, "").otherwise(x)) / F.greatest(F.length(o), F.lit(1))
-    return F.when(o == x, 0.0).when(long, guess).otherwise(exact)
+    asked = (o != x) & (F.lit(True) if where is None else where)
+    long = is_estimated(o, x) & asked
+    guess = F.pandas_udf(_unlike, "double")(F.when(long, o), F.when(long, x))
+    short = asked & ~is_estimated(o, x)
+    exact = F.levenshtein(F.when(short, o), F.when(short, x)) / F.greatest(F.length(o), F.lit(1))
+    rate = F.when(o == x, 0.0).when(long, guess).otherwise(exact)
+    return rate if where is None else F.when(where, rate)
+
+
+def within_rate(original, other, rate: float) -> Column:
+    """Whether the edits between two texts are at most ``rate`` times the original's length (1 at least):
+    exact at any length, by a bounded distance in the JVM."""
+    o, x = col(original), col(other)
+    n = F.greatest(F.length(o), F.lit(1))
+    edits = levenshtein(o, x, F.floor(n * rate) + 1)  # one more than the bound, so that rounding can't cut it
+    return F.when(o == x, True).when(F.abs(F.length(o) - F.length(x)) > n * rate + 1, False).otherwise((edits >= 0) & (edits / n <= rate))
 
 
 def recovered(original, other, threshold: float = RECOVERY_THRESHOLD) -> Column:
     """Equal, or an error rate up to the threshold."""
-    o, x = col(original), col(other)
-    return F.when(o == x, True).otherwise(char_error_rate(o, x) <= threshold)
+    return within_rate(original, other, threshold)
 
 
 def residual_status(original, transformed, other, tagged, is_recovered, threshold: float = RECOVERY_THRESHOLD) -> Column:
-    """Seven labels, the first that holds."""
+    """Seven labels, the first that holds.  Whole error rates are taken only of the rows that no label
+    before decides, each once."""
     x = col(other)
     left = F.lit(False)
     for m in MARKERS:
         left = left | x.contains(m)
+    copied = within_rate(transformed, x, threshold)
+    open_ = F.coalesce(col(tagged) & ~col(is_recovered) & (x != "") & ~copied, F.lit(False))
     return (
         F.when(~col(tagged), "missing_recovered_tags")
         .when(col(is_recovered), "recovered")
         .when(x == "", "empty_recovered_text")
-        .when(char_error_rate(transformed, x) <= threshold, "copied_transformed_input")
-        .when(char_error_rate(transformed, x) < char_error_rate(original, x), "closer_to_transformed_than_original")
+        .when(copied, "copied_transformed_input")
+        .when(char_error_rate(transformed, x, open_) < char_error_rate(original, x, open_), "closer_to_transformed_than_original")
         .when(left, "contains_transformation_markers")
         .otherwise("partial_or_other")
     )

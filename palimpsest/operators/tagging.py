@@ -89,11 +89,15 @@ class Model:
         return at[rest(word)] if i is None else i
 
 
+def model_of(words: list[str], emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> Model:
+    """The model of (expected) counts; a tag that no word has keeps no share."""
+    return Model(words, emit / np.maximum(emit.sum(axis=0), 1e-300), move / move.sum(axis=1, keepdims=True), start / start.sum())
+
+
 def new_model(words: list[str]) -> Model:
     """The prior alone."""
-    p = np.array([prior(w) for w in words])
     n = len(TAGS)
-    return Model(words, p / p.sum(axis=0), np.full((n, n), 1 / n), np.full(n, 1 / n))
+    return model_of(words, np.array([prior(w) for w in words]), np.ones((n, n)), np.ones(n))
 
 
 def sentences(tags_of: list[str]) -> list[list[int]]:
@@ -233,7 +237,7 @@ def learn(texts: DataFrame, text: str = "text", rounds: int = ROUNDS, vocabulary
                 move[r["at"]] += r.counts
             elif r.kind == 2:
                 start += r.counts
-        model = Model(model.words, emit / emit.sum(axis=0), move / move.sum(axis=1, keepdims=True), start / start.sum())
+        model = model_of(model.words, emit, move, start)
     return model
 
 

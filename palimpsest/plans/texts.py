@@ -397,6 +397,27 @@ query("m03_recovered", _X_SQL + "select idx, levenshtein(a, x) <= 0.02 * greates
 query("m04_residual_status", _X_SQL + "select idx, case when idx % 7 = 0 then 'missing_recovered_tags' when levenshtein(a, x) <= 0.02 * greatest(length(a), 1) then 'recovered' when x = '' then 'empty_recovered_text' when levenshtein(b, x) <= 0.02 * greatest(length(b), 1) then 'copied_transformed_input' when levenshtein(b, x) / greatest(length(b), 1) < levenshtein(a, x) / greatest(length(a), 1) then 'closer_to_transformed_than_original' when contains(x, 'GRID START') then 'contains_transformation_markers' else 'partial_or_other' end status from n")(
     lambda spark, sf: _x(spark, sf).select("idx", D.residual_status("a", "b", "x", F.col("idx") % 7 != 0, D.recovered("a", "x")).alias("status"))
 )
+# whole documents against texts made of them by dropping or adding characters: one of each pair is a
+# subsequence of the other, so the distance is the difference of their lengths
+_DOC_SQL = """with n as (select doc_id, coalesce(text, '') a, coalesce(text, '') || repeat(' once more', 30) b from documents),
+d as (select *, case doc_id % 6 when 0 then a when 1 then '' when 2 then b when 3 then left(b, length(a) + 12) when 4 then replace(a, 'th', 't') else substring(a, 11) end x from n),
+e as (select *, abs(length(a) - length(x)) da, abs(length(b) - length(x)) db, length(a) > 6000 or length(x) > 6000 long from d) """
+
+
+def _edited(spark, sf):
+    k, a = F.col("doc_id") % 6, F.col("a")
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("a")).withColumn("b", F.concat("a", F.repeat(F.lit(" once more"), 30)))
+    x = F.when(k == 0, a).when(k == 1, "").when(k == 2, F.col("b")).when(k == 3, F.substring("b", F.lit(1), F.length("a") + 12)).when(k == 4, F.replace("a", F.lit("th"), F.lit("t"))).otherwise(F.substring(a, F.lit(11), F.length(a)))
+    return rows.withColumn("x", x)
+
+
+query("m01_bounded_levenshtein", _DOC_SQL + "select doc_id, case when da <= 40 then da else -1 end::int x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.levenshtein("a", "x", 40).alias("x")))
+query("m02_document_error_rates", _DOC_SQL + "select doc_id, long estimated, case when not long then round(da / greatest(length(a), 1), 6) when a = x then 0 end x from e")(
+    lambda spark, sf: _edited(spark, sf).select("doc_id", D.is_estimated("a", "x").alias("estimated"), F.round(D.char_error_rate("a", "x"), 6).alias("x")).withColumn("x", F.when(~F.col("estimated") | (F.col("x") == 0), F.col("x")))
+)
+query("m03_documents_recovered", _DOC_SQL + "select doc_id, da / greatest(length(a), 1) <= 0.02::double x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.recovered("a", "x").alias("x")))
+# estimates of long texts have no SQL
+query("m04_document_status")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.residual_status("a", "b", "x", F.col("doc_id") % 7 != 0, D.recovered("a", "x")).alias("status")))
 query("m05_windows", f"with w as (select doc_id, {WORDS('text')} w from documents), s as (select doc_id, w, unnest([16, 20, 24]) n from w), i as (select doc_id, w, n, unnest(list_distinct(case when len(w) > n then range(0, len(w) - n + 1, 10) || [len(w) - n] else [0] end)) i from s), x as (select distinct doc_id, array_to_string(w[i + 1:i + n], ' ') x from i) select doc_id, count(*) n from x where x <> '' group by doc_id")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.size(D.sliding_windows("text", F.lit(20))).cast("bigint").alias("n")).where("n > 0")
 )
