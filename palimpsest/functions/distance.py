@@ -12,12 +12,33 @@ RECOVERY_THRESHOLD = 0.02
 MARKERS = ("defyn{", "GRID START", "<Problem A>", "<Problem B>")
 
 
+#: Texts from this length on lose their common ends first; the ends are found by halving steps.
+LONG, _STEPS = 1000, [1 << i for i in range(22, -1, -1)]
+
+
+def _without_common_ends(a, b, body) -> Column:
+    """body(a, b) of what two texts have between their common ends, spelled backwards."""
+
+    def ahead(p):
+        longer = lambda at, n: (at + n <= F.least(F.length(p["a"]), F.length(p["b"]))) & (F.substring(p["a"], at + 1, n) == F.substring(p["b"], at + 1, n))
+        n = F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+        turned = lambda t, n: F.reverse(F.substring(t, n + 1, F.length(t))).alias
+        return let(n, lambda n: F.struct(turned(p["a"], n)("a"), turned(p["b"], n)("b")))
+
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), lambda p: let(ahead(p), lambda q: let(ahead(q), lambda r: body(r["a"], r["b"]))))
+
+
 def levenshtein(a, b, most=None) -> Column:
-    """Edits between two texts; -1 where they are over ``most`` (a number or column), which costs
-    the length times ``most`` and not the product of the lengths."""
+    """Edits between two texts; -1 where they are over ``most`` (a number or column).  In the JVM, whose
+    bounded form costs about the length times ``most``, and far less where texts share long ends or
+    differ in length by more than ``most``."""
+    a, b = col(a), col(b)
     if most is None:
-        return F.levenshtein(col(a), col(b))
-    return F.call_function("levenshtein", col(a), col(b), F.lit(most) if isinstance(most, int) else most.cast("int"))
+        plain = lambda x, y: F.levenshtein(x, y)
+    else:
+        most = F.lit(most) if isinstance(most, int) else most.cast("int")
+        plain = lambda x, y: F.when(F.abs(F.length(x) - F.length(y)) > most, -1).otherwise(F.call_function("levenshtein", x, y, most))
+    return F.when(F.least(F.length(a), F.length(b)) < LONG, plain(a, b)).otherwise(_without_common_ends(a, b, plain))
 
 
 #: Error rates of longer texts are estimated.
@@ -48,7 +69,7 @@ def char_error_rate(original, other, where=None) -> Column:
     long = is_estimated(o, x) & asked
     guess = F.pandas_udf(_unlike, "double")(F.when(long, o), F.when(long, x))
     short = asked & ~is_estimated(o, x)
-    exact = F.levenshtein(F.when(short, o), F.when(short, x)) / F.greatest(F.length(o), F.lit(1))
+    exact = levenshtein(F.when(short, o), F.when(short, x)) / F.greatest(F.length(o), F.lit(1))
     rate = F.when(o == x, 0.0).when(long, guess).otherwise(exact)
     return rate if where is None else F.when(where, rate)
 

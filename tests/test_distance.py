@@ -90,6 +90,17 @@ def test_long_texts(spark):
     assert all(out[i].long for i in range(6)) and abs(out[3].e - 0.2) < 1e-9 and out[1].e is None
 
 
+def test_common_ends(spark):
+    """Long texts that share all, one or none of their ends, and texts within each other."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abé数 ") for _ in range(1500))
+    pairs = [(base, base), (base, base[:1200] + "zz" + base[1210:]), ("y" + base, base), (base + "y", base), (base, base[:1000]), ("ab" * 700, "ab" * 650), ("a" * 1500, "b" * 1400), (damaged(rng, base, 30), base)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    for r in df.select("*", D.levenshtein("a", "b").alias("d"), D.levenshtein("a", "b", 200).alias("k")).collect():
+        d = edits(r.a, r.b)
+        assert r.d == d and r.k == (d if d <= 200 else -1)
+
+
 def test_recovery_runs_in_the_jvm(spark):
     df = spark.createDataFrame([("a", "b")], "a string, x string").select(D.recovered("a", "x"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
