@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import col, let
+from ..functions.core import col
 
 
 def wilson_interval(successes, n, z: float = 1.96) -> tuple[Column, Column]:
@@ -21,39 +26,73 @@ def wilson_interval(successes, n, z: float = 1.96) -> tuple[Column, Column]:
 PRIME, STEP = 2147483647, 1640531527
 
 
-def draw_start(seed: int, d) -> Column:
-    """The number that the picks of draw d start from: 32 bits of the md5 of "seed|d"."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), d.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % PRIME
+#: Draws dealt out together, scores of a key in one row at most, picks made at a time.
+DRAWS, SEGMENT, PICKS = 500, 1 << 18, 1 << 19
+
 
+def draw_starts(seed: int, draws: int) -> np.ndarray:
+    """The numbers that the picks of each draw start from: 32 bits of the md5 of "seed|d"."""
+    return np.array([int(hashlib.md5(f"{seed}|{d}".encode()).hexdigest()[:8], 16) % PRIME for d in range(draws)], dtype=np.int64)
 
-def draw_pick(start, i, n) -> Column:
-    """Pick i of a draw, a place in 0 .. n-1; integer arithmetic that any engine can repeat."""
-    u = (start + i.cast("bigint") * STEP) % PRIME
+
+def draw_picks(start: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+    """Picks i (columns) of draws (rows), places in 0 .. n-1; integer arithmetic that any engine can repeat."""
+    u = (start[:, None] + i[None, :] * STEP) % PRIME
     v = (u * u + 1) % PRIME
-    return (((v * v + u) % PRIME) % n).cast("int")
+    return (v * v + u) % PRIME % n
+
+
+def _draw_sums(seed: int, draws: int):
+    """(keys..., n, base, block, scores) -> (keys..., block, sums): for each draw of the block the sum of
+    its picks among the scores at places base, base + 1, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = draw_starts(seed, draws)
+        for batch in batches:
+            sums = []
+            ns, bases, blocks = (batch.column(batch.num_columns - k).to_pylist() for k in (4, 3, 2))
+            for row, (n, base, block) in enumerate(zip(ns, bases, blocks)):
+                scores = batch.column(batch.num_columns - 1)[row].values.to_numpy(zero_copy_only=False)
+                own = starts[block * DRAWS : (block + 1) * DRAWS]
+                total, width = np.zeros(len(own)), max(1, PICKS // len(own))
+                for at in range(0, n, width):
+                    place = draw_picks(own, np.arange(at, min(n, at + width), dtype=np.int64), n) - base
+                    if len(scores) < n:
+                        inside = (place >= 0) & (place < len(scores))
+                        total += np.where(inside, scores[np.where(inside, place, 0)], 0.0).sum(axis=1)
+                    else:
+                        total += scores[place].sum(axis=1)
+                sums.append(total)
+            keep = [batch.column(i) for i in range(batch.num_columns - 4)]
+            names = batch.schema.names[: batch.num_columns - 4]
+            yield pa.record_batch([*keep, batch.column(batch.num_columns - 2), pa.array(sums, pa.list_(pa.float64()))], names=[*names, "_block", "_sums"])
+
+    return run
 
 
 def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 10000, seed: int = 42, score: str = "score", order: str = "id") -> DataFrame:
     """Q02: (keys, n, mean, low, high): percentile bootstrap of the mean over a key's rows.
 
-    Pick i of draw d is row draw_pick(start of d, i, n) in order of ``order``; the interval takes the sorted
-    means at int(0.025 (draws - 1)) and int(0.975 (draws - 1)).  One row: itself.  The scores of one
-    key (the problems of a run) are an array of that row, so draws * n numbers never become rows.
+    Pick i of draw d is row draw_picks(start of d, i, n) in order of ``order``, equal ones by score; the
+    interval takes the sorted means at int(0.025 (draws - 1)) and int(0.975 (draws - 1)).  One row: itself.
+    Null scores count as none: such rows are left out.
+
+    A key's scores lie in segments of SEGMENT, and each (segment, block of DRAWS draws) is a row of its
+    own that any task may take; sums of segments are added draw by draw.
     """
-    arrays = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("s")))).alias("_a"))
-    arrays = arrays.select(*keys, F.transform("_a", lambda x: x["s"]).alias("_s"))
-    n = F.size("_s")
-
-    def draw(s, start):
-        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(s, draw_pick(start, i, F.size(s))).cast("double")) / F.size(s)
-
-    starts = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: draw_start(seed, d))
-    means = F.array_sort(let(F.col("_s"), lambda s: F.transform(starts, lambda d: draw(s, d))))
-    out = arrays.withColumn("_m", F.when(n > 1, means))
-    at = lambda share: F.coalesce(F.get("_m", int(share * (draws - 1))), F.get("_s", 0))
-    mean = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / n
-    return out.select(*keys, n.alias("n"), mean.alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
+    scores = scores.where(F.col(score).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(score).cast("double").alias("_s"))
+    own, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_o", "_s")
+    placed = scores.select(*keys, "_s", (F.row_number().over(ordered) - 1).alias("_p"), F.count("*").over(own).cast("int").alias("n"), F.avg("_s").over(own).alias("mean"))
+    key = [*keys, "n", "mean"]
+    parts = placed.groupBy(*key, (F.floor(F.col("_p") / SEGMENT) * SEGMENT).alias("_base")).agg(F.array_sort(F.collect_list(F.struct("_p", "_s"))).alias("_a"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS)))
+    dealt = parts.select(*key, F.col("n").alias("_n"), "_base", blocks.alias("_block"), F.transform("_a", lambda x: x["_s"]).alias("_scores")).repartition(*keys, "_base", "_block")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[: len(key)])
+    sums = dealt.mapInArrow(_draw_sums(seed, draws), f"{kinds}, _block int, _sums array<double>")
+    each = sums.select(*key, "_block", F.posexplode("_sums").alias("_d", "_x")).groupBy(*key, "_block", "_d").agg((F.sum("_x") / F.col("n")).alias("_m"))
+    means = each.groupBy(*key).agg(F.array_sort(F.collect_list("_m")).alias("_m"))
+    at = lambda share: F.get("_m", int(share * (draws - 1)))
+    return means.select(*key, at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def paired_comparison(a: DataFrame, b: DataFrame, keys: list[str], draws: int = 10000, seed: int = 42) -> DataFrame:
