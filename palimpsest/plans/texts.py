@@ -21,7 +21,7 @@ from ..functions import perturb as P
 from ..functions import prompt as B
 from ..functions import tokens as T
 from ..functions.core import words
-from ..operators import pairing
+from ..operators import neighbours, pairing
 from ..operators import tagging as tagger
 from ..sources import problems as S
 
@@ -438,6 +438,16 @@ def _semantic(e):
     return D.semantic_recovery(targets.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 4 == 0).alias("correct")), windows).withColumn("best", F.round("best", 5))
 
 
+# every vector whose id is divisible by 50 against all others
+query("m06_nearest_vectors", f"select a.vec_id, round(max({_COS}), 5) best from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by a.vec_id")(
+    lambda spark, sf: _nearest(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+)
+
+
+def _nearest(e):
+    return neighbours.nearest_vectors(e.where("id % 50 = 0"), e).select(F.col("id").alias("vec_id"), F.round("best", 5).alias("best"))
+
+
 query("m07_judge_recovery", "select doc_id id, doc_id % 5 = 0 or contains(upper(text), 'YES') recovered from documents")(
     lambda spark, sf: D.judge_recovery(
         table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 0).alias("correct"), B.judge_prompt("text", "text").alias("prompt")),

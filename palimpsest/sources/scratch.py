@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _seen: set[str] = set()
 
@@ -36,6 +37,14 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df written to this application's folder and read back: lineage is cut, any executor can read it, and
+    its size is known to the planner."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _end(spark: SparkSession, path: str) -> None:
     try:
         delete(spark, path)
