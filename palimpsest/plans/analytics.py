@@ -3,6 +3,8 @@ correct = quality 1, refusal = toxic 1, technique = source, model = lang, proble
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators import metrics as A
 from ..operators import relational as R
 from ..operators import stats as Q
 from ..sources import results as S
+from ..sources.scratch import folder
+from ..streaming import keyed as K
 from ..streaming import recorded as Z
 from .texts import OUT_SQL, WORDS, outputs, table
 
@@ -264,9 +268,35 @@ query("s25_providers", "select page_id, ['google', 'anthropic', 'openai', null][
     lambda spark, sf: table(spark, sf, "pages").select("page_id", S.infer_provider(F.element_at(F.array(*[F.lit(m) for m in ("Gemini-3", "claude-x", "o1-mini", "llama")]), (F.col("page_id") % 4 + 1).cast("int"))).alias("provider"))
 )
 query("s23_percent", "select doc_id, printf('%.2f', 100 * (doc_id % 8) / 8.0) x from documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", S.percent((F.col("doc_id") % 8) / 8.0).alias("x")))
-query("z02_saturation", f"with c as (select conv_id, turn, text, len({WORDS('text')}) n, {WORDS('text')} w from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) - n b from c) select conv_id, turn, case when b + n < 80 then 'FEEDING' when b < 80 then 'SOLVING' else 'DONE' end phase, case when b + n <= 80 then text else array_to_string(w[1:greatest(80 - b, 0)::bigint], ' ') end kept from r")(
+_Z02_SQL = f"with c as (select conv_id, turn, text, len({WORDS('text')}) n, {WORDS('text')} w from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) - n b from c) select conv_id, turn, case when b + n < 80 then 'FEEDING' when b < 80 then 'SOLVING' else 'DONE' end phase, case when b + n <= 80 then text else array_to_string(w[1:greatest(80 - b, 0)::bigint], ' ') end kept from r"
+query("z02_saturation", _Z02_SQL)(
     lambda spark, sf: Z.saturate(table(spark, sf, "conversations"), 80).select("conv_id", "turn", "phase", "kept")
 )
+
+
+def _streamed(spark, sf, name):
+    """A table as a stream of its files; the pattern stands for a file or a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _saturated(spark, sf):
+    at = f"{folder(spark)}/saturated-{uuid.uuid4().hex}"
+    K.run_to_end(K.saturation_stream(_streamed(spark, sf, "conversations"), 80), K.exactly_once(at), f"{at}/checkpoint")
+    return K.committed(spark, at, K.COLUMNS).select("conv_id", "turn", "phase", "kept")
+
+
+def _replayed(spark, sf):
+    """Every batch of labels is handed to the sink twice, and once more under a checkpoint that has forgotten it."""
+    at = f"{folder(spark)}/labels-{uuid.uuid4().hex}"
+    once = K.exactly_once(at)
+    twice = lambda batch, i: [once(batch, i) for _ in range(2)]
+    for checkpoint in ("first", "forgotten"):
+        K.run_to_end(_streamed(spark, sf, "labels"), twice, f"{at}/{checkpoint}")
+    return K.committed(spark, at, "doc_id long, quality int, toxic int")
+
+
+query("z02_saturation_stream", _Z02_SQL)(_saturated)
+query("z03_exactly_once", "select doc_id, quality, toxic from labels")(_replayed)
 query("z03_poll_batches", "select distinct doc_id batch_id from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)")(
     lambda spark, sf: Z.poll_batches(table(spark, sf, "documents").select(F.col("doc_id").alias("batch_id"), F.when(F.col("doc_id") % 2 == 0, "completed").otherwise("running").alias("status")), table(spark, sf, "labels").select(F.col("doc_id").alias("batch_id"))).select("batch_id")
 )
