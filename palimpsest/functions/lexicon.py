@@ -242,16 +242,20 @@ def context_saturation(t, key, num_distractors: int = 4, seed: int = 42) -> Colu
     return F.concat(block(made[:half]), ask, block(made[half:]), F.lit("\n\n"), embed_index(t, index(num_distractors), seed, key, "target"))
 
 
-def static_distractors(spark, bins: int = 20, per_domain: int = 60) -> DataFrame:
-    """(bin, pos, domain, variable, text): generated lines of three domains dealt to bins so that a
-    variable stands at most once more in one bin than in another; a small table from a rule."""
-    rows = spark.range(3 * per_domain).select(
-        F.element_at(F.array(*[F.lit(d[0]) for d in _DOMAINS[:3]]), (F.col("id") % 3).cast("int") + 1).alias("domain"),
-        F.element_at(F.array(*[F.lit(v) for v in DUMMY_VARIABLES]), (F.col("id") % len(DUMMY_VARIABLES)).cast("int") + 1).alias("variable"),
-        F.col("id"), distractor(7, F.col("id")).alias("text"),
-    )
-    nth = F.floor(F.col("id") / len(DUMMY_VARIABLES))
-    return rows.select(F.pmod(nth, F.lit(bins)).cast("int").alias("bin"), F.col("id").alias("pos"), "domain", "variable", "text")
+def static_distractors(keys: DataFrame, bins: int = 20, key: str = "idx") -> DataFrame:
+    """(bin, pos, domain, variable, text): a generated line for each key, of one of three domains, dealt
+    to bins so that a variable stands at most once more in one bin than in another.
+
+    Keys are counted off within their variable (seven of them) by range partitions, so no task
+    sorts all of a variable's keys."""
+    from ..operators.pairing import indexed
+
+    pick = lambda options, *of: F.element_at(F.array(*[F.lit(o) for o in options]), choice(len(options), *of) + 1)
+    rows = keys.select(F.col(key).alias("pos"), pick([d[0] for d in _DOMAINS[:3]], 7, F.col(key), "domain").alias("domain"), pick(DUMMY_VARIABLES, 7, F.col(key), "variable").alias("variable"), distractor(7, F.col(key)).alias("text"))
+    placed = indexed(rows.withColumn("_o", F.struct("variable", "pos")), "_o")
+    first = placed.groupBy("variable").agg(F.min("idx").alias("_first"))
+    nth = F.col("idx") - F.col("_first")
+    return placed.join(first, "variable").select(F.pmod(nth, F.lit(bins)).cast("int").alias("bin"), "pos", "domain", "variable", "text")
 
 
 @bound()

@@ -126,8 +126,17 @@ def judge_verdict(reply) -> Column:
 
 
 def fill_context(texts: DataFrame, target: int, order: str, text: str = "text") -> DataFrame:
-    """Rows in order until a running total of chars_4 tokens reaches target; the row that
-    reaches it is the last.  One row group's running sum: for a prompt's own pool of texts."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = texts.withColumn("n_tokens", token_count(text, "chars_4"))
-    return out.withColumn("total", F.sum("n_tokens").over(w)).where(F.col("total") - F.col("n_tokens") < target)
+    """Rows in order until a running total of chars_4 tokens reaches target; the row that reaches it is
+    the last.  ``order`` is one column, a struct for several.
+
+    Rows are ranged by order; totals of the ranges (one row a partition) are carried on, and only
+    inside a range a window adds up, of the ranges that begin below the target."""
+    from ..sources.scratch import keep
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(texts.withColumn("n_tokens", token_count(text, "chars_4")).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "fill")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_part").agg(F.sum("n_tokens").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_base") < target)
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(base.select("_part", "_base"), "_part").withColumn("total", F.sum("n_tokens").over(within) + F.col("_base"))
+    return out.where(F.col("total") - F.col("n_tokens") < target).drop("_part", "_base")

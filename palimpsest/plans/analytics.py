@@ -259,11 +259,20 @@ query("s17_active_batches", "select user_id batch_id, event_type status from (se
 query("s18_batch_done", "select event_id, regexp_matches(lower(event_type), 'completed|ended|succeeded') or event_id % 2 = 0 done from events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", S.batch_done(F.when(F.col("event_id") % 2 == 0, "JOB_STATE_SUCCEEDED").otherwise(F.col("event_type"))).alias("done"))
 )
-query("s21_attention_log", "select d sample, l layer, r region, (10.0 * p + l)::double pct from (select unnest(range(1, 4))::int d), (select unnest(range(0, 3))::int l), (select unnest(['system', 'distractor_pre', 'target_stmt', 'distractor_post', 'target']) r, unnest(range(1, 6)) p)")(
-    lambda spark, sf: S.parse_attention_log(
-        spark.range(13).select(F.lit("f").alias("file"), F.col("id").alias("n"), F.when(F.col("id") == 0, "Layer 9 Averages - System: 1%, DistractorPre: 1%, TargetStmt: 1%, DistractorPost: 1%, Target: 1%").when(F.col("id") % 4 == 1, F.format_string("=== SAMPLE %d DILUTION SUMMARY", F.floor(F.col("id") / 4) + 1)).otherwise(F.format_string("Layer %d Averages - System: %d%%, DistractorPre: %d%%, TargetStmt: %d%%, DistractorPost: %d%%, Target: %d%%", (F.col("id") + 2) % 4, *[((F.col("id") + 2) % 4) + 10 * p for p in range(1, 6)])).alias("value"))
-    ).drop("file")
+_MODULI = (97, 89, 83, 79, 73)
+query("s21_attention_log", f"select 'log' || doc_id file, doc_id % 4 + 1 sample, l layer, ['system', 'distractor_pre', 'target_stmt', 'distractor_post', 'target'][p] region, (n_chars + l) % {list(_MODULI)}[p] + 0.5::double pct from documents, (select unnest(range(0, 3))::int l), (select unnest(range(1, 6)) p)".replace("doc_id % 4 + 1 sample", "(doc_id % 4 + 1)::int sample"))(
+    lambda spark, sf: S.parse_attention_log(_attention_lines(table(spark, sf, "documents")))
 )
+
+
+def _attention_lines(docs):
+    """A log a document: a layer before any sample, a sample's head and three layers."""
+    n, k = F.col("n"), F.col("n") - 2
+    told = F.format_string("Layer %d Averages - System: %d.5%%, DistractorPre: %d.5%%, TargetStmt: %d.5%%, DistractorPost: %d.5%%, Target: %d.5%%", k, *[(F.col("n_chars") + k) % m for m in _MODULI])
+    value = F.when(n == 1, F.format_string("=== SAMPLE %d DILUTION SUMMARY", F.col("doc_id") % 4 + 1)).otherwise(told)
+    return docs.select(F.format_string("log%d", "doc_id").alias("file"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("n"), "doc_id", "n_chars").select("file", "n", F.when(n == 0, F.regexp_replace(told, "Layer -2", "Layer 9")).otherwise(value).alias("value"))
+
+
 query("s25_providers", "select page_id, ['google', 'anthropic', 'openai', null][page_id % 4 + 1] provider from pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", S.infer_provider(F.element_at(F.array(*[F.lit(m) for m in ("Gemini-3", "claude-x", "o1-mini", "llama")]), (F.col("page_id") % 4 + 1).cast("int"))).alias("provider"))
 )
@@ -300,6 +309,6 @@ query("z03_exactly_once", "select doc_id, quality, toxic from labels")(_replayed
 query("z03_poll_batches", "select distinct doc_id batch_id from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)")(
     lambda spark, sf: Z.poll_batches(table(spark, sf, "documents").select(F.col("doc_id").alias("batch_id"), F.when(F.col("doc_id") % 2 == 0, "completed").otherwise("running").alias("status")), table(spark, sf, "labels").select(F.col("doc_id").alias("batch_id"))).select("batch_id")
 )
-query("z04_backoff", "select k::int k, least(30 * power(2, k - 1), 300)::int quota, coalesce(case when k < 5 then 2 * k end, -1)::int other from (select unnest(range(1, 9)) k)")(
-    lambda spark, sf: spark.range(1, 9).select(F.col("id").cast("int").alias("k")).select("k", Z.backoff_seconds("k", F.lit("quota")).alias("quota"), F.coalesce(Z.backoff_seconds("k", F.lit("other")), F.lit(-1)).alias("other"))
+query("z04_backoff", "select event_id, case when event_type = 'click' then least(30 * power(2, user_id % 8), 300)::int when event_type <> 'view' and user_id % 8 + 1 < 5 then (2 * (user_id % 8 + 1))::int end wait from events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", Z.backoff_seconds(F.col("user_id") % 8 + 1, F.when(F.col("event_type") == "click", "quota").when(F.col("event_type") == "view", "safety").otherwise("other")).alias("wait"))
 )

@@ -60,13 +60,16 @@ def read_results(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("total", F.coalesce("_told", "_n")).drop("_told", "_n")
 
 
-@query("s07_discover", "select technique, model, dataset, sub from (values ('rail_fence', 'm1', 'd', ''), ('baseline', 'm1', 'd', 'perturb'), ('wrappers', 'm2', 'e', '')) v(technique, model, dataset, sub)")
+@query("s07_discover", WG + "select distinct coalesce(technique, 'none') technique, coalesce(model, 'none') model, 'd' dataset, '' sub from g where coalesce(model, 'none') > (select min(coalesce(model, 'none')) from g)")
 def discover(spark: SparkSession, sf: str) -> DataFrame:
-    """Four folders with one file each, one of them to be ignored."""
-    at = _at(spark, "s07")
-    for place in ("rail_fence/results/m1/d", "baseline/results/m1/d/perturb", "wrappers/results/m2/e", "not_paper/results/m1/d", "wrappers/results/left_out/e"):
-        spark.range(1).coalesce(1).write.json(f"{at}/{place}")
-    found = S.discover(spark, at, ignored_models=("left_out",))
+    """The runs of the graded table as files in folders by technique and model; one model's are ignored."""
+    at, raw = _at(spark, "s07"), _at(spark, "s07-raw")
+    rows = _rows(spark, sf).select(F.coalesce("technique", F.lit("none")).alias("technique"), F.coalesce("original", F.lit("none")).alias("model"), "id", "correct")
+    rows.repartition("technique", "model").write.partitionBy("technique", "model").json(raw)
+    runs = [tuple(r) for r in spark.read.json(raw).select("technique", "model").distinct().collect()]
+    for technique, model in runs:
+        S.move(spark, f"{raw}/technique={technique}/model={model}", f"{at}/{technique}/results/{model}/d")
+    found = S.discover(spark, at, ignored_models=(min(m for _, m in runs),) if runs else ())
     return found.select(S.parse_path("path", at.removeprefix("file://")).alias("p")).select("p.technique", "p.model", "p.dataset", "p.sub").distinct()
 
 
@@ -109,13 +112,13 @@ def write_json(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(*rows.columns, *[c for c in back.columns if c not in rows.columns])
 
 
-@query("s22_resume_point", "select 'log' || k file, k::int last from (select unnest(range(1, 9)) k)")
+@query("s22_resume_point", "select 'log' || doc_id file, (n_chars % 6 + 1)::int last from documents")
 def resume_point(spark: SparkSession, sf: str) -> DataFrame:
-    """Logs of 1 to 8 closed sample blocks and one that is still open."""
-    k, n = F.col("id") + 1, F.col("n")
-    lines = spark.range(8).select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * k)).alias("n"))
+    """A log a document: as many closed sample blocks as its length says, and one that is still open."""
+    k, n = F.col("n_chars") % 6 + 1, F.col("n")
+    lines = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * k)).alias("n"))
     value = F.when(n % 2 == 0, F.format_string("=== SAMPLE %d DILUTION SUMMARY", F.floor(n / 2) + 1)).otherwise("-" * 20)
-    return S.resume_point(lines.select(F.format_string("log%d", k).alias("file"), "n", value.alias("value")))
+    return S.resume_point(lines.select(F.format_string("log%d", "doc_id").alias("file"), "n", value.alias("value")))
 
 
 @query("s23_report", WG + "select 'model  total  correct' line, 0::bigint n union all select rpad(model, 5, ' ') || '  ' || lpad(count(*)::varchar, 5, ' ') || '  ' || lpad(count(*) filter (correct)::varchar, 7, ' '), row_number() over (order by model) from g where model is not null group by model")

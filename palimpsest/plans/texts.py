@@ -205,7 +205,7 @@ query("r03_undo_wrappers", _prob_sql(r"trim(regexp_replace(problem, '\s+', ' ',
 query("r04_deinterleave_lines", f"with {PAIR_SQL}, l as (select idx, {_LINES('trim(a)')} x, {_LINES('trim(b)')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(lambda: P.deinterleave_lines(P.interleave_lines("a", "b"))))
 query("r05_deinterleave_words", f"with {PAIR_SQL}, l as (select idx, {WORDS('a')} x, {WORDS('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, ' ') x from l")(_pairs(lambda: P.deinterleave_words(P.interleave_words("a", "b"))))
 query("r06_deinterleave_symbols", f"with {PAIR_SQL}, l as (select idx, {CH('a')} x, {CH('b')} y from q) select idx, array_to_string({_CYCLE('x', 'y', 'x[i % len(x) + 1]')}, '') x from l")(_pairs(lambda: P.deinterleave_symbols(P.interleave_symbols("a", "b"))))
-query("r07_sentence_reversal", "select doc_id, text x from documents where not starts_with(text, '.')")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", P.reverse_sentences(P.reverse_sentences("text")).alias("x")))
+query("r07_sentence_reversal", "with r as (select doc_id, list_reverse(string_split(text, '.')) r from documents), o as (select doc_id, list_reverse(case when r[1] = '' then r[2:] || [''] else r end) r from r) select doc_id, array_to_string(case when r[1] = '' then r[2:] || [''] else r end, '.') x from o")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", P.reverse_sentences(P.reverse_sentences("text")).alias("x")))
 query("r08_word_reversal", _doc_sql("text"))(_docs(lambda: P.reverse_words(P.reverse_words("text"))))
 query("r09_split_reversal", _doc_sql("text"))(_docs(lambda: P.split_reverse(P.split_reverse("text"))))
 query("r10_read_rail_fence", _prob_sql("problem"))(_probs(lambda: P.read_rail_fence(P.rail_fence("problem"))))
@@ -271,8 +271,8 @@ query("b08_tolerance", f"with {_CONV}, t as (select conv_id, sum(n) n from c gro
 )
 query("b10_judge", "select doc_id, contains(upper(text), 'YES') yes from documents")(_docs(lambda: B.judge_verdict("text"), "yes"))
 query("b11_distractors")(lambda spark, sf: problems(spark, sf).select("idx", L.distractor(5, F.col("idx")).alias("x")))
-query("b12_static_bins")(lambda spark, sf: L.static_distractors(spark))
-query("b13_fill_context", "with c as (select conv_id, turn, length(text) // 4 n from conversations where conv_id < 40), r as (select *, sum(n) over (order by conv_id, turn) s from c) select conv_id, turn, s::bigint total from r where s - n < 2000")(
+query("b12_static_bins")(lambda spark, sf: L.static_distractors(problems(spark, sf)))
+query("b13_fill_context", "with c as (select conv_id, turn, length(text) // 4 n from conversations), r as (select *, sum(n) over (order by conv_id, turn) s from c) select conv_id, turn, s::bigint total from r where s - n < 2000")(
     lambda spark, sf: B.fill_context(table(spark, sf, "conversations").withColumn("o", F.struct("conv_id", "turn")), 2000, "o").select("conv_id", "turn", "total")
 )
 query("b14_token_counts", f"select doc_id, len({WORDS('text')})::int w, floor(len({WORDS('text')}) * 1.3)::int w13, (length(text) // 4)::int c4 from documents")(

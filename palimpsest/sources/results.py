@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col
-from .scratch import delete, exists
+from .scratch import delete, exists, move
 
 SUMMARY = (
     "STRUCT<accuracy:DOUBLE,accuracy_attempted:DOUBLE,correct:BIGINT,total:BIGINT,attempted:BIGINT,refusals:BIGINT,failures:BIGINT,max_token_cutoffs:BIGINT,"

@@ -21,6 +21,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder; the folders above its new place are made."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def folder(spark: SparkSession) -> str:
     """This application's folder for files under ``spark.checkpoint.dir``, deleted when the process ends.
     A local session without that setting gets a temporary one; on a cluster it is an error."""
