@@ -244,6 +244,32 @@ query("s09_names", "select page_id, case page_id % 3 when 0 then 'Qwen/Q_3' when
 query("s15_encode_requests", """select conv_id::varchar || '_0' custom_id, '{"custom_id":"' || conv_id || '_0","method":"POST","url":"/v1/chat/completions","body":{"model":"m","messages":[{"role":"user","content":"c' || conv_id || '"}],"max_tokens":9,"temperature":0.6,"top_p":0.95}}' request from (select distinct conv_id from conversations)""")(
     lambda spark, sf: S.encode_requests(table(spark, sf, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.lit(0).alias("sample_idx"), F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("content"))).alias("messages")), "openai", "m", 9)
 )
+
+
+def _requests(provider, cached=None):
+    """Requests of four messages a conversation, one of the system."""
+
+    def run(spark, sf):
+        said = lambda role, *parts: F.struct(F.lit(role).alias("role"), F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("content"))
+        c = F.col("conv_id")
+        msgs = F.array(said("system", "be brief ", c % 3), said("user", "c", c), said("assistant", "ok"), said("user", "and ", c + 1))
+        jobs = table(spark, sf, "conversations").select("conv_id").distinct().select(c.alias("id"), (c % 2).cast("int").alias("sample_idx"), msgs.alias("messages"))
+        return S.encode_requests(jobs, provider, "m", 9, cached=cached)
+
+    return run
+
+
+def _request_sql(body: str) -> str:
+    return f"select conv_id || '_' || conv_id % 2 custom_id, {body} request from (select distinct conv_id from conversations)"
+
+
+_CONTENTS = """'{"request":{"contents":[{"role":"user","parts":[{"text":"c' || conv_id || '"}]},{"role":"model","parts":[{"text":"ok"}]},{"role":"user","parts":[{"text":"and ' || conv_id + 1 || '"}]}],"generation_config":{"temperature":0.6,"""
+_END = """ || '"id":"' || conv_id || '_' || conv_id % 2 || '"}'"""
+_SYSTEM = """'"system_instruction":{"parts":[{"text":"be brief ' || conv_id % 3 || '"}]}},'"""
+query("s15_encode_anthropic", _request_sql("""'{"custom_id":"' || conv_id || '_' || conv_id % 2 || '","params":{"model":"m","max_tokens":9,"system":"be brief ' || conv_id % 3 || '","messages":[{"role":"user","content":"c' || conv_id || '"},{"role":"assistant","content":"ok"},{"role":"user","content":"and ' || conv_id + 1 || '"}],"thinking":{"type":"adaptive"},"output_config":{"effort":"max"}}}'"""))(_requests("anthropic"))
+query("s15_encode_google", _request_sql(_CONTENTS + """"max_output_tokens":9},' || """ + _SYSTEM + _END))(_requests("google"))
+query("s15_encode_google_cached", _request_sql(_CONTENTS + """"max_output_tokens":9},"cached_content":"cache/7"},'""" + _END))(_requests("google", "cache/7"))
+query("s15_encode_google_vertex", _request_sql(_CONTENTS + """"top_p":0.95,"max_output_tokens":9,"thinking_config":{"thinking_level":"HIGH"}},' || """ + _SYSTEM + _END))(_requests("google_vertex"))
 query("s16_decode_results", "select doc_id::varchar custom_id, case doc_id % 3 when 0 then 'ERROR: Refused by model safety filter' when 1 then 'a' || chr(10) || chr(10) || lang else 'ERROR: ' || source end as output, doc_id % 3 = 0 is_refusal from documents")(
     lambda spark, sf: S.decode_results(
         table(spark, sf, "documents").select(

@@ -112,9 +112,10 @@ def custom_id(id_, sample) -> Column:
     return F.concat_ws("_", col(id_).cast("string"), F.coalesce(col(sample), F.lit(0)).cast("string"))
 
 
-def encode_requests(jobs: DataFrame, provider: str, model: str, max_tokens: int | None = None, temperature: float = 0.6, top_p: float = 0.95) -> DataFrame:
+def encode_requests(jobs: DataFrame, provider: str, model: str, max_tokens: int | None = None, temperature: float = 0.6, top_p: float = 0.95, cached: str | None = None) -> DataFrame:
     """(custom_id, request), one JSON line a job of ``jobs(id, sample_idx, messages)``; provider is openai,
-    anthropic or google."""
+    anthropic, google or google_vertex.  ``cached`` names a context cache of google's, which holds the
+    system prompt, so requests leave that out."""
     key = custom_id("id", "sample_idx").alias("custom_id")
     msgs = F.col("messages")
     lit = lambda x, n: F.lit(x).alias(n)
@@ -132,12 +133,16 @@ def encode_requests(jobs: DataFrame, provider: str, model: str, max_tokens: int
         rest = F.filter(msgs, lambda m: m["role"] != "system")
         params = F.struct(lit(model, "model"), lit(max_tokens, "max_tokens"), system.alias("system"), rest.alias("messages"), F.struct(lit("adaptive", "type")).alias("thinking"), F.struct(lit("max", "effort")).alias("output_config"))
         body = F.struct(key, params.alias("params"))
-    elif provider == "google":
+    elif provider in ("google", "google_vertex"):
         role = lambda m: F.when(m["role"] == "assistant", "model").otherwise(m["role"])
         contents = F.transform(F.filter(msgs, lambda m: m["role"] != "system"), lambda m: F.struct(role(m).alias("role"), F.array(F.struct(m["content"].alias("text"))).alias("parts")))
         system = F.try_element_at(F.filter(msgs, lambda m: m["role"] == "system"), F.lit(-1))["content"]
         parts = F.when(system.isNotNull(), F.struct(F.array(F.struct(system.alias("text"))).alias("parts")))
-        request = F.struct(contents.alias("contents"), F.struct(lit(temperature, "temperature"), lit(max_tokens, "max_output_tokens")).alias("generation_config"), parts.alias("system_instruction"))
+        config = [lit(temperature, "temperature"), lit(max_tokens, "max_output_tokens")]
+        if provider == "google_vertex":
+            config = [config[0], lit(top_p, "top_p"), config[1], F.struct(lit("HIGH", "thinking_level")).alias("thinking_config")]
+        first = lit(cached, "cached_content") if cached and provider == "google" else parts.alias("system_instruction")
+        request = F.struct(contents.alias("contents"), F.struct(*config).alias("generation_config"), first)
         body = F.struct(request.alias("request"), key.alias("id"))
     else:
         raise ValueError(f"unknown provider: {provider}")
