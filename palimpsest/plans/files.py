@@ -42,16 +42,19 @@ _ROWS_SQL = WG + "select technique, doc_id::varchar id, model original, extracte
 
 @query("s06_read_results", WG + "select technique, doc_id::varchar id, model original, extracted, correct, tokens output_tokens, count(*) over (partition by technique) total from g")
 def read_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs as files of the three shapes, in turn; the summary of a list is joined back by its file."""
-    row = F.struct("id", "original", "extracted", "correct", "output_tokens")
-    runs = _rows(spark, sf).groupBy("technique").agg(F.collect_list(row).alias("r"), F.count("*").alias("n"))
+    """Runs as files of the three shapes, in turn, written line by line; the summary of a list is joined back
+    by its file."""
+    row = F.to_json(F.struct("id", "original", "extracted", "correct", "output_tokens"))
+    w = Window.partitionBy("technique").orderBy("id")
+    last = F.lead("id").over(w).isNull()
+    lines = _rows(spark, sf).select("technique", "id", row.alias("row"), F.row_number().over(w).alias("n"), last.alias("last"))
     shape = F.crc32(F.col("technique").cast("binary")) % 3
-    summary = F.concat(F.lit('{"summary":{"total":'), F.col("n").cast("string"), F.lit("}}"))
-    listed = F.concat(F.substring(F.to_json("r"), F.lit(1), F.length(F.to_json("r")) - 1), F.lit(","), summary, F.lit("]"))
-    wrapped = F.concat(F.lit('{"results":'), listed, F.lit(',"metadata":{}}'))
-    mapped = F.to_json(F.map_from_entries(F.transform("r", lambda x: F.struct(x["id"], x))))
+    head = F.when(F.col("n") > 1, "").when(shape == 0, "[").when(shape == 1, '{"results":[').otherwise("{")
+    own = F.when(shape == 2, F.concat(F.lit('"'), "id", F.lit('":'), "row")).otherwise(F.col("row"))
+    summary = F.concat(F.lit(',{"summary":{"total":'), F.col("n").cast("string"), F.lit("}}]"))
+    tail = F.when(~F.col("last"), ",").when(shape == 0, summary).when(shape == 1, F.concat(summary, F.lit(',"metadata":{}}'))).otherwise("}")
     at = _at(spark, "s06")
-    runs.select("technique", F.when(shape == 0, listed).when(shape == 1, wrapped).otherwise(mapped).alias("value")).write.partitionBy("technique").text(at)
+    lines.select("technique", F.concat(head, own, tail).alias("value")).write.partitionBy("technique").text(at)
     rows, totals = S.read_results(spark, f"{at}/*")
     run = F.regexp_extract("path", "technique=([^/]+)/", 1).alias("technique")
     counted = rows.select(run, "id", "original", "extracted", "correct", "output_tokens")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from .jsonsplit import json_records
 from .scratch import delete, exists, move
 
 SUMMARY = (
@@ -57,13 +58,10 @@ def model_id(folder) -> Column:
 
 def read_results(spark: SparkSession, path, schema: str = RESULT_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """(rows, summaries) of JSON result files of any of three shapes: a list, {"results": [...]} or a
-    map of rows.  The summary object at a list's end is no row."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("v"))
-    kind = f"ARRAY<STRUCT<{_as_struct(schema)}>>"
-    wrapped = F.from_json("v", f"STRUCT<results:{kind}>")["results"]
-    as_map = F.map_values(F.from_json("v", f"MAP<STRING,STRUCT<{_as_struct(schema)}>>"))
-    items = F.when(F.col("v").startswith("["), F.from_json("v", kind)).otherwise(F.coalesce(wrapped, as_map))
-    rows = raw.select("path", F.posexplode(items).alias("pos", "r")).select("path", "pos", "r.*")
+    map of rows; pos orders the rows of a file.  The summary object at a list's end is no row.  Files are
+    split between tasks (see jsonsplit)."""
+    record = F.from_json("text", f"STRUCT<{_as_struct(schema)}>").alias("r")
+    rows = json_records(spark, path).select("path", "pos", record).select("path", "pos", "r.*")
     return rows.where("summary IS NULL").drop("summary"), rows.where("summary IS NOT NULL").select("path", "summary.*")
 
 
