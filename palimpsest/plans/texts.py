@@ -15,6 +15,7 @@ from ..functions import distance as D
 from ..functions import equivalence as E
 from ..functions import extract as X
 from ..functions import grade as G
+from ..functions import latexswap
 from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import perturb as P
@@ -196,6 +197,13 @@ query("t02_opposites")(_tagged(lambda: L.opposites("problem", key="idx", tags="t
 query("t03_wrappers")(_tagged(lambda: L.wrappers("problem", key="idx", tags="tags")))
 query("t03_tag_shares")(lambda spark, sf: tagger.tag_shares(tagger.with_tags(table(spark, sf, "documents"), "text", tagger.learn(table(spark, sf, "documents")))).withColumn("share", F.round("share", 6)))
 query("t16_context_saturation")(_probs(lambda: L.context_saturation("problem", "idx")))
+# documents with math of every scope round their text; the renaming has no SQL, what is done and undone has
+_LATEX = lambda: F.concat(F.lit("Let $x_{"), F.col("doc_id") % 9, F.lit("} + \\frac{a}{b} \\text{ so }$. "), F.replace("text", F.lit("$"), F.lit("")), F.lit(" \\[ y=\\sqrt{x}, \\] \\(z\\) \\begin{align*} u&=v \\end{align*} [asy] draw(p); label(\"$q$\", (0,0)); [/asy]"))
+query("t19_math_variables", "select doc_id, 'a,b,q,u,v,x,y,z' x from documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.array_join(latexswap.math_variables(_LATEX()), ",").alias("x")))
+query("t19_swap_math")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", latexswap.swap_math_variables(_LATEX(), F.col("doc_id")).alias("x")))
+query("t19_undo_math", "select doc_id, replace(text, '$', '') x from documents")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", latexswap.undo_math_variables(latexswap.swap_math_variables(_LATEX(), F.col("doc_id")), F.col("doc_id")).alias("t")).select("doc_id", F.regexp_extract("t", r"(?s)so \}\$\. (.*) \\\[ y=", 1).alias("x"))
+)
 query("t19_swap_variables")(_probs(lambda: L.swap_variables(F.concat("problem", F.lit(" $x + ab + \\frac{y}{Z}$")), key="idx")))
 query("t20_person_names")(lambda spark, sf: problems(spark, sf).select(F.explode(L.person_names("problem")).alias("name")).distinct().orderBy("name"))
 
