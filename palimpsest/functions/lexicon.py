@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .core import WS, bound, choice, col, let, strip
+from .systems import distractor, system
 
 TAGS = ("ADJ", "NUM", "VERB", "NOUN", "PROPN", "MATH", "SPACE", "PUNCT", "OTHER")
 
@@ -211,24 +212,6 @@ def embed_index(t, index, *seed) -> Column:
     return let(sentences(t), place)
 
 
-# Fixed value: the placeholder variables of generated systems.
-DUMMY_VARIABLES = ["x", "y", "n", "k", "A", "B", "S"]
-_DOMAINS = (("a tank", "litres"), ("a train", "miles"), ("a shop", "boxes"), ("a garden", "trees"), ("a bank", "coins"))
-_OPERATIONS = (("is increased by", "+"), ("is decreased by", "-"), ("is multiplied by", "*"), ("is divided by", "/"))
-
-
-def distractor(*seed) -> Column:
-    """One generated system of a start value, two operations, an equality and a question, by template."""
-    pick = lambda options, tag: F.element_at(F.array(*[F.lit(o) for o in options]), choice(len(options), *seed, tag) + 1)
-    v, u = pick(DUMMY_VARIABLES, "v"), pick(DUMMY_VARIABLES, "u")
-    i = choice(len(_DOMAINS), *seed, "d")
-    thing = F.element_at(F.array(*[F.lit(d[0]) for d in _DOMAINS]), i + 1)
-    unit = F.element_at(F.array(*[F.lit(d[1]) for d in _DOMAINS]), i + 1)
-    op = lambda tag: pick([o[0] for o in _OPERATIONS], tag)
-    n = lambda tag: (2 + choice(97, *seed, tag)).cast("string")
-    return F.concat(F.lit("Let "), v, F.lit(" be the "), unit, F.lit(" of "), thing, F.lit(". At first "), v, F.lit(" is "), n("n0"), F.lit(". Then "), v, F.lit(" "), op("o1"), F.lit(" "), n("n1"), F.lit(". Then it "), op("o2"), F.lit(" "), n("n2"), F.lit(". Set "), u, F.lit(" equal to "), v, F.lit(". What is "), u, F.lit("?"))
-
-
 def context_saturation(t, key, num_distractors: int = 4, seed: int = 42) -> Column:
     """Generated systems round an instruction that names the target, then the target, each with its
     hidden index."""
@@ -250,8 +233,7 @@ def static_distractors(keys: DataFrame, bins: int = 20, key: str = "idx") -> Dat
     sorts all of a variable's keys."""
     from ..operators.pairing import indexed
 
-    pick = lambda options, *of: F.element_at(F.array(*[F.lit(o) for o in options]), choice(len(options), *of) + 1)
-    rows = keys.select(F.col(key).alias("pos"), pick([d[0] for d in _DOMAINS[:3]], 7, F.col(key), "domain").alias("domain"), pick(DUMMY_VARIABLES, 7, F.col(key), "variable").alias("variable"), distractor(7, F.col(key)).alias("text"))
+    rows = keys.select(key, system(7, F.col(key)).alias("_s")).select(F.col(key).alias("pos"), F.col("_s.domain").alias("domain"), F.col("_s.a").alias("variable"), F.col("_s.text").alias("text"))
     placed = indexed(rows.withColumn("_o", F.struct("variable", "pos")), "_o")
     first = placed.groupBy("variable").agg(F.min("idx").alias("_first"))
     nth = F.col("idx") - F.col("_first")

@@ -20,6 +20,7 @@ from ..functions import lexicon as L
 from ..functions import normalize as N
 from ..functions import perturb as P
 from ..functions import prompt as B
+from ..functions import systems
 from ..functions import tokens as T
 from ..functions.core import words
 from ..operators import neighbours, pairing
@@ -278,7 +279,8 @@ query("b08_tolerance", f"with {_CONV}, t as (select conv_id, sum(n) n from c gro
     lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(B.token_count("text")).alias("n")).select("conv_id", B.within_tolerance("n", F.lit(200), 0.01).alias("near"), B.within_tolerance("n", F.lit(200), 0.02).alias("passes"))
 )
 query("b10_judge", "select doc_id, contains(upper(text), 'YES') yes from documents")(_docs(lambda: B.judge_verdict("text"), "yes"))
-query("b11_distractors")(lambda spark, sf: problems(spark, sf).select("idx", L.distractor(5, F.col("idx")).alias("x")))
+query("b11_distractors")(lambda spark, sf: problems(spark, sf).select("idx", systems.distractor(5, F.col("idx")).alias("x")))
+query("b11_systems")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", systems.system(5, F.col("doc_id")).alias("s")).select("doc_id", "s.*"))
 query("b12_static_bins")(lambda spark, sf: L.static_distractors(problems(spark, sf)))
 query("b13_fill_context", "with c as (select conv_id, turn, length(text) // 4 n from conversations), r as (select *, sum(n) over (order by conv_id, turn) s from c) select conv_id, turn, s::bigint total from r where s - n < 2000")(
     lambda spark, sf: B.fill_context(table(spark, sf, "conversations").withColumn("o", F.struct("conv_id", "turn")), 2000, "o").select("conv_id", "turn", "total")
