@@ -23,6 +23,7 @@ from ..functions import prompt as B
 from ..functions import systems
 from ..functions import tokens as T
 from ..functions.core import words
+from ..operators import names as names_
 from ..operators import neighbours, pairing
 from ..operators import tagging as tagger
 from ..sources import problems as S
@@ -206,6 +207,15 @@ query("t19_undo_math", "select doc_id, replace(text, '$', '') x from documents")
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", latexswap.undo_math_variables(latexswap.swap_math_variables(_LATEX(), F.col("doc_id")), F.col("doc_id")).alias("t")).select("doc_id", F.regexp_extract("t", r"(?s)so \}\$\. (.*) \\\[ y=", 1).alias("x"))
 )
 query("t19_swap_variables")(_probs(lambda: L.swap_variables(F.concat("problem", F.lit(" $x + ab + \\frac{y}{Z}$")), key="idx")))
+_NAMES_SQL = rf"""with c as (select doc_id, regexp_replace(text, '\$[^$]+\$', ' ', 'g') t from documents),
+i as (select w, 1 cap from (select unnest(regexp_extract_all(t, '[a-z0-9,;:)] ([A-Z][a-z]+)', 1)) w from c) union all
+  select upper(w[1]) || w[2:], 0 from (select unnest(regexp_extract_all(t, '\b([a-z]+)\b', 1)) w from c)),
+names as (select w, sum(cap)::bigint inside, (count(*) - sum(cap))::bigint plain from i group by w having sum(cap) >= 2 and sum(cap) >= 0.9 * count(*)), """
+query("t20_learned_names", _NAMES_SQL.rstrip(", ") + " select w as name, inside, plain from names")(lambda spark, sf: names_.learn_names(table(spark, sf, "documents")))
+query("t20_name_mentions", _NAMES_SQL + rf"""r as (select distinct doc_id, regexp_replace(unnest(regexp_extract_all(t, '\b([A-Z][a-z]+(?: [A-Z][a-z]+){{0,2}})\b', 1)), '^(?:{"|".join(L.OPENERS)})(?: |$)', '') run from c),
+k as (select doc_id, run from r, (select list(w) ns from names) where run <> '' and list_has_all(ns, string_split(run, ' '))) select doc_id, string_agg(run, ',' order by run) as names from k group by doc_id""")(
+    lambda spark, sf: names_.name_mentions(table(spark, sf, "documents"), names_.learn_names(table(spark, sf, "documents")), "doc_id").withColumn("names", F.array_join("names", ","))
+)
 query("t20_person_names")(lambda spark, sf: problems(spark, sf).select(F.explode(L.person_names("problem")).alias("name")).distinct().orderBy("name"))
 
 query("r01_undo_not_not", _prob_sql("problem"))(_probs(lambda: P.undo_not_not(L.not_not("problem"))))
