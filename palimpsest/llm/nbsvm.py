@@ -143,16 +143,18 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, c: float = 1.0, epochs: i
     """A model from ``labelled(doc_id, text, label)`` with label 0 or 1.
 
     The class counts behind the ratios are of all rows; the linear model is fit on a bounded
-    sample, the fit_rows rows (about) whose doc_id and text hash least, at least the least of
-    all; rows with the same words and label count once there.  Rows with a null label are left
-    out; a null text is empty.  Without rows of both classes every score is the share of label 1
-    (0.5 without rows).
+    sample, the fit_rows rows (about) whose doc_id and text hash least; rows with the same words
+    and label count once there.  Rows with a null label are left out; a null text is empty.
+    Without rows of both classes in the sample every score is the share of label 1 among all
+    rows (0.5 without rows).
     """
     labelled = labelled.where("label in (0, 1)")
     h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit(seed))
-    total, least = labelled.agg(F.count("*"), F.min(h)).first()
+    # without the texts, which would else be moved once more
+    sizes = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
+    total = sum(sizes.values())
     part = min(1.0, fit_rows / max(1, total))
-    cut = 2**63 - 1 if part == 1 else max(least, int(-(2**63) + part * (2**64 - 1)))
+    cut = 2**63 - 1 if part == 1 else int(-(2**63) + part * (2**64 - 1))
     rows = labelled.select(F.col("label").cast("int").alias("label"), (h <= F.lit(cut)).alias("fit"), "text")
     gathered = keep(rows.mapInArrow(_gather, "block int, label int, data binary"), "nbsvm")
     schema = "block int, label int, data binary"
@@ -165,7 +167,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, c: float = 1.0, epochs: i
     taken = sorted(((r["label"], bytes(r["data"])) for r in taken))
     y = np.array([2 * label - 1 for label, _ in taken], dtype=float)
     if not len(y) or abs(y.sum()) == len(y):
-        share = float((y > 0).mean()) if len(y) else 0.5
+        share = sizes.get(1, 0) / total if total else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return {"w": np.zeros(FEATURES + 1, dtype=np.float32), "a": 0.0, "b": float(np.log(share / (1 - share)))}
     p, q = counts[1] + 1, counts[0] + 1
