@@ -19,11 +19,11 @@ from .shared import BLANK, keep
 #: Coordinates (a power of two), k-mers in a coordinate's tuple, words in a k-mer.
 COORDINATES, PICK, K = 32, 2, 2
 _LAST = 2**63 - 1
-_PLACE = 24  # bits for a k-mer's place in the text; the 39 bits above are its hash
+_PLACE = 31  # bits for a k-mer's place in the text, as many as an array has places; the 32 bits above are its hash
 
 
 def _pack(h: Column, place: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(h, 25), _PLACE) + place
+    return F.shiftleft(F.shiftrightunsigned(h, _PLACE + 1), _PLACE) + place
 
 
 def _value(x: Column) -> Column:

@@ -6,9 +6,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from palimpsest.llm import balltree, repair, simhash
+from palimpsest.llm import balltree, nbsvm, ordermin, repair, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, fp long, tile long, least long, root long, node long"
@@ -238,3 +239,79 @@ def test_a_long_conversation(spark):
     table = spark.createDataFrame([(1, i, "user", f"turn {i} " + ("x" * 2_000_000 if i == 5 else "") + ".", "k", False, 1, "y") for i in range(n)], TALK)
     (r,) = repair.repair(table).collect()
     assert r.cost == 3 * n / 2 and r.audit == "KR" * (n // 2)
+
+
+def spark_hash(parts, seed=42):
+    """Spark's xxhash64 of strings, longs (8 bytes) and ints (4 bytes), one after the other."""
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x, seed)
+    return seed
+
+
+def plain_order_minhash(text, coordinates=32, k=2, pick=2):
+    """Order MinHash by definition: sorted numbered k-mers, looked at from equally spaced points of the circle."""
+    w = [x.encode() for x in WORD.findall(text or "")]
+    if not w:
+        return "0" * 8 * coordinates
+    value = lambda h: h >> 32
+    places: dict = {}
+    for i in range(max(1, len(w) - k + 1)):
+        places.setdefault(value(spark_hash(w[i : i + k])), []).append(i)
+    found = []
+    for v, at in places.items():
+        found += [(v if r == 0 else value(spark_hash([v.to_bytes(8, "little"), r.to_bytes(4, "little")])), i) for r, i in enumerate(at)]
+    found.sort()
+    out = []
+    for c in range(coordinates):
+        ahead = ([x for x in found if x[0] >> 27 >= c] + found + found)[:pick]
+        ordered = [v for _, v in sorted((i, v) for v, i in ahead)]
+        out.append(f"{spark_hash([v.to_bytes(8, 'little') for v in ordered]) & 0xFFFFFFFF:08X}")
+    return "".join(out)
+
+
+def test_order_minhash_against_the_definition(spark):
+    """Fingerprints and likenesses of texts with repeated, few, many and no words."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c é", "dd\n"] if i % 3 else [str(j) for j in range(500)]) for _ in range(rng.randrange(1, 300))) for i in range(30)]
+    texts += ["", None, " \t", "one", "one two", "one one one one", "x" * 3000, "a b " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(ordermin.fingerprints(df).collect(), key=lambda r: r.doc_id)
+    share = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, 256, 8)) / 32
+    for i, r in enumerate(got):
+        t, after = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        assert r.fingerprint == plain_order_minhash(t) and r.edited_fingerprint == plain_order_minhash(edited)
+        assert r.near_edited == share(r.fingerprint, r.edited_fingerprint) and r.near_next == share(r.fingerprint, plain_order_minhash(after))
+
+
+def test_quality_weights_against_a_plain_solver(spark):
+    """Ratios by definition; the weights reach the least hinge loss, as a projected gradient finds it."""
+    rng = random.Random(4)
+    good, bad, both = ["clear", "fine", "sound"], ["spam", "junk", "win"], ["the", "of", "a", "to", "it"]
+    texts = [" ".join(rng.choice((good if i % 2 else bad) + both * 3) for _ in range(12)) for i in range(60)]
+    y = np.array([2 * (i % 2) - 1 for i in range(60)], dtype=float)
+    y[:6] *= -1  # not separable
+    rows = [(i, t, int(y[i] > 0)) for i, t in enumerate(texts)]
+    model = nbsvm.fit(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3), fit_rows=10_000, epochs=200)
+    feats = nbsvm.features(pa.array(texts))
+    counts = np.ones((2, nbsvm.FEATURES))
+    for f, label in zip(feats, y):
+        counts[int(label > 0), f] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    seen = np.unique(np.concatenate(feats))
+    x = np.zeros((60, len(seen) + 1))
+    for i, f in enumerate(feats):
+        x[i, np.searchsorted(seen, f)] = ratio[f] / max(1.0, np.sqrt(len(f)))
+    x[:, -1] = 1
+    w = np.append(model["w"][seen].astype(float) / np.where(ratio[seen] == 0, 1, ratio[seen]), model["w"][nbsvm.FEATURES])
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    q, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(60)
+    step = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, 1)
+    best = loss((alpha * y) @ x)
+    assert loss(w) <= best * 1.03 and np.all(np.delete(model["w"][: nbsvm.FEATURES], seen) == 0)
+    score = {r.doc_id: r.score for r in nbsvm.score(spark.createDataFrame(rows, "doc_id long, text string, label int"), model).collect()}
+    for i in range(60):
+        assert abs(score[i] - 1 / (1 + np.exp(-(model["a"] * (x[i] @ w) + model["b"])))) < 1e-5
