@@ -53,8 +53,10 @@ def features(texts: pa.Array) -> list[np.ndarray]:
     h, first = word_hashes(buf, offs, lower=True)
     s, e, _ = word_spans(buf, offs)
     shape = _shapes(buf, s, e)
-    shape[1:] = shape[1:] * U64(2) + (h[1:] == h[:-1])
-    shape = mix(shape + U64(0xABCDEF))
+    again = np.zeros(len(h), dtype=bool)  # the word before, of the same text
+    again[1:] = h[1:] == h[:-1]
+    again[first[:-1][first[:-1] < len(h)]] = False
+    shape = mix(shape * U64(2) + again.astype(U64) + U64(0xABCDEF))
     kinds = [mix(h), ngrams(h, 2)] + [mix(ngrams(shape, k) + U64(k)) for k in (1, 2, 3)]
     spans = (1, 2, 1, 2, 3)
     out = []
