@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .core import WS, bound, choice, col, let, strip
+from .prompt_texts import TERMS_TEMPLATE
 from .systems import distractor, system
 
 TAGS = ("ADJ", "NUM", "VERB", "NOUN", "PROPN", "MATH", "SPACE", "PUNCT", "OTHER")
@@ -269,13 +270,6 @@ def person_names(t) -> Column:
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.isin(OPENERS))))
 
 
-# The extraction prompt's categories; the wording is this engine's own.
-TERMS_TEMPLATE = (
-    "Task:\nExtract the load-bearing terms of the input problem as JSON with the keys variables, entities, operators and adjectives, "
-    "each a list of strings. Operators are the symbols +, -, *, / for operations the text names.\n\nInput Problem:\n{problem_text}\n"
-)
-
-
 def terms_prompt(t) -> Column:
     """T18"""
     return F.replace(F.lit(TERMS_TEMPLATE), F.lit("{problem_text}"), col(t))

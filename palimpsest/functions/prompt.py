@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .core import choice, col, let, strip, words
 from .extract import CLOSE, OPEN
-from .prompt_texts import DECODE_RULES, PROTOCOL_AGENT, PROTOCOL_MODEL, SOLVE_RULES, SYSTEM_PROMPT
+from .prompt_texts import DECODE_RULES, JUDGE_SYSTEM, JUDGE_TEMPLATE, PROTOCOL_AGENT, PROTOCOL_MODEL, SOLVE_RULES, SYSTEM_PROMPT
 
 NO_RULE = "No Transformation. Solve the problem as is."
 
@@ -113,11 +113,15 @@ def within_tolerance(actual, target, tolerance: float) -> Column:
     return F.abs(col(actual) - col(target)) <= tolerance * col(target)
 
 
-def judge_prompt(original, recovered) -> Column:
-    """B10"""
-    return F.concat(
-        F.lit("Compare the two problem statements. Answer YES if they ask for the same thing, NO otherwise.\n\nORIGINAL:\n"), col(original), F.lit("\n\nRECOVERED:\n"), col(recovered)
-    )
+def judge_prompt(original, output) -> Column:
+    """The judge's question about a problem and a model's output."""
+    before, middle, after = (F.lit(x) for x in JUDGE_TEMPLATE.replace("{output}", "{target}").split("{target}"))
+    return F.concat(before, col(original), middle, col(output), after)
+
+
+def judge_messages(original, output) -> Column:
+    """The judge's system prompt and question as messages."""
+    return messages(judge_prompt(original, output), JUDGE_SYSTEM)
 
 
 def judge_verdict(reply) -> Column:

@@ -52,8 +52,15 @@ def preview(jobs: DataFrame, key: str, m: int, seed: int) -> DataFrame:
     return jobs.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(m)
 
 
+#: Rows of which other_pairs makes all pairs.
+MOST_PAIRED = 20_000
+
+
 def other_pairs(problems: DataFrame, idx: str = "idx") -> DataFrame:
-    """All pairs of different rows; for small tables such as one problem set."""
+    """All pairs of different rows of one problem set; of more than MOST_PAIRED rows it is an error, as all
+    their pairs are what is asked for.  sample_others pairs tables of any size."""
+    if (n := problems.count()) > MOST_PAIRED:
+        raise ValueError(f"{n} rows would make {n * (n - 1)} pairs; see sample_others")
     return problems.select(F.col(idx).alias("a")).crossJoin(problems.select(F.col(idx).alias("b"))).where("a <> b")
 
 

@@ -289,6 +289,9 @@ query("b08_tolerance", f"with {_CONV}, t as (select conv_id, sum(n) n from c gro
     lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(B.token_count("text")).alias("n")).select("conv_id", B.within_tolerance("n", F.lit(200), 0.01).alias("near"), B.within_tolerance("n", F.lit(200), 0.02).alias("passes"))
 )
 query("b10_judge", "select doc_id, contains(upper(text), 'YES') yes from documents")(_docs(lambda: B.judge_verdict("text"), "yes"))
+query("b10_judge_prompt", _pair_sql("'" + B.JUDGE_SYSTEM.replace("'", "''") + "' || chr(10) || '" + B.JUDGE_TEMPLATE.replace("'", "''").replace("{target}", "' || a || '").replace("{output}", "' || b || '") + "'"))(
+    _pairs(lambda: B.render_messages(B.judge_messages("a", "b")))
+)
 query("b11_distractors")(lambda spark, sf: problems(spark, sf).select("idx", systems.distractor(5, F.col("idx")).alias("x")))
 query("b11_systems")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", systems.system(5, F.col("doc_id")).alias("s")).select("doc_id", "s.*"))
 query("b12_static_bins")(lambda spark, sf: L.static_distractors(problems(spark, sf)))
