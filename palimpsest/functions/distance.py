@@ -60,17 +60,17 @@ def is_estimated(original, other) -> Column:
     return (F.length(o) > MAX_EXACT) | (F.length(x) > MAX_EXACT)
 
 
-def char_error_rate(original, other, where=None) -> Column:
+def char_error_rate(original, other, where=None, estimate=None) -> Column:
     """M02, for reports: edits over the original's length (1 at least), exact in the JVM up to MAX_EXACT
     characters on both sides; beyond, what a sequence matcher finds unlike (see is_estimated; only those
-    texts reach Arrow batches).  Null where ``where`` does not hold.  within_rate decides without it."""
+    texts reach Arrow batches).  Null where ``where`` does not hold; ``estimate``, where it is given, says in
+    its place which long texts are matched, and must hold no lambda.  within_rate decides without it."""
     o, x = col(original), col(other)
-    asked = (o != x) & (F.lit(True) if where is None else where)
-    long = is_estimated(o, x) & asked
+    long = is_estimated(o, x) & (o != x) & (F.lit(True) if estimate is None else estimate)
     guess = F.pandas_udf(_unlike, "double")(F.when(long, o), F.when(long, x))
-    short = asked & ~is_estimated(o, x)
+    short = (o != x) & ~is_estimated(o, x) & (F.lit(True) if where is None else where)
     exact = levenshtein(F.when(short, o), F.when(short, x)) / F.greatest(F.length(o), F.lit(1))
-    rate = F.when(o == x, 0.0).when(long, guess).otherwise(exact)
+    rate = F.when(o == x, 0.0).when(is_estimated(o, x), guess).otherwise(exact)
     return rate if where is None else F.when(where, rate)
 
 
@@ -97,12 +97,13 @@ def residual_status(original, transformed, other, tagged, is_recovered, threshol
         left = left | x.contains(m)
     copied = within_rate(transformed, x, threshold)
     open_ = F.coalesce(col(tagged) & ~col(is_recovered) & (x != "") & ~copied, F.lit(False))
+    rate = lambda o: char_error_rate(o, x, open_, col(tagged) & (x != ""))
     return (
         F.when(~col(tagged), "missing_recovered_tags")
         .when(col(is_recovered), "recovered")
         .when(x == "", "empty_recovered_text")
         .when(copied, "copied_transformed_input")
-        .when(char_error_rate(transformed, x, open_) < char_error_rate(original, x, open_), "closer_to_transformed_than_original")
+        .when(rate(transformed) < rate(original), "closer_to_transformed_than_original")
         .when(left, "contains_transformation_markers")
         .otherwise("partial_or_other")
     )
