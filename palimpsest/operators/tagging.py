@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import col
 from ..functions.lexicon import FUNCTION_WORDS, NUMBERS, tokens
+from ..sources.scratch import keep
 
 #: Hidden tags of words; signs and math blocks are seen, and are tags of their own.
 TAGS = ("ADJ", "ADV", "NUM", "VERB", "NOUN", "PROPN", "OTHER", "PUNCT", "MATH")
@@ -174,32 +175,20 @@ def viterbi(model: Model, seqs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[str]]]:
-    """Sentences of symbols of batches of token arrays."""
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token arrays -> the symbols of each sentence of a text."""
     for batch in batches:
-        found = []
-        for text in batch.column(0).to_pylist():
-            for own in sentences(text or []):
-                found.append([symbol(text[i], k == 0) for k, i in enumerate(own)])
-        yield found
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n), a row a word and batch."""
-    for found in _symbols(batches):
-        count: dict[str, int] = {}
-        for w in (w for s in found for w in s):
-            count[w] = count.get(w, 0) + 1
-        yield pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+        found = [[[symbol(text[i], k == 0) for k, i in enumerate(own)] for own in sentences(text or [])] for text in batch.column(0).to_pylist()]
+        yield pa.record_batch([pa.array(found, pa.list_(pa.list_(pa.string())))], names=["sentences"])
 
 
 def _expect(model: Model):
-    """Token arrays -> (kind, at, counts): expected counts of a task; kind 0 words, 1 tag pairs, 2 first tags, 3 likelihood."""
+    """Sentences -> (kind, at, counts): expected counts of a task; kind 0 words, 1 tag pairs, 2 first tags, 3 likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros((1, len(TAGS))), np.zeros((1, len(TAGS)))]
-        for found in _symbols(batches):
-            got = expected_counts(model, [[model.known(w) for w in s] for s in found])
+        for batch in batches:
+            got = expected_counts(model, [[model.known(w) for w in s] for text in batch.column(0).to_pylist() for s in text])
             for mine, new in zip(sums, got):
                 mine += new
         rows = [(k, i, mine[i].tolist()) for k, mine in enumerate(sums) for i in np.flatnonzero(mine.any(axis=1)).tolist()]
@@ -220,8 +209,9 @@ def learn(texts: DataFrame, text: str = "text", rounds: int = ROUNDS, vocabulary
     total, least = texts.where(F.col(text).isNotNull()).agg(F.count("*"), F.min(h)).first()
     part = min(1.0, most / max(1, total))
     cut = 2**63 - 1 if part == 1 else max(least, int(-(2**63) + part * (2**64 - 1)))
-    sample = texts.where(h <= F.lit(cut)).select(tokens(F.col(text)).alias("tokens"))
-    counts = sample.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = texts.where(h <= F.lit(cut)).select(tokens(F.col(text)).alias("tokens")).repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    sample = keep(chosen.mapInArrow(_sentences, "sentences array<array<string>>"), "tagger")
+    counts = sample.select(F.explode(F.flatten("sentences")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     words = [r.word for r in counts.where("n > 1").orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()]
     last = F.concat(F.when(F.col("word").rlike(r"^\^?\d"), "9").when(F.col("word").startswith("^"), "^").otherwise("a"), F.lit("~"), F.expr("right(ltrim('^', word), 3)"))
     ends = counts.where(r"word rlike '^\\^?\\w'").groupBy(last.alias("word")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(ENDINGS)
