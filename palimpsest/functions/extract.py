@@ -99,7 +99,7 @@ def remove_boxed(t) -> Column:
 
 @bound()
 def simple_answer(t) -> Column:
-    """The last flat box, else the last number that a statement of the answer gives."""
+    """The last flat box, else the last number that a statement of the answer gives (fixed values: both patterns)."""
     t = col(t)
     boxed = F.regexp_extract_all(t, F.lit(r"\\boxed\s*\{([^}]+)\}"), F.lit(1))
     said = F.regexp_extract_all(t, F.lit(r"(?i)(?:The answer is|result is|so|equals)\s*[:=]?\s*(\d{1,4})(?:\.|,|\s|$)"), F.lit(1))
@@ -107,7 +107,7 @@ def simple_answer(t) -> Column:
 
 
 def bold_candidate(t) -> Column:
-    """The last bold piece of 1 to 40 characters with a digit and no run of four letters."""
+    """The last bold piece of 1 to 40 characters with a digit and no run of four letters (fixed values: the patterns)."""
     found = F.transform(F.regexp_extract_all(col(t), F.lit(r"\*\*([^*]{1,40})\*\*"), F.lit(1)), lambda x: F.regexp_replace(strip(x), r"\.+\z", ""))
     return F.try_element_at(F.filter(found, lambda x: x.rlike("[0-9]") & ~x.rlike("[A-Za-z]{4,}")), F.lit(-1))
 
