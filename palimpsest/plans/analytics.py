@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators import figures
 from ..operators import metrics as A
 from ..operators import relational as R
 from ..operators import stats as Q
@@ -302,6 +303,28 @@ def _attention_lines(docs):
 query("s25_providers", "select page_id, ['google', 'anthropic', 'openai', null][page_id % 4 + 1] provider from pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", S.infer_provider(F.element_at(F.array(*[F.lit(m) for m in ("Gemini-3", "claude-x", "o1-mini", "llama")]), (F.col("page_id") % 4 + 1).cast("int"))).alias("provider"))
 )
+# --- S27: frames of figures --------------------------------------------------------------------
+
+query("s27_bar_panels", _CUBE_SQL + """, f as (select model, technique, n_correct / total acc, failures / total fail from m), p as (select model, row_number() over (order by avg(acc) desc, model nulls first)::int - 1 panel_at from f group by model),
+b as (select technique, row_number() over (order by technique nulls first)::int - 1 bar_at from (select distinct technique from f))
+select f.model, f.technique, panel_at, bar_at, part, round(case when part = 'accuracy' then 0 else acc end, 6) bottom, round(case when part = 'accuracy' then acc else acc + fail end, 6) top
+from f join p on f.model is not distinct from p.model join b on f.technique is not distinct from b.technique, (select unnest(['accuracy', 'failure_rate']) part)""")(
+    lambda spark, sf: rounded(figures.bar_panels(A.pooled_metrics(cube(spark, sf), KEYS), "model", "technique", "accuracy", "failure_rate"), "bottom", "top")
+)
+query("s27_radar", _CUBE_SQL + """, f as (select model, technique, n_correct / total acc from m), n as (select *, row_number() over (partition by model order by technique nulls first) - 1 at_, count(*) over (partition by model) n from f),
+closed as (select model, technique, at_, n, acc from n union all select model, technique, n, n, acc from n where at_ = 0) select model, technique, at_::int as "at", round(2 * pi() * at_ / n, 6) angle, round(acc, 6) as value from closed""")(
+    lambda spark, sf: rounded(figures.radar(A.pooled_metrics(cube(spark, sf), KEYS), "model", "technique", "accuracy"), "angle", "value")
+)
+query("s27_stacked", _CUBE_SQL + "select model, technique, total, round(sum(total::double) over w - total, 3) bottom, round(sum(total::double) over w, 3) top from m window w as (partition by model order by technique nulls first rows unbounded preceding)")(
+    lambda spark, sf: rounded(figures.stacked(A.pooled_metrics(cube(spark, sf), KEYS).select("model", "technique", "total"), "model", "technique", "total"), "bottom", "top", digits=3)
+)
+_TYPES = ["click", "view", "purchase"]
+query("s27_heat_map", "select user_id % 12 row_, " + ", ".join(f"round(avg(value) filter (event_type = '{t}'), 4) as {t}" for t in _TYPES) + " from events group by 1")(
+    lambda spark, sf: rounded(figures.heat_map(table(spark, sf, "events").withColumn("row_", F.col("user_id") % 12), "row_", "event_type", "value", _TYPES), *_TYPES, digits=4)
+)
+query("s27_trend", "with p as (select doc_id, length(text) n, n_chars % 1000 y from documents), l as (select regr_slope(y, n) a, regr_intercept(y, n) b from p) select doc_id, n, y, round(a * n + b, 3) fitted from p, l")(
+    lambda spark, sf: rounded(figures.trend_line(table(spark, sf, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"), (F.col("n_chars") % 1000).alias("y")), "n", "y"), "fitted", digits=3)
+)
 query("s23_percent", "select doc_id, printf('%.2f', 100 * (doc_id % 8) / 8.0) x from documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", S.percent((F.col("doc_id") % 8) / 8.0).alias("x")))
 _Z02_SQL = f"with c as (select conv_id, turn, text, len({WORDS('text')}) n, {WORDS('text')} w from conversations), r as (select *, sum(n) over (partition by conv_id order by turn) - n b from c) select conv_id, turn, case when b + n < 80 then 'FEEDING' when b < 80 then 'SOLVING' else 'DONE' end phase, case when b + n <= 80 then text else array_to_string(w[1:greatest(80 - b, 0)::bigint], ' ') end kept from r"
 query("z02_saturation", _Z02_SQL)(
