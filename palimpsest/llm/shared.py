@@ -94,8 +94,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014), each a pre-aggregated
     minimum and an equi-join, until nothing changes: O(log n) rounds in practice, each written
-    to the shared folder.  A node with very many neighbours is one row on the aggregated side;
-    its rows on the other are split by adaptive execution.
+    to the shared folder.  The minimum of a node with very many neighbours is pre-aggregated; its
+    rows on the other side of the join meet in one task, which streams them.
     """
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     seen = None
