@@ -88,9 +88,12 @@ def bootstrap_mean(scores: DataFrame, keys: list[str], draws: int = 10000, seed:
     blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS)))
     dealt = parts.select(*key, F.col("n").alias("_n"), "_base", blocks.alias("_block"), F.transform("_a", lambda x: x["_s"]).alias("_scores")).repartition(*keys, "_base", "_block")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[: len(key)])
-    sums = dealt.mapInArrow(_draw_sums(seed, draws), f"{kinds}, _block int, _sums array<double>")
-    each = sums.select(*key, "_block", F.posexplode("_sums").alias("_d", "_x")).groupBy(*key, "_block", "_d").agg((F.sum("_x") / F.col("n")).alias("_m"))
-    means = each.groupBy(*key).agg(F.array_sort(F.collect_list("_m")).alias("_m"))
+    sums = lambda which: dealt.where(which).mapInArrow(_draw_sums(seed, draws), f"{kinds}, _block int, _sums array<double>")
+    # a key of one segment has its sums ready; others are added up draw by draw
+    one = sums(F.col("n") <= SEGMENT).groupBy(*key).agg(F.flatten(F.collect_list("_sums")).alias("_x"))
+    more = sums(F.col("n") > SEGMENT).select(*key, "_block", F.posexplode("_sums").alias("_d", "_x")).groupBy(*key, "_block", "_d").agg(F.sum("_x").alias("_x"))
+    both = one.unionByName(more.groupBy(*key).agg(F.collect_list("_x").alias("_x")))
+    means = both.select(*key, F.transform(F.array_sort("_x"), lambda x: x / F.col("n")).alias("_m"))
     at = lambda share: F.get("_m", int(share * (draws - 1)))
     return means.select(*key, at(0.025).alias("low"), at(0.975).alias("high"))
 
