@@ -149,7 +149,7 @@ def agent_loop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("z05_cache_expired", "select event_id, (value * 100)::bigint > 0.9 * 3600 x from events")
 def cache_expired(spark: SparkSession, sf: str) -> DataFrame:
-    age = (F.col("value") * 100).cast("bigint")
+    age = F.rint(F.col("value") * 100).cast("bigint")  # SQL's cast rounds, Spark's cuts off
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", Z.cache_expired(age, F.lit(3600)).alias("x"))
 
 
