@@ -24,3 +24,13 @@ def test_cache_age_is_rounded(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
     got, expected = both(spark, tmp_path, "z05_cache_expired")
     assert got == expected and dict(got)[0] is True and dict(got)[1] is False
+
+
+NAMES = ["so Our and Our and Our", "an Löour here, and Eton, by Eton", "an élour, Etonä, and Zürich with Etoné", "Über Eton and Über, Eton ÄEton"]
+
+
+def test_names_end_at_ascii(spark, tmp_path):
+    # where a letter is not ASCII a word ends, as \b has it in SQL: "our" of "Löour" is a word
+    spark.createDataFrame(list(enumerate(NAMES)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, expected = both(spark, tmp_path, "t20_learned_names")
+    assert got == expected and [r[0] for r in got] == ["Eton"]
