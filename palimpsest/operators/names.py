@@ -20,7 +20,7 @@ _INSIDE = r"[a-z0-9,;:)] ([A-Z][a-z]+)"
 # the ends of a word as SQL's \b has them, by ASCII alone: Java's takes other letters for parts of a word
 _START, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 _PLAIN = f"{_START}([a-z]+){_END}"
-_RUN = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})\b"
+_RUN = f"{_START}([A-Z][a-z]+(?: [A-Z][a-z]+){{0,2}}){_END}"
 
 
 def _clean(text: str):

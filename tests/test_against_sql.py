@@ -34,3 +34,9 @@ def test_names_end_at_ascii(spark, tmp_path):
     spark.createDataFrame(list(enumerate(NAMES)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got, expected = both(spark, tmp_path, "t20_learned_names")
     assert got == expected and [r[0] for r in got] == ["Eton"]
+
+
+def test_mentions_end_at_ascii(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(NAMES)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, expected = both(spark, tmp_path, "t20_name_mentions")
+    assert got == expected == [(1, "Eton"), (2, "Eton"), (3, "Eton")]
