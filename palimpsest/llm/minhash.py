@@ -28,10 +28,10 @@ from .textscan import U64, chunks, doc_shingles, mix, text_buffers, word_hashes
 
 U32 = np.uint32
 ROWS, BANDS = 4, 32
-#: The bands within a large group: a pair at 0.8 shares none with probability 1e-9.
+#: The bands within a large group, at most: a pair at 0.8 shares none with probability 1e-9.
 INNER_ROWS, INNER_BANDS = 8, 112
-#: Shingles on each side of a block, and members that meet one copy of a hub.
-BLOCK_SHINGLES, STAR_MEMBERS = 1 << 18, 256
+#: Shingles on each side of a block, blocks of a group that is compared undivided, and members that meet one copy of a hub.
+BLOCK_SHINGLES, UNDIVIDED, STAR_MEMBERS = 1 << 18, 4, 256
 
 
 def signature(shingles: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -50,6 +50,12 @@ def signature(shingles: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return out
 
 
+def inner_bands(percent: int) -> int:
+    """Bands within a large group: as many as miss a pair at the threshold no likelier than INNER_BANDS miss one at 0.8."""
+    shared = lambda s: np.log1p(-min(s**INNER_ROWS, 1 - 1e-16))
+    return min(INNER_BANDS, max(1, int(np.ceil(INNER_BANDS * shared(0.8) / shared(percent / 100)))))
+
+
 def bucket_ids(sig: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit bucket id a band; the band is part of the id."""
     parts = sig.reshape(-1, rows).astype(U64)
@@ -81,7 +87,7 @@ def _describe(k: int, rows: int, bands: int):
     return run
 
 
-def _inner_buckets(k: int):
+def _inner_buckets(k: int, bands: int):
     """(hub, d, r, text) -> the same without the text, and the second set of buckets."""
 
     def run(batches):
@@ -89,7 +95,7 @@ def _inner_buckets(k: int):
             for part in chunks(batch):
                 h, first = word_hashes(*text_buffers(part.column(3)), lower=True)
                 sets = (doc_shingles(h[first[i] : first[i + 1]], k) for i in range(part.num_rows))
-                found = [bucket_ids(signature(s, INNER_ROWS * INNER_BANDS, salt=1), INNER_ROWS).view(np.int64) for s in sets]
+                found = [bucket_ids(signature(s, INNER_ROWS * bands, salt=1), INNER_ROWS).view(np.int64) for s in sets]
                 yield pa.record_batch([part.column(i) for i in range(3)] + [pa.array(found, pa.list_(pa.int64()))], names=["hub", "d", "r", "buckets"])
 
     return run
@@ -253,11 +259,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     labelled = labelled.join(label.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")).hint("merge"), "hub", "left")
     labelled = labelled.withColumn("apart", F.col("comp") != F.coalesce("hub_root", "hub")).drop("hub_root")
     open_hubs = labelled.groupBy("hub").agg(F.max("apart").alias("any")).where("any").join(fans.hint("merge"), "hub")
-    labelled = keep(labelled.join(open_hubs.select("hub", (F.col("total") > BLOCK_SHINGLES).alias("large")).hint("merge"), "hub"), "minhash-open")
+    labelled = keep(labelled.join(open_hubs.select("hub", (F.col("total") > UNDIVIDED * BLOCK_SHINGLES).alias("large")).hint("merge"), "hub"), "minhash-open")
     small = labelled.where("not large").withColumn("key", F.xxhash64("hub"))
     large = labelled.where("large")
     inner = large.join(texts, "node").select(F.xxhash64("hub").alias("hub"), "node.d", "node.r", "text")
-    inner = keep(inner.mapInArrow(_inner_buckets(k), "hub long, d long, r long, buckets array<long>"), "minhash-inner")
+    inner = keep(inner.mapInArrow(_inner_buckets(k, inner_bands(percent)), "hub long, d long, r long, buckets array<long>"), "minhash-inner")
     inner = inner.select(F.struct("d", "r").alias("node"), F.col("hub").alias("h"), F.explode("buckets").alias("bucket"))
     divided = large.withColumn("h", F.xxhash64("hub")).join(inner, ["h", "node"]).withColumn("key", F.xxhash64("h", "bucket"))
     fields = ["key", "node", "comp", "apart", "n_shingles"]

@@ -500,6 +500,17 @@ def test_minhash_large_groups_without_a_centre(spark, monkeypatch):
     assert got == links(data, 3, 85) and len({v[1] for v in got.values()}) == 20
 
 
+def test_minhash_groups_of_a_few_blocks_stay_whole(spark, monkeypatch):
+    """A member of such a group is one row a hub, not one a band; bands are as many as the threshold needs."""
+    compared, compare = [], minhash._compare
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(minhash, "_compare", lambda groups, *rest: compared.append(groups.count()) or compare(groups, *rest))
+    data = [(i, " ".join([f"c{j}" for j in range(120)] + [f"o{i // 2}_{j}" for j in range(40)] + ["x"] * (i % 2))) for i in range(40)]
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), k=3, percent=85).collect()}
+    assert got == links(data, 3, 85) and 0 < compared[0] <= len(data) * minhash.BANDS
+    assert [minhash.inner_bands(p) for p in (50, 80, 85, 90)] == [112, 112, 65, 37]
+
+
 def test_line_chunks_runs_and_names(spark, docs, rows):
     """Runs of equal lines go, blocks survive a shift, every other column keeps its value."""
     same = "\n".join(["again"] * 20)
