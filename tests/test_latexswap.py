@@ -39,3 +39,10 @@ def test_columns(spark):
         assert r.b == r.t and (r.v is None) == (r.t is None)
         if r.t is not None:
             assert r.s == X.renamed(r.t, X.renaming(42, str(r.k))) and "".join(r.v) == "".join(sorted(CASES[r.k][1]))
+
+
+def test_prose_is_scanned_in_stretches():
+    """Letters outside math are not looked at one by one."""
+    prose = "label me, then a letter " * 1000
+    assert X.stretches(f"{prose}$ab$ {prose}") == [(prose, False), ("$", False), ("ab", True), ("$", False), (" " + prose, False)]
+    assert X.pieces(prose + "$a+b$") == [(prose, False), ("$", False), ("a", True), ("+", False), ("b", True), ("$", False)]
