@@ -139,7 +139,11 @@ def semantic_recovery(targets, windows, threshold: float = SEMANTIC_THRESHOLD):
     its ``windows(id, embedding)``, recovered from the threshold on or where the answer was correct.
     One aggregate over an equi-join; a target without windows has a null best."""
     both = targets.select("id", F.col("embedding").alias("_t")).join(windows.select("id", F.col("embedding").alias("_w")), "id")
-    best = both.groupBy("id").agg(F.max(cosine("_t", "_w")).alias("best"))
+    return semantic_status(targets, both.groupBy("id").agg(F.max(cosine("_t", "_w")).alias("best")), threshold)
+
+
+def semantic_status(targets, best, threshold: float = SEMANTIC_THRESHOLD):
+    """M06 from what is nearest: ``targets(id, correct)`` and their ``best(id, best)``, as in semantic_recovery."""
     out = targets.select("id", "correct").join(best, "id", "left")
     return out.select("id", "best", (F.coalesce("correct", F.lit(False)) | F.coalesce(F.col("best") >= threshold, F.lit(False))).alias("recovered"))
 

@@ -155,3 +155,44 @@ def nearest_vectors(targets: DataFrame, vectors: DataFrame, lists: int | None =
     found = near.union(_compared(open_, chunks))
     found = found.groupBy("id").agg(F.max(F.struct("best", (-F.col("nearest")).alias("_n"))).alias("_m"))
     return targets.select("id").join(found.select("id", "_m.best", (-F.col("_m._n")).alias("nearest")), "id", "left")
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ids, vectors of targets, ids, vectors of a chunk) -> (id, best) of each target: NaN where any cosine is."""
+    for b in batches:
+        for r in range(b.num_rows):
+            t_id, t_x, v_id, v_x = (b.column(i)[r].values for i in range(4))
+            t_id, v_id = t_id.to_numpy(), v_id.to_numpy()
+            t, v = (x.flatten().to_numpy().reshape(n, -1) for x, n in ((t_x, len(t_id)), (v_x, len(v_id))))
+            with np.errstate(all="ignore"):
+                norms = np.sqrt((t * t).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+                cos = np.where((norms == 0) | (t_id[:, None] == v_id[None, :]), -np.inf, t @ v.T / norms)
+            top = cos.max(axis=1)  # of NaN and numbers NaN, as in SQL
+            some = ~(top == -np.inf)
+            yield pa.record_batch([pa.array(t_id[some]), pa.array(top[some])], names=["id", "best"])
+
+
+def best_in_group(targets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, best): for each row of ``targets(id, embedding, group)`` the greatest cosine to a vector of
+    ``vectors(id, embedding, group)`` of its group and length with another id; targets without one are left out.
+
+    All pairs of a group, as matrix products of a batch of targets with a chunk of vectors, so a task holds
+    one of each and a large group is dealt over many.  Vectors without a direction, with a null component
+    or in no group are nobody's neighbours.
+    """
+    d = F.transform("embedding", lambda c: c.cast("double"))
+    key = ["group", "size"]
+    rows = lambda df: df.select("id", d.alias("x"), "group", F.size("embedding").alias("size")).where("size > 0 and group is not null and id is not null and forall(x, c -> c is not null)")
+    listed, asked = keep(rows(vectors), "grouped"), keep(rows(targets), "grouped-targets")
+    parts = lambda df, most: keep(df.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("m")), "groups")
+    chunks_of, batches_of = parts(listed, CHUNK), parts(asked, BATCH)
+
+    def packed(df: DataFrame, sizes: DataFrame, part: str, name: str) -> DataFrame:
+        dealt = df.join(sizes.hint("merge"), key).withColumn(part, F.pmod(F.xxhash64("id"), F.col("m"))).repartition(*key, part)
+        own = dealt.groupBy(*key, part).agg(F.collect_list(F.struct("id", "x")).alias("_r"))
+        return own.select(*key, part, F.transform("_r", lambda r: r["id"]).alias(name + "_id"), F.transform("_r", lambda r: r["x"]).alias(name + "_x"))
+
+    chunks = packed(listed, chunks_of, "_c", "v")
+    batches = packed(asked, batches_of, "_b", "t").join(chunks_of.hint("merge"), key).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m").cast("bigint") - 1)))
+    both = batches.join(chunks.hint("merge"), [*key, "_c"]).select("t_id", "t_x", "v_id", "v_x")
+    return both.mapInArrow(_cosines, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))

@@ -65,3 +65,24 @@ def test_without_vectors(spark):
     assert [tuple(r) for r in N.nearest_vectors(one, none).collect()] == [(1, None, None)]
     assert [tuple(r) for r in N.nearest_vectors(one, one).collect()] == [(1, None, None)]
     assert N.nearest_vectors(none, one).count() == 0
+
+
+def test_best_in_group_over_chunks_and_odd_vectors(spark, monkeypatch):
+    """All pairs of a group, in several batches and chunks, against the cosine of columns."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import distance
+    from palimpsest.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "CHUNK", 7)
+    monkeypatch.setattr(neighbours, "BATCH", 3)
+    data = [(i, [math.sin(i * j + 1.0) for j in range(1, 5)], i % 3) for i in range(60)]
+    data += [(60, [0.0] * 4, 0), (61, [1.0, None, 0.0, 0.0], 0), (62, None, 0), (63, [1.0, 2.0], 0), (64, [2.0, 1.0], 0), (65, [1.0] * 4, None), (66, [float("nan")] + [1.0] * 3, 7), (67, [1.0] * 4, 7), (68, [1.0] * 4, 8), (69, [], 0)]
+    df = spark.createDataFrame(data, "id long, embedding array<double>, group int").repartition(3)
+    pairs = df.alias("a").join(df.alias("b"), (F.col("a.group") == F.col("b.group")) & (F.col("a.id") != F.col("b.id")))
+    plain = pairs.groupBy("a.id").agg(F.max(distance.cosine("a.embedding", "b.embedding")).alias("best")).where("best is not null")
+    show = lambda rows: {r.id: "NaN" if math.isnan(r.best) else round(r.best, 9) for r in rows.collect()}
+    got = show(neighbours.best_in_group(df, df))
+    assert got == show(plain) and got[66] == got[67] == "NaN" and {63, 64} <= set(got) and not {60, 61, 62, 65, 68, 69} & set(got)
