@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ _ID = {t: i for i, t in enumerate(TAGS)}
 VOCABULARY, ENDINGS, TEXTS = 20_000, 5_000, 200_000
 #: Weight of the prior in counts, rounds, sentences at a time, tokens of a sentence at most (what runs on without a stop is cut there).
 PRIOR, ROUNDS, BLOCK, LONGEST = 5.0, 4, 512, 200
+#: Tokens that a task turns into Python objects at a time (whole texts, one at least).
+TOKENS = 1 << 18
 _STOPS = {".", "!", "?", ";"}
 _ENDS = (("ADV", ("ly",)), ("ADJ", ("ous", "ful", "able", "ible", "ive", "less", "ical", "al", "ic")), ("VERB", ("ize", "ify", "ate", "ing", "ed")), ("NOUN", ("tion", "ment", "ness", "ity", "ance", "ence", "er", "or")))
 
@@ -175,10 +176,22 @@ def viterbi(model: Model, seqs: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of (nested) lists in slices of about TOKENS innermost values, one row at least."""
+    ends, inner = column.offsets.to_numpy(), column.values
+    while pa.types.is_list(inner.type):
+        ends, inner = inner.offsets.to_numpy()[ends], inner.values
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token arrays -> the symbols of each sentence of a text."""
-    for batch in batches:
-        found = [[[symbol(text[i], k == 0) for k, i in enumerate(own)] for own in sentences(text or [])] for text in batch.column(0).to_pylist()]
+    for part in (part for batch in batches for part in slices(batch.column(0))):
+        found = [[[symbol(text[i], k == 0) for k, i in enumerate(own)] for own in sentences(text or [])] for text in part.to_pylist()]
         yield pa.record_batch([pa.array(found, pa.list_(pa.list_(pa.string())))], names=["sentences"])
 
 
@@ -187,8 +200,8 @@ def _expect(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros((1, len(TAGS))), np.zeros((1, len(TAGS)))]
-        for batch in batches:
-            got = expected_counts(model, [[model.known(w) for w in s] for text in batch.column(0).to_pylist() for s in text])
+        for part in (part for batch in batches for part in slices(batch.column(0))):
+            got = expected_counts(model, [[model.known(w) for w in s] for text in part.to_pylist() for s in text])
             for mine, new in zip(sums, got):
                 mine += new
         rows = [(k, i, mine[i].tolist()) for k, mine in enumerate(sums) for i in np.flatnonzero(mine.any(axis=1)).tolist()]
@@ -234,20 +247,23 @@ def learn(texts: DataFrame, text: str = "text", rounds: int = ROUNDS, vocabulary
 def tag_tokens(tokens_: Column | str, model: Model) -> Column:
     """array<string>: the tag of each token of ``lexicon.tokens``; SPACE for white space; null for null."""
 
-    def run(batch: pd.Series) -> pd.Series:
+    def tags_of(texts: list) -> pa.Array:
         places, seqs, out = [], [], []
-        for text in batch:
+        for text in texts:
             out.append(None if text is None else ["SPACE"] * len(text))
-            for own in sentences(list(text) if text is not None else []):
+            for own in sentences(text or []):
                 places.append((len(out) - 1, own))
                 seqs.append([model.known(symbol(text[i], k == 0)) for k, i in enumerate(own)])
         for (row, own), path in zip(places, viterbi(model, seqs)):
             for i, t in zip(own, path):
                 out[row][i] = TAGS[t]
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.list_(pa.string()))
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.list_(pa.string()))] + [tags_of(part.to_pylist()) for part in slices(column)])
 
     # not deterministic in name only: so the optimizer leaves it out of lambdas, where it can't run
-    return F.pandas_udf(run, "array<string>").asNondeterministic()(col(tokens_))
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(col(tokens_))
 
 
 def with_tags(df: DataFrame, text: str, model: Model, name: str = "tags") -> DataFrame:

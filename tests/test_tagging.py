@@ -118,3 +118,29 @@ def test_perturbations_by_tags(spark):
     # given tags decide: the same text with other tags
     own = spark.createDataFrame([("big box", ["ADJ", "SPACE", "NOUN"]), ("big box", ["NOUN", "SPACE", "ADJ"])], "t string, tags array<string>")
     assert [r.x for r in own.select(L.not_not("t", tags="tags").alias("x")).collect()] == ["not not big box", "big not not box"]
+
+
+def test_a_task_holds_few_tokens_at_a_time(spark, monkeypatch):
+    """Texts of one batch are tagged and learned from in slices; nulls, empty and long texts stay whole."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions.lexicon import tokens
+    from palimpsest.operators import tagging
+
+    column = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"], ["d"] * 2])
+    nested = pa.array([[["a"] * 2, ["b"]], [], [["c"] * 9], [["d"], ["e"]]])
+    monkeypatch.setattr(tagging, "TOKENS", 4)
+    assert [len(p) for p in tagging.slices(column)] == [3, 1, 2] and [len(p) for p in tagging.slices(column.slice(1))] == [2, 1, 2]
+    assert [len(p) for p in tagging.slices(nested)] == [2, 1, 1] and list(tagging.slices(column.slice(6))) == []
+    assert pa.concat_arrays(list(tagging.slices(column))) == column and pa.concat_arrays(list(tagging.slices(nested))) == nested
+    monkeypatch.setattr(tagging, "TOKENS", 1 << 18)
+    texts = [(i, t) for i, t in enumerate(["The red box is here. Bob runs quickly!", None, "", "Carla sees 3 boxes; they are large."] * 5)]
+    df = spark.createDataFrame(texts, "k int, text string").coalesce(1)
+    model = tagging.learn(df)
+    rows = lambda: [(r.k, r.tags) for r in tagging.with_tags(df, "text", model).select("k", "tags").orderBy("k").collect()]
+    whole = rows()
+    sizes = {r.k: r.n for r in df.select("k", F.size(tokens(F.col("text"))).alias("n"), F.col("text").isNull().alias("none")).where("not none").collect()}
+    assert all((tags is None) == (t is None) and (tags is None or len(tags) == sizes[k]) for (k, tags), (_, t) in zip(whole, texts))
+    monkeypatch.setattr(tagging, "TOKENS", 3)
+    assert rows() == whole
