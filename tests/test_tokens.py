@@ -105,3 +105,28 @@ def test_a_vocabulary_must_be_whole(spark, tmp_path):
     (tmp_path / "few").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
         T.Vocabulary(spark, str(tmp_path / "few"))
+
+
+def test_places_look_into_few_pieces():
+    """Only pieces that hold a place are walked token by token; the places are those of all tokens one by one."""
+    from palimpsest.functions import tokens as T
+
+    class Walked(list):
+        walks = 0
+
+        def __iter__(self):
+            Walked.walks += 1
+            return super().__iter__()
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b" ab": 257}
+    encoder = T.Encoder(ranks, T.PATTERN)
+    text = "abab é \U0001f600 abc 12,  ab\n" * 50
+    ends, end = [], 0
+    for t in encoder.tokens(text):
+        end += len(t)
+        ends.append(end)
+    chars = [-1, 0, 1, 5, 6, 7, 8, 9, 20, 700, 3, 3, len(text) - 1, len(text), len(text) + 5]
+    plain = [next((i for i, e in enumerate(ends) if e > len(text[: max(0, c)].encode())), len(ends)) for c in chars]
+    encoder.known = {k: (Walked(own), size) for k, (own, size) in encoder.known.items()}
+    assert encoder.places(text, chars) == plain and encoder.count(text) == len(ends) and Walked.walks <= len(chars)
+    assert encoder.places(text, []) == [] and encoder.places("", [0, 3]) == [0, 0]
