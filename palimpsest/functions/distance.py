@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+from bisect import bisect_left
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +48,37 @@ def levenshtein(a, b, most=None) -> Column:
 MAX_EXACT = 6000
 
 
+class Matcher(difflib.SequenceMatcher):
+    """difflib's matcher without junk, with the same blocks: only places whose character it indexes (long texts'
+    frequent ones it doesn't) are looked at, and of those of the other text only the ones within range."""
+
+    def __init__(self, a: str, b: str):
+        super().__init__(None, a, b)
+        self.places = [i for i, c in enumerate(a) if c in self.b2j]
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        a, b, b2j, places = self.a, self.b, self.b2j, self.places
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        i, j, size, before, lengths = alo, blo, 0, -2, {}
+        for at in places[bisect_left(places, alo) : bisect_left(places, ahi)]:
+            last, lengths = lengths if at == before + 1 else {}, {}
+            before, own = at, b2j[a[at]]
+            for to in own[bisect_left(own, blo) : bisect_left(own, bhi)]:
+                k = lengths[to] = last.get(to - 1, 0) + 1
+                if k > size:
+                    i, j, size = at - k + 1, to - k + 1, k
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        return difflib.Match(i, j, size)
+
+
 def _unlike(a, b):
     """Pandas: 1 - the ratio of difflib's sequence matcher, which the estimate is defined by; null where either is."""
-    import difflib
-
     import pandas as pd
 
-    return pd.Series([None if x is None or y is None else 1.0 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=object)
+    return pd.Series([None if x is None or y is None else 1.0 - Matcher(x, y).ratio() for x, y in zip(a, b)], dtype=object)
 
 
 def is_estimated(original, other) -> Column:

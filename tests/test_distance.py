@@ -104,3 +104,17 @@ def test_common_ends(spark):
 def test_recovery_runs_in_the_jvm(spark):
     df = spark.createDataFrame([("a", "b")], "a string, x string").select(D.recovered("a", "x"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matcher_has_the_blocks_of_difflib():
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    for n in range(300):
+        letters = "abcdefghijklmnopqrstuvwxyz   eeeaat"[: rng.choice([2, 9, 35])]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 20, 150, 600])))
+        b = rng.choice([a[11:], a.replace("th", "t").replace("e", "") + "z", a + " once more" * 9, "", "".join(rng.choice(letters) for _ in range(300))])
+        ours, theirs = D.Matcher(a, b), difflib.SequenceMatcher(None, a, b)
+        assert ours.get_matching_blocks() == theirs.get_matching_blocks() and ours.ratio() == theirs.ratio()
+        assert ours.find_longest_match() == theirs.find_longest_match()
