@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-from bisect import bisect_left
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import col, let, words
+from .matching import Matcher, edits, edits_within
 
 # A recovery counts up to this error rate; marks of text left transformed.
 RECOVERY_THRESHOLD = 0.02
@@ -44,34 +42,31 @@ def levenshtein(a, b, most=None) -> Column:
     return F.when(F.least(F.length(a), F.length(b)) < LONG, plain(a, b)).otherwise(_without_common_ends(a, b, plain))
 
 
-#: Error rates of longer texts are estimated.
-MAX_EXACT = 6000
+#: From this length on texts are compared in Arrow batches, where that is allowed.
+BATCHED = 250
+
+
+def _edits(a, b, most):
+    """Pandas: edits of two texts, -1 where they are over the bound; null where either is."""
+    import pandas as pd
+
+    return pd.Series([None if x is None or y is None else edits_within(x, y, int(m)) for x, y, m in zip(a, b, most)], dtype=object)
 
 
-class Matcher(difflib.SequenceMatcher):
-    """difflib's matcher without junk, with the same blocks: only places whose character it indexes (long texts'
-    frequent ones it doesn't) are looked at, and of those of the other text only the ones within range."""
-
-    def __init__(self, a: str, b: str):
-        super().__init__(None, a, b)
-        self.places = [i for i, c in enumerate(a) if c in self.b2j]
-
-    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
-        a, b, b2j, places = self.a, self.b, self.b2j, self.places
-        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
-        i, j, size, before, lengths = alo, blo, 0, -2, {}
-        for at in places[bisect_left(places, alo) : bisect_left(places, ahi)]:
-            last, lengths = lengths if at == before + 1 else {}, {}
-            before, own = at, b2j[a[at]]
-            for to in own[bisect_left(own, blo) : bisect_left(own, bhi)]:
-                k = lengths[to] = last.get(to - 1, 0) + 1
-                if k > size:
-                    i, j, size = at - k + 1, to - k + 1, k
-        while i > alo and j > blo and a[i - 1] == b[j - 1]:
-            i, j, size = i - 1, j - 1, size + 1
-        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
-            size += 1
-        return difflib.Match(i, j, size)
+def long_levenshtein(a, b, most) -> Column:
+    """levenshtein up to ``most`` for whole documents, the same number: the JVM's bounded form still walks one text
+    for every character of the other, so pairs from BATCHED on that their lengths don't decide go to Arrow
+    batches, in time of the length plus the square of the edits."""
+    a, b = col(a), col(b)
+    most = F.lit(most) if isinstance(most, int) else most.cast("int")
+    apart = F.abs(F.length(a) - F.length(b)) > most
+    long = (F.least(F.length(a), F.length(b)) >= BATCHED) & ~apart & (a != b)
+    found = F.pandas_udf(_edits, "int")(F.when(long, a), F.when(long, b), F.when(long, most))
+    return F.when(apart, -1).when(a == b, 0).when(long, found).otherwise(F.call_function("levenshtein", a, b, most))
+
+
+#: Error rates of longer texts are estimated.
+MAX_EXACT = 6000
 
 
 def _unlike(a, b):
@@ -87,50 +82,114 @@ def is_estimated(original, other) -> Column:
     return (F.length(o) > MAX_EXACT) | (F.length(x) > MAX_EXACT)
 
 
-def char_error_rate(original, other, where=None, estimate=None) -> Column:
+def char_error_rate(original, other, where=None) -> Column:
     """M02, for reports: edits over the original's length (1 at least), exact in the JVM up to MAX_EXACT
     characters on both sides; beyond, what a sequence matcher finds unlike (see is_estimated; only those
-    texts reach Arrow batches).  Null where ``where`` does not hold; ``estimate``, where it is given, says in
-    its place which long texts are matched, and must hold no lambda.  within_rate decides without it."""
+    texts reach Arrow batches).  Null where ``where`` does not hold.  within_rate decides without it."""
     o, x = col(original), col(other)
-    long = is_estimated(o, x) & (o != x) & (F.lit(True) if estimate is None else estimate)
+    asked = (o != x) & (F.lit(True) if where is None else where)
+    long, short = is_estimated(o, x) & asked, ~is_estimated(o, x) & asked
     guess = F.pandas_udf(_unlike, "double")(F.when(long, o), F.when(long, x))
-    short = (o != x) & ~is_estimated(o, x) & (F.lit(True) if where is None else where)
     exact = levenshtein(F.when(short, o), F.when(short, x)) / F.greatest(F.length(o), F.lit(1))
     rate = F.when(o == x, 0.0).when(is_estimated(o, x), guess).otherwise(exact)
     return rate if where is None else F.when(where, rate)
 
 
-def within_rate(original, other, rate: float) -> Column:
+def within_rate(original, other, rate: float, bounded=levenshtein) -> Column:
     """Whether the edits between two texts are at most ``rate`` times the original's length (1 at least):
-    exact at any length, by a bounded distance in the JVM."""
+    exact at any length, by a bounded distance: in the JVM, or long_levenshtein for whole documents."""
     o, x = col(original), col(other)
     n = F.greatest(F.length(o), F.lit(1))
-    edits = levenshtein(o, x, F.floor(n * rate) + 1)  # one more than the bound, so that rounding can't cut it
+    edits = bounded(o, x, F.floor(n * rate) + 1)  # one more than the bound, so that rounding can't cut it
     return F.when(o == x, True).when(F.abs(F.length(o) - F.length(x)) > n * rate + 1, False).otherwise((edits >= 0) & (edits / n <= rate))
 
 
-def recovered(original, other, threshold: float = RECOVERY_THRESHOLD) -> Column:
+def recovered(original, other, threshold: float = RECOVERY_THRESHOLD, bounded=levenshtein) -> Column:
     """Equal, or an error rate up to the threshold."""
-    return within_rate(original, other, threshold)
+    return within_rate(original, other, threshold, bounded)
+
+
+def _rate(a: str, b: str) -> float:
+    """char_error_rate of two texts."""
+    if max(len(a), len(b)) > MAX_EXACT:
+        return 0.0 if a == b else 1.0 - Matcher(a, b).ratio()
+    return edits(a, b) / max(len(a), 1)
+
+
+def _near(a: str, b: str, rate: float) -> bool:
+    """within_rate of two texts."""
+    n = max(len(a), 1)
+    found = 0 if a == b else edits_within(a, b, int(n * rate) + 1)
+    return found >= 0 and found / n <= rate
+
+
+#: Edits up to which edits_within is tried before a whole distance.
+FEW = 200
+
+
+def _least_rate(a: str, b: str) -> float:
+    """What an error rate can't be under, by the lengths alone."""
+    if max(len(a), len(b)) > MAX_EXACT:
+        return 1.0 - 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return abs(len(a) - len(b)) / max(len(a), 1)
+
+
+def _closer(t: str, o: str, x: str) -> bool:
+    """Whether the error rate of x to t is under that to o.  Where the lengths alone put the former as high as the
+    latter is, it need not be taken."""
+    least, n = _least_rate(t, x), max(len(o), 1)
+    if max(len(o), len(x)) <= MAX_EXACT:
+        found = edits_within(o, x, min(int(least * n), FEW))
+        if found >= 0 and found / n <= least:
+            return False
+    rate = _rate(o, x)
+    return least < rate and _rate(t, x) < rate
+
+
+def _sides(threshold: float, recovery: bool):
+    """Pandas: what a text is beside an original and the transformed one: recovered (where that is asked), copied,
+    closer to the transformed one, or neither; null where they are missing."""
+
+    def sides(original, transformed, other):
+        import pandas as pd
+
+        def side(o, t, x):
+            if x is None:
+                return None
+            if recovery and o is not None and _near(o, x, threshold):
+                return "recovered"
+            if t is None:
+                return None
+            if _near(t, x, threshold):
+                return "copied"
+            return "closer" if o is not None and _closer(t, o, x) else "neither"
+
+        return pd.Series([side(*texts) for texts in zip(original, transformed, other)], dtype=object)
+
+    return F.pandas_udf(sides, "string")
 
 
-def residual_status(original, transformed, other, tagged, is_recovered, threshold: float = RECOVERY_THRESHOLD) -> Column:
-    """Seven labels, the first that holds.  Whole error rates are taken only of the rows that no label
-    before decides, each once."""
-    x = col(other)
+def residual_status(original, transformed, other, tagged, is_recovered=None, threshold: float = RECOVERY_THRESHOLD) -> Column:
+    """Seven labels, the first that holds.  ``is_recovered``, where it is not given, is recovered() with this
+    threshold; for long texts that is far cheaper, as those found recovered are compared no further.  Where all three
+    texts are shorter than BATCHED the JVM decides, else one Arrow batch step, whose inputs must hold no lambda."""
+    o, t, x = col(original), col(transformed), col(other)
     left = F.lit(False)
     for m in MARKERS:
         left = left | x.contains(m)
-    copied = within_rate(transformed, x, threshold)
-    open_ = F.coalesce(col(tagged) & ~col(is_recovered) & (x != "") & ~copied, F.lit(False))
-    rate = lambda o: char_error_rate(o, x, open_, col(tagged) & (x != ""))
+    long = F.coalesce((F.greatest(F.length(o), F.length(t), F.length(x)) >= BATCHED) & (x != ""), F.lit(False))
+    asked = long & F.coalesce(col(tagged), F.lit(True))
+    side = _sides(threshold, is_recovered is None)(*[F.when(asked, c) for c in (o, t, x)])
+    short = lambda c: F.when(~long, c)
+    near = lambda c: within_rate(short(c), x, threshold)
+    rate = lambda c: levenshtein(short(c), short(x)) / F.greatest(F.length(c), F.lit(1))
+    done = F.when(long, side == "recovered").otherwise(near(o)) if is_recovered is None else col(is_recovered)
     return (
         F.when(~col(tagged), "missing_recovered_tags")
-        .when(col(is_recovered), "recovered")
+        .when(done, "recovered")
         .when(x == "", "empty_recovered_text")
-        .when(copied, "copied_transformed_input")
-        .when(rate(transformed) < rate(original), "closer_to_transformed_than_original")
+        .when(F.when(long, side == "copied").otherwise(near(t)), "copied_transformed_input")
+        .when(col(tagged) & done.isNotNull() & F.when(long, side == "closer").otherwise(rate(t) < rate(o)), "closer_to_transformed_than_original")
         .when(left, "contains_transformation_markers")
         .otherwise("partial_or_other")
     )

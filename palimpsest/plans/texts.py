@@ -434,13 +434,13 @@ def _edited(spark, sf):
     return rows.withColumn("x", x)
 
 
-query("m01_bounded_levenshtein", _DOC_SQL + "select doc_id, case when da <= 40 then da else -1 end::int x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.levenshtein("a", "x", 40).alias("x")))
+query("m01_bounded_levenshtein", _DOC_SQL + "select doc_id, case when da <= 40 then da else -1 end::int x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.long_levenshtein("a", "x", 40).alias("x")))
 query("m02_document_error_rates", _DOC_SQL + "select doc_id, long estimated, case when not long then round(da / greatest(length(a), 1), 6) when a = x then 0 end x from e")(
     lambda spark, sf: _edited(spark, sf).select("doc_id", D.is_estimated("a", "x").alias("estimated"), F.round(D.char_error_rate("a", "x"), 6).alias("x")).withColumn("x", F.when(~F.col("estimated") | (F.col("x") == 0), F.col("x")))
 )
-query("m03_documents_recovered", _DOC_SQL + "select doc_id, da / greatest(length(a), 1) <= 0.02::double x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.recovered("a", "x").alias("x")))
+query("m03_documents_recovered", _DOC_SQL + "select doc_id, da / greatest(length(a), 1) <= 0.02::double x from e")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.recovered("a", "x", bounded=D.long_levenshtein).alias("x")))
 # estimates of long texts have no SQL
-query("m04_document_status")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.residual_status("a", "b", "x", F.col("doc_id") % 7 != 0, D.recovered("a", "x")).alias("status")))
+query("m04_document_status")(lambda spark, sf: _edited(spark, sf).select("doc_id", D.residual_status("a", "b", "x", F.col("doc_id") % 7 != 0).alias("status")))
 query("m05_windows", f"with w as (select doc_id, {WORDS('text')} w from documents), s as (select doc_id, w, unnest([16, 20, 24]) n from w), i as (select doc_id, w, n, unnest(list_distinct(case when len(w) > n then range(0, len(w) - n + 1, 10) || [len(w) - n] else [0] end)) i from s), x as (select distinct doc_id, array_to_string(w[i + 1:i + n], ' ') x from i) select doc_id, count(*) n from x where x <> '' group by doc_id")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.size(D.sliding_windows("text", F.lit(20))).cast("bigint").alias("n")).where("n > 0")
 )

@@ -118,3 +118,69 @@ def test_matcher_has_the_blocks_of_difflib():
         ours, theirs = D.Matcher(a, b), difflib.SequenceMatcher(None, a, b)
         assert ours.get_matching_blocks() == theirs.get_matching_blocks() and ours.ratio() == theirs.ratio()
         assert ours.find_longest_match() == theirs.find_longest_match()
+
+
+def test_edits_in_batches():
+    """Both distances of Arrow batches against the definition."""
+    rng = random.Random(6)
+    for _ in range(200):
+        letters = rng.choice(["ab", "abcdefgh é数🙂", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 40, 90])))
+        b = rng.choice([a, "", damaged(rng, a, 3), damaged(rng, a, 30), a[10:], a + "zz", "".join(rng.choice(letters) for _ in range(30))])
+        d = edits(a, b)
+        assert D.edits(a, b) == d
+        for most in {0, 1, max(d - 1, 0), d, d + 1, 500}:
+            assert D.edits_within(a, b, most) == (d if d <= most else -1), (a, b, most)
+
+
+def test_large_ranges_have_the_blocks_of_difflib(monkeypatch):
+    rng = random.Random(7)
+    for n in range(120):
+        monkeypatch.setattr(D.Matcher, "SMALL", rng.choice([0, 50, 1 << 12]))
+        letters = rng.choice(["ab", "abcdefghijklmnopqrstuvwxyz   eeeaat" + " " * 20, "".join(map(chr, range(0x4E00, 0x4E00 + 400)))])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([20, 400, 900])))
+        b = rng.choice([a[11:], a.replace("th", "t").replace("e", "") + "z", a + " once more" * 9, "", damaged(rng, a, 60), a[200:] + a[:200], a[:100] * 3])
+        ours, theirs = D.Matcher(a, b), difflib.SequenceMatcher(None, a, b)
+        assert ours.get_matching_blocks() == theirs.get_matching_blocks() and ours.ratio() == theirs.ratio()
+
+
+def test_time_of_long_texts_is_not_quadratic():
+    import time
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgkjqxz"[: rng.choice([8, 14, 26])]) for _ in range(rng.randrange(2, 9))) for _ in range(900)] + ["the", "with", "other"] * 60
+    a = " ".join(rng.choice(words) for _ in range(16_000))
+    began = time.process_time()
+    assert 0 < D.Matcher(a, a.replace("th", "t")).ratio() < 1 and len(a) > 60_000
+    assert D.edits_within(a, a[10:], 1000) == 10 and D.edits_within(a, damaged(rng, a, 300), 1000) <= 300
+    assert time.process_time() - began < 4
+
+
+def test_status_of_long_texts(spark):
+    """Texts on both sides of BATCHED and of MAX_EXACT, with nulls."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("etaoin shrdlucmfwypvbgkjqxzé数") for _ in range(n))
+    rows = []
+    for i, n in enumerate([200, 249, 250, 260, 400, 700] * 6 + [5990, 6100] * 4):
+        a = text(n)
+        b = rng.choice([a + " once more" * 30, a[::-1], damaged(rng, a, n // 20)])
+        if n > 5000:
+            b = a + " once more" * 30
+            x = [a, b, a[n // 20 :], a[3:], b[:-40] if n > 6000 else b[:-200], a[: n - 200] + b[n:], b[200:], "GRID START"][i % 8]
+        else:
+            x = [a, b, damaged(rng, a, n // 15), damaged(rng, b, n // 15), damaged(rng, a, 2), damaged(rng, b, 2), text(n), ""][i % 8]
+        rows.append((i, a, b, x, rng.random() < 0.9))
+    df = spark.createDataFrame(rows, "i int, a string, b string, x string, tagged boolean")
+    got = df.select("*", D.long_levenshtein("a", "x", 40).alias("d"), D.recovered("a", "x", bounded=D.long_levenshtein).alias("r")).select("*", D.residual_status("a", "b", "x", "tagged").alias("s"), D.residual_status("a", "b", "x", "tagged", "r").alias("given"))
+    for r in got.collect():
+        d = D.edits(r.a, r.x)
+        near = lambda o: o == r.x or D.edits(o, r.x) / max(1, len(o)) <= 0.02  # noqa: B023, E731
+        assert r.d == (d if d <= 40 else -1) and r.r == near(r.a), r.i
+        rates = [1 - difflib.SequenceMatcher(None, o, r.x).ratio() if max(len(o), len(r.x)) > D.MAX_EXACT else D.edits(o, r.x) / len(o) for o in (r.b, r.a)]
+        own = "missing_recovered_tags" if not r.tagged else "recovered" if near(r.a) else "empty_recovered_text" if not r.x else "copied_transformed_input" if near(r.b) else None
+        assert r.s == (own or ("closer_to_transformed_than_original" if rates[0] < rates[1] else "contains_transformation_markers" if "GRID START" in r.x else "partial_or_other")), r.i
+        assert r.given == r.s, r.i
+    long = text(900)
+    nulls = [(long, long + "zz" * 20, None), (None, long, long), (None, long, long[100:]), (long, None, long[100:])]
+    out = spark.createDataFrame(nulls, "a string, b string, x string").select(D.residual_status("a", "b", "x", F.lit(True)).alias("s")).collect()
+    assert [r.s for r in out] == ["partial_or_other", "copied_transformed_input", "partial_or_other", "partial_or_other"]
